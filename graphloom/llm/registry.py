@@ -8,9 +8,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.runtime import table
 
+#: Components by a recursive walk over all linked pairs of different sets.
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) END AS g FROM w),
+e AS (SELECT doc_id, unnest(g) AS x FROM s),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN s p ON p.doc_id = a JOIN s q ON q.doc_id = b WHERE 100 * k >= 80 * (len(p.g) + len(q.g) - k)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.doc_id)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, (SELECT min(c) FROM r WHERE r.doc_id = s.doc_id) AS component_id FROM s
+"""
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    from graphloom.llm import ngram_join
+
+    return ngram_join.near_copies(table(spark, sf, "documents"))
+
+
 def op3_quality_divergence(spark: SparkSession, sf: str) -> DataFrame:
     from graphloom.llm import quality
 
@@ -18,8 +40,8 @@ def op3_quality_divergence(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_quality_divergence,)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op3_quality_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_ngram_jaccard": OP1_SQL}
