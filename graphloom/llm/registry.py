@@ -39,8 +39,20 @@ def op3_quality_divergence(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality(table(spark, sf, "documents"))
 
 
+def op9_toxicity_ftrl(spark: SparkSession, sf: str) -> DataFrame:
+    from graphloom.llm import toxicity
+
+    return toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+def op10_string_tiling(spark: SparkSession, sf: str) -> DataFrame:
+    from graphloom.llm import decontaminate
+
+    return decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op3_quality_divergence)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op3_quality_divergence, op9_toxicity_ftrl, op10_string_tiling)}
 
 
 def oracle_sql() -> dict[str, str]:
