@@ -39,6 +39,18 @@ def op3_quality_divergence(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality(table(spark, sf, "documents"))
 
 
+def op4_pii_anchors(spark: SparkSession, sf: str) -> DataFrame:
+    from graphloom.llm import pii, spans
+
+    return pii.personal_data(table(spark, sf, "documents")).select("doc_id", *spans.digest(pii.BASE))
+
+
+def op6_secret_trigrams(spark: SparkSession, sf: str) -> DataFrame:
+    from graphloom.llm import secrets, spans
+
+    return secrets.secrets(table(spark, sf, "documents")).select("doc_id", *spans.digest(["assign", "access", "hex"]))
+
+
 def op9_toxicity_ftrl(spark: SparkSession, sf: str) -> DataFrame:
     from graphloom.llm import toxicity
 
@@ -52,7 +64,7 @@ def op10_string_tiling(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op3_quality_divergence, op9_toxicity_ftrl, op10_string_tiling)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op3_quality_divergence, op4_pii_anchors, op6_secret_trigrams, op9_toxicity_ftrl, op10_string_tiling)}
 
 
 def oracle_sql() -> dict[str, str]:
