@@ -24,6 +24,27 @@ r(doc_id, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT u.b, r.c FROM r JOIN
 SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, (SELECT min(c) FROM r WHERE r.doc_id = s.doc_id) AS component_id FROM s
 """
 
+#: The same template by string functions: backslashes doubled, control strings broken after their first character.
+OP8_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+o AS (SELECT *, lag(role) OVER w AS before, row_number() OVER w AS place FROM c
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+e AS (SELECT *, replace(replace(replace(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>'),
+    '### System:', '#\## System:'), '### User:', '#\## User:'), '### Assistant:', '#\## Assistant:') AS escaped,
+  CASE coalesce(before, 'start') WHEN 'start' THEN role IN ('system', 'user') WHEN 'system' THEN role = 'user'
+    WHEN 'user' THEN role = 'assistant' WHEN 'assistant' THEN role = 'user' ELSE false END AS allowed FROM o)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('### ' || role || ': </turn>' || chr(10)) + length(escaped)) AS BIGINT) AS formatted_chars,
+  bool_and(allowed) AND arg_max(role, place) = 'assistant' AS valid
+FROM e GROUP BY conv_id
+"""
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -45,12 +66,27 @@ def op4_pii_anchors(spark: SparkSession, sf: str) -> DataFrame:
     return pii.personal_data(table(spark, sf, "documents")).select("doc_id", *spans.digest(pii.BASE))
 
 
+def op5_lpt_shards(spark: SparkSession, sf: str) -> DataFrame:
+    from graphloom.llm import sharding
+
+    return sharding.shard(table(spark, sf, "documents"))
+
+
 def op6_secret_trigrams(spark: SparkSession, sf: str) -> DataFrame:
     from graphloom.llm import secrets, spans
 
     return secrets.secrets(table(spark, sf, "documents")).select("doc_id", *spans.digest(["assign", "access", "hex"]))
 
 
+def op8_chat_fsm(spark: SparkSession, sf: str) -> DataFrame:
+    from graphloom.llm import chat
+
+    conversations = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    text = "\\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], conversations.schema)
+    return chat.digest(chat.formatted(conversations.unionByName(own)))
+
+
 def op9_toxicity_ftrl(spark: SparkSession, sf: str) -> DataFrame:
     from graphloom.llm import toxicity
 
@@ -64,8 +100,8 @@ def op10_string_tiling(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op3_quality_divergence, op4_pii_anchors, op6_secret_trigrams, op9_toxicity_ftrl, op10_string_tiling)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op3_quality_divergence, op4_pii_anchors, op5_lpt_shards, op6_secret_trigrams, op8_chat_fsm, op9_toxicity_ftrl, op10_string_tiling)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": OP1_SQL}
+    return {"op1_ngram_jaccard": OP1_SQL, "op8_chat_fsm": OP8_SQL}
