@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from graphloom.runtime import table
 
@@ -55,17 +55,9 @@ def op1_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.near_copies(table(spark, sf, "documents"))
 
 
-#: Target weights of the domains that the labels tell apart.
-TARGETS = {"clean": 0.93, "low": 0.05, "toxic": 0.02}
-
-
-def labelled_domains(labels: DataFrame) -> DataFrame:
-    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "clean")
-    return labels.select("doc_id", domain.alias("domain"))
-
-
 def op2_mixing_rates(spark: SparkSession, sf: str) -> DataFrame:
     from graphloom.llm import mixing
+    from graphloom.llm.labels import TARGETS, labelled_domains
 
     docs = table(spark, sf, "documents")
     return mixing.rates(docs, mixing.fit(docs, labelled_domains(table(spark, sf, "labels")), TARGETS))
@@ -125,8 +117,9 @@ def op10_string_tiling(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_mixing_rates, op3_quality_divergence, op4_pii_anchors, op5_lpt_shards, op6_secret_trigrams, op7_token_sstables, op8_chat_fsm, op9_toxicity_ftrl, op10_string_tiling)}
+    ops = (op1_ngram_jaccard, op2_mixing_rates, op3_quality_divergence, op4_pii_anchors, op5_lpt_shards, op6_secret_trigrams, op7_token_sstables, op8_chat_fsm, op9_toxicity_ftrl, op10_string_tiling)
+    return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": OP1_SQL, "op8_chat_fsm": OP8_SQL}
+    return {"op1_ngram_jaccard": OP1_SQL, "op8_chat_fsm": OP8_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
