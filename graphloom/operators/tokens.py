@@ -47,7 +47,6 @@ def reconstruct(tokens: DataFrame, nodes: DataFrame) -> DataFrame:
     """Token texts from offsets: each ends where the next begins, the last at the node's end."""
     end = F.lead("offset").over(W.partitionBy("node_id").orderBy("pos"))
     whole = F.col("text").cast("binary")
-    size = F.coalesce(end, F.octet_length("text").cast("long")) - F.col("offset")
     joined = tokens.withColumn("_end", end).join(nodes.select("node_id", "text"), "node_id")
     size = F.coalesce(F.col("_end"), F.octet_length("text").cast("long")) - F.col("offset")
     return joined.withColumn("tok", F.substring(whole, (F.col("offset") + 1).cast("int"), size.cast("int")).cast("string")).drop("_end", "text")

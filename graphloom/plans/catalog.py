@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import search
+from graphloom.functions import paths, urls
+from graphloom.operators import align, canvas, elide, resolve, search, spans, store, symbols, tokens, tree
 from graphloom.runtime import table
+from graphloom.sources import files
+from graphloom.streaming import units
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -52,3 +55,422 @@ def search_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
 )
 def search_substring(spark: SparkSession, sf: str) -> DataFrame:
     return search.substring(table(spark, sf, "part").select("p_partkey", "p_name"), "EA", 100, True, "p_name", "p_partkey")
+
+
+def _tokens_sql(source: str = "documents", key: str = "doc_id") -> str:
+    """Lexed documents with running byte offsets, for use in a WITH clause."""
+    return rf"""
+l AS (SELECT {key} AS node_id, regexp_extract_all(text, '(\s+|[A-Za-z0-9_]+|[^A-Za-z0-9_\s]+)', 1) AS ts, text FROM {source}),
+t AS (SELECT node_id, unnest(range(len(ts))) AS pos, unnest(ts) AS tok FROM l),
+o AS (SELECT node_id, pos, tok, CAST(coalesce(sum(octet_length(encode(tok))) OVER w, 0) AS BIGINT) AS "offset",
+   CAST(coalesce(sum(length(tok) - length(replace(tok, chr(10), ''))) OVER w, 0) AS BIGINT) AS line FROM t
+   WINDOW w AS (PARTITION BY node_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+_TYPE_SQL = r"CASE WHEN regexp_matches(tok, '^\s') THEN 'WS' WHEN regexp_matches(tok, '^[0-9]') THEN 'Literal' WHEN regexp_matches(tok, '^[A-Za-z_]') THEN 'Identifier' ELSE 'Punctuation' END"
+
+
+def _lexed(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens.with_offsets(tokens.lex(table(spark, sf, "documents"), "doc_id"))
+
+
+@register("token_count", r"SELECT doc_id, CAST(len(regexp_extract_all(text, '(\s+|[A-Za-z0-9_]+|[^A-Za-z0-9_\s]+)', 1)) AS BIGINT) AS n_tokens FROM documents")
+def token_count(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return docs.select("doc_id", F.size(F.regexp_extract_all("text", F.lit(tokens.LEX), F.lit(1))).cast("long").alias("n_tokens"))
+
+
+@register("token_offsets", "WITH " + _tokens_sql() + ' SELECT node_id, count(*) AS n, sum("offset")::BIGINT AS offsets, max("offset") AS last_offset, max(line) AS last_line FROM o GROUP BY node_id')
+def token_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    return _lexed(spark, sf).groupBy("node_id").agg(F.count(F.lit(1)).alias("n"), F.sum("offset").alias("offsets"), F.max("offset").alias("last_offset"), F.max("line").alias("last_line"))
+
+
+@register("token_reconstruct", "SELECT doc_id AS node_id, sha256(text) AS sha256 FROM documents WHERE text <> ''")
+def token_reconstruct(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("node_id"), "text")
+    again = tokens.reconstruct(_lexed(spark, sf).select("node_id", "pos", "offset"), docs)
+    whole = again.groupBy("node_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))), lambda x: x["tok"]), "").alias("text"))
+    return whole.select("node_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+
+
+@register(
+    "token_truncate",
+    "WITH " + _tokens_sql() + f""" SELECT node_id, pos::BIGINT AS pos, CASE WHEN pos = 100 THEN '<TRUNCATED>' ELSE tok END AS tok,
+       CASE WHEN pos = 100 THEN 'Comment' ELSE {_TYPE_SQL} END AS type FROM t WHERE pos <= 100""",
+)
+def token_truncate(spark: SparkSession, sf: str) -> DataFrame:
+    t = tokens.lex(table(spark, sf, "documents"), "doc_id").withColumn("type", tokens.token_type(F.col("tok")))
+    return tokens.truncate(t, 100).withColumn("pos", F.col("pos").cast("long"))
+
+
+@register(
+    "first_solid_tokens",
+    "WITH " + _tokens_sql() + f""", r AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY pos) AS r FROM t WHERE {_TYPE_SQL} <> 'WS')
+    SELECT node_id, string_agg(tok, ' ' ORDER BY pos) AS head FROM r WHERE r <= 3 GROUP BY node_id""",
+)
+def first_solid_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    t = tokens.lex(table(spark, sf, "documents"), "doc_id").withColumn("type", tokens.token_type(F.col("tok")))
+    return tokens.first_solid(t).select("node_id", F.array_join("head", " ").alias("head"))
+
+
+@register(
+    "skip_reason",
+    "WITH " + _tokens_sql() + f""", h AS (SELECT node_id, bool_or({_TYPE_SQL} IN ('Literal', 'Identifier')) AS code FROM t GROUP BY node_id)
+    SELECT d.doc_id, CASE WHEN NOT h.code THEN 'not code' WHEN d.source = 'src1' THEN 'not in repo path and system indexing is disabled'
+      WHEN d.lang = 'fr' THEN 'InclusionDirective' WHEN d.lang = 'de' THEN 'PreprocessingDirective'
+      WHEN d.lang = 'es' AND d.doc_id % 2 = 0 THEN 'forward decl' END AS reason
+    FROM documents d JOIN h ON h.node_id = d.doc_id""",
+)
+def skip_reason(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    toks = F.transform(F.regexp_extract_all("text", F.lit(tokens.LEX), F.lit(1)), lambda x: F.struct(tokens.token_type(x).alias("type"), x.alias("text")))
+    root = F.when(F.col("lang") == "fr", "InclusionDirective").when(F.col("lang") == "de", "PreprocessingDirective").otherwise("FunctionDecl")
+    path = F.when(F.col("source") == "src1", "/usr/include/x.h").otherwise("a/x.h")
+    forward = (F.col("lang") == "es") & (F.col("doc_id") % 2 == 0)
+    return docs.select("doc_id", tokens.skip_reason(F.lit("Definition"), root, toks, paths.in_repo(path), forward).alias("reason"))
+
+
+@register("longest_line", "SELECT doc_id, CAST(list_max(list_transform(string_split(text, chr(10)), lambda x: length(x))) AS BIGINT) AS longest FROM documents")
+def longest_line(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", tokens.longest_line(F.col("text")).cast("long").alias("longest"))
+
+
+@register("octet_lengths", "SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, CAST(length(text) AS BIGINT) AS chars FROM documents")
+def octet_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", F.octet_length("text").cast("long").alias("bytes"), F.length("text").cast("long").alias("chars"))
+
+
+#: Nested spans over each document: the whole, its halves, and a quarter of each half.
+_SPANS_SQL = """
+s AS (SELECT doc_id AS path_id, doc_id * 10 AS node_id, 0::BIGINT AS "start", n_chars AS "end", 1 AS nest_level FROM documents
+  UNION ALL SELECT doc_id, doc_id * 10 + 1, 0, n_chars // 2, 2 FROM documents
+  UNION ALL SELECT doc_id, doc_id * 10 + 2, n_chars // 2, n_chars, 2 FROM documents
+  UNION ALL SELECT doc_id, doc_id * 10 + 3, n_chars // 8, n_chars // 4, 3 FROM documents
+  UNION ALL SELECT doc_id, doc_id * 10 + 4, n_chars // 2 + n_chars // 8, n_chars // 2 + n_chars // 4, 3 FROM documents),
+p AS (SELECT doc_id AS path_id, unnest(range(0, n_chars + 40, 37)) AS off FROM documents)"""
+
+
+def _spans(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    d = table(spark, sf, "documents").select("doc_id", "n_chars")
+    n = F.col("n_chars")
+    div = lambda x, k: F.call_function("div", x, F.lit(k))
+    half, quarter, eighth = div(n, 2), div(n, 4), div(n, 8)
+    each = [(0, F.lit(0), n, 1), (1, F.lit(0), half, 2), (2, half, n, 2), (3, eighth, quarter, 3), (4, half + eighth, half + quarter, 3)]
+    made = F.array(*[F.struct((F.col("doc_id") * 10 + k).alias("node_id"), a.cast("long").alias("start"), b.cast("long").alias("end"), F.lit(level).alias("nest_level")) for k, a, b, level in each])
+    spans_ = d.select(F.col("doc_id").alias("path_id"), F.explode(made).alias("s")).select("path_id", "s.*", F.lit(True).alias("fresh"))
+    points = d.select(F.col("doc_id").alias("path_id"), F.explode(F.sequence(F.lit(0).cast("long"), n + 39, F.lit(37).cast("long"))).alias("off"))
+    return points, spans_
+
+
+_STAB_SQL = "WITH " + _SPANS_SQL + """ SELECT p.path_id, p.off, arg_max(s.node_id, s.nest_level) AS node_id, max(s.nest_level) AS nest_level
+  FROM p LEFT JOIN s ON s.path_id = p.path_id AND s."start" <= p.off AND p.off < s."end" GROUP BY p.path_id, p.off"""
+
+
+@register("span_stab", _STAB_SQL)
+def span_stab(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.stab(*_spans(spark, sf))
+
+
+@register("span_stab_bucketed", _STAB_SQL)
+def span_stab_bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.stab(*_spans(spark, sf), bucket=1024)
+
+
+@register("span_stab_sorted", _STAB_SQL)
+def span_stab_sorted(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.stab_sorted(*_spans(spark, sf))
+
+
+@register("span_stab_level", _STAB_SQL.replace("ON s.path_id", "ON s.nest_level = 2 AND s.path_id"))
+def span_stab_level(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.stab(*_spans(spark, sf), level=2)
+
+
+@register("span_anti", "WITH " + _SPANS_SQL + """ SELECT p.path_id, p.off FROM p WHERE NOT EXISTS (SELECT 1 FROM s
+   WHERE s.nest_level = 3 AND s.path_id = p.path_id AND s."start" <= p.off AND p.off < s."end")""")
+def span_anti(spark: SparkSession, sf: str) -> DataFrame:
+    points, all_spans = _spans(spark, sf)
+    return spans.elide(points, all_spans.where("nest_level = 3"))
+
+
+@register("radix_prefix", "SELECT o_orderkey, CAST(o_orderkey & 16383 AS BIGINT) AS prefix0, CAST((o_orderkey >> 14) & 16383 AS BIGINT) AS prefix1, CAST((o_orderkey >> 28) & 16383 AS BIGINT) AS prefix2, CAST((o_orderkey >> 42) & 4194303 AS BIGINT) AS prefix3 FROM orders")
+def radix_prefix(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "orders").select("o_orderkey", *urls.radix_prefixes(F.col("o_orderkey")))
+
+
+@register("content_dedup", "SELECT sha256(text) AS sha256, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1")
+def content_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return store.content_groups(table(spark, sf, "documents"), "doc_id", "text")
+
+
+@register(
+    "slice_reuse",
+    """WITH n AS (SELECT sha256(text) AS sha256, min(struct_pack(blob_id := doc_id, s := 0, e := n_chars)) AS loc FROM documents GROUP BY 1),
+    o AS (SELECT sha256(text) AS sha256, min(doc_id) + 1000000 AS blob_id FROM documents WHERE doc_id % 3 = 0 GROUP BY 1)
+    SELECT n.sha256, coalesce(o.blob_id, n.loc.blob_id) AS blob_id, o.blob_id IS NOT NULL AS reused FROM n LEFT JOIN o ON n.sha256 = o.sha256""",
+)
+def slice_reuse(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.lit(0).cast("long").alias("start"), F.col("n_chars").alias("end"))
+    stored = d.where("doc_id % 3 = 0").groupBy("sha256").agg((F.min("doc_id") + 1000000).alias("blob_id"), F.first("start").alias("start"), F.min("end").alias("end"))
+    return store.slices(d.withColumnRenamed("doc_id", "blob_id"), stored).select("sha256", F.col("loc.blob_id").alias("blob_id"), "reused")
+
+
+@register(
+    "incremental_status",
+    """WITH a AS (SELECT doc_id AS id, sha256(text) AS h FROM documents WHERE doc_id % 5 <> 0),
+    b AS (SELECT doc_id AS id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 3 <> 0)
+    SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'expired' WHEN a.h = b.h THEN 'reused' ELSE 'rewritten' END AS status
+    FROM a FULL JOIN b ON a.id = b.id""",
+)
+def incremental_status(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents")
+    sha = lambda c: F.sha2(c.cast("binary"), 256).alias("sha256")
+    before = d.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("id"), sha(F.col("text")))
+    after = d.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("id"), sha(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))))
+    return store.build_status(before, after)
+
+
+@register("dictionary_encode", "SELECT value, dense_rank() OVER (ORDER BY value) - 1 AS id FROM (SELECT DISTINCT p_name AS value FROM part)")
+def dictionary_encode(spark: SparkSession, sf: str) -> DataFrame:
+    return search.dictionary(table(spark, sf, "part"), "p_name")
+
+
+@register("stable_ids", "WITH e AS (SELECT p_brand AS k, row_number() OVER (ORDER BY p_brand) AS id FROM (SELECT DISTINCT p_brand FROM part) ORDER BY 1 LIMIT 10), n AS (SELECT DISTINCT p_brand AS k FROM part WHERE p_brand NOT IN (SELECT k FROM e)) SELECT k, id FROM e UNION ALL SELECT k, 10 + row_number() OVER (ORDER BY k) FROM n")
+def stable_ids(spark: SparkSession, sf: str) -> DataFrame:
+    part = table(spark, sf, "part").select(F.col("p_brand").alias("k"))
+    known = search.dense_ids(part.distinct(), ["k"], "id", 1).where("id <= 10")
+    return store.get_or_create(known, part, ["k"], "id")
+
+
+@register("first_wins", "SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY ALL")
+def first_wins(spark: SparkSession, sf: str) -> DataFrame:
+    return symbols.first(table(spark, sf, "events").select("user_id", "event_type", "ts", "event_id"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id")
+
+
+@register("symbol_upsert", "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY ALL")
+def symbol_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").select("user_id", "event_type", "ts", "event_id", "value")
+    return symbols.latest(e, ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
+
+
+def _symbol_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    tokens_ = table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("c:"), "o_custkey").alias("usr"))
+    known = table(spark, sf, "customer").where("c_custkey % 4 <> 0").select(F.concat(F.lit("c:"), "c_custkey").alias("usr"), F.col("c_custkey").alias("sym_id"), F.col("c_nationkey").cast("long").alias("node_id"), F.lit(0).cast("long").alias("offset"))
+    return tokens_, known
+
+
+@register("symbol_left_join", "SELECT o_orderkey, c_custkey AS sym_id, CAST(c_nationkey AS BIGINT) AS def_node FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 4 <> 0")
+def symbol_left_join(spark: SparkSession, sf: str) -> DataFrame:
+    return symbols.with_symbols(*_symbol_tables(spark, sf)).select("o_orderkey", "sym_id", "def_node")
+
+
+@register("missing_symbols", "SELECT o_orderkey, 'c:' || o_custkey AS usr FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 <> 0)")
+def missing_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    return symbols.missing_symbols(*_symbol_tables(spark, sf)).select("o_orderkey", "usr")
+
+
+@register("has_uses", "SELECT p_partkey, p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49) AS has_references FROM part")
+def has_uses(spark: SparkSession, sf: str) -> DataFrame:
+    places = table(spark, sf, "part").select(F.col("p_partkey").alias("node_id"), F.lit(0).alias("offset"))
+    used = table(spark, sf, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("node_id"), F.lit(0).alias("offset"))
+    return symbols.flag_references(places, used).select(F.col("node_id").alias("p_partkey"), "has_references")
+
+
+@register(
+    "references_agg",
+    """SELECT l_partkey AS node_id, count(DISTINCT (l_orderkey, l_returnflag, s_name, l_linenumber)) AS n_refs, min(l_orderkey) AS first_use
+    FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1""",
+)
+def references_agg(spark: SparkSession, sf: str) -> DataFrame:
+    uses = table(spark, sf, "lineitem").select(
+        F.col("l_partkey").alias("node_id"), F.lit(0).cast("long").alias("offset"), F.col("l_orderkey").alias("href"), F.col("l_returnflag").alias("context"),
+        F.lit(True).alias("linked_via_sym"), F.col("l_suppkey").alias("use_path_id"), F.col("l_linenumber").cast("long").alias("use_off"),
+    )
+    where = table(spark, sf, "part").select(F.col("p_partkey").alias("node_id"), F.lit(1).alias("path_id"))
+    named = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("path_id"), F.col("s_name").alias("path"))
+    return symbols.references(uses, named, where).select("node_id", F.size("refs").cast("long").alias("n_refs"), F.col("refs")[0]["href"].alias("first_use"))
+
+
+@register(
+    "use_collection",
+    """WITH u AS (SELECT DISTINCT l_partkey AS node_id, l_orderkey AS href, CAST(l_linenumber AS BIGINT) AS use_off FROM lineitem JOIN part ON p_partkey = l_partkey AND p_size > 10)
+    SELECT node_id, href, use_off FROM u WHERE node_id <> href""",
+)
+def use_collection(spark: SparkSession, sf: str) -> DataFrame:
+    none = F.lit(None).cast("long")
+    t = table(spark, sf, "lineitem").select(
+        F.lit("Identifier").alias("type"), none.alias("local_node"), none.alias("local_offset"), F.col("l_orderkey").alias("in_node"), F.lit("DeclRefExpr").alias("cursor"),
+        F.concat(F.lit("p:"), "l_partkey").alias("usr"), F.col("l_returnflag").alias("context"), F.col("l_linenumber").cast("long").alias("use_off"), F.col("l_suppkey").alias("use_path_id"),
+    )
+    known = table(spark, sf, "part").where("p_size > 10").select(F.concat(F.lit("p:"), "p_partkey").alias("usr"), F.col("p_partkey").alias("node_id"), F.lit(0).cast("long").alias("offset"))
+    return symbols.uses(t, known).select("node_id", "href", "use_off")
+
+
+_PAGE_PATH = r"^[a-z]+://([^?#]*)"
+
+
+@register("url_path_extract", r"SELECT page_id, regexp_extract(url, '^[a-z]+://([^?#]*)', 1) AS path FROM pages")
+def url_path_extract(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", F.regexp_extract("url", _PAGE_PATH, 1).alias("path"))
+
+
+_DIRS_SQL = r"""f AS (SELECT DISTINCT string_split(regexp_extract(url, '^[a-z]+://([^?#]*)', 1), '/') AS s FROM pages WHERE regexp_extract(url, '^[a-z]+://([^?#]*)', 1) <> ''),
+i AS (SELECT s, unnest(range(len(s))) AS k FROM f),
+d AS (SELECT DISTINCT array_to_string(s[1:k], '/') AS dir, s[k + 1] AS child, k + 1 < len(s) AS is_dir FROM i)"""
+
+
+def _page_tree(spark: SparkSession, sf: str) -> DataFrame:
+    return tree.dir_children(url_path_extract(spark, sf))
+
+
+@register("dir_children", "WITH " + _DIRS_SQL + " SELECT dir, child, is_dir FROM d")
+def dir_children(spark: SparkSession, sf: str) -> DataFrame:
+    return _page_tree(spark, sf)
+
+
+@register(
+    "dir_listing",
+    "WITH " + _DIRS_SQL + """, x AS (SELECT dir, child || CASE WHEN is_dir THEN '/' ELSE '' END || chr(10) AS text, is_dir FROM d)
+    SELECT dir, text, is_dir, CAST(coalesce(sum(octet_length(encode(text))) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
+    row_number() OVER w - 1 AS line FROM x WINDOW w AS (PARTITION BY dir ORDER BY NOT is_dir, text)""",
+)
+def dir_listing(spark: SparkSession, sf: str) -> DataFrame:
+    return tree.listing(_page_tree(spark, sf))
+
+
+_FOREST_SQL = """e AS (SELECT 'r' || r_regionkey AS id, NULL AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation
+  UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer)"""
+
+
+@register("container_depth", "WITH RECURSIVE " + _FOREST_SQL + ", w AS (SELECT id, 0 AS depth, id AS root FROM e WHERE parent IS NULL UNION ALL SELECT e.id, w.depth + 1, w.root FROM e JOIN w ON e.parent = w.id) SELECT id, depth, root FROM w")
+def container_depth(spark: SparkSession, sf: str) -> DataFrame:
+    key = lambda p, c: F.concat(F.lit(p), F.col(c))
+    r = table(spark, sf, "region").select(key("r", "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent"))
+    n = table(spark, sf, "nation").select(key("n", "n_nationkey").alias("id"), key("r", "n_regionkey").alias("parent"))
+    c = table(spark, sf, "customer").select(key("c", "c_custkey").alias("id"), key("n", "c_nationkey").alias("parent"))
+    return tree.depths(r.unionByName(n).unionByName(c))
+
+
+@register("include_closure", "WITH RECURSIVE e AS (SELECT n_nationkey AS src, (n_nationkey * 7 + 3) % 25 AS dst FROM nation UNION SELECT n_nationkey, n_regionkey FROM nation), w AS (SELECT src, dst FROM e UNION SELECT w.src, e.dst FROM w JOIN e ON w.dst = e.src) SELECT src, dst FROM w")
+def include_closure(spark: SparkSession, sf: str) -> DataFrame:
+    n = table(spark, sf, "nation")
+    e = n.select(F.col("n_nationkey").alias("src"), ((F.col("n_nationkey") * 7 + 3) % 25).alias("dst")).unionByName(n.select(F.col("n_nationkey").alias("src"), F.col("n_regionkey").alias("dst")))
+    return tree.closure(e)
+
+
+@register("container_outermost", "WITH RECURSIVE " + _FOREST_SQL + ", k AS (SELECT id, parent, CASE WHEN id LIKE 'r%' THEN 'Namespace' ELSE 'Class' END AS kind FROM e), w AS (SELECT id, id AS top, parent AS up FROM k UNION ALL SELECT w.id, CASE WHEN k.kind = 'Namespace' THEN w.top ELSE k.id END, k.parent FROM w JOIN k ON k.id = w.up) SELECT id, top FROM w WHERE up IS NULL")
+def container_outermost(spark: SparkSession, sf: str) -> DataFrame:
+    key = lambda p, c: F.concat(F.lit(p), F.col(c))
+    r = table(spark, sf, "region").select(key("r", "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent"), F.lit("Namespace").alias("kind"))
+    n = table(spark, sf, "nation").select(key("n", "n_nationkey").alias("id"), key("r", "n_regionkey").alias("parent"), F.lit("Class").alias("kind"))
+    c = table(spark, sf, "customer").select(key("c", "c_custkey").alias("id"), key("n", "c_nationkey").alias("parent"), F.lit("Class").alias("kind"))
+    return tree.outermost(r.unionByName(n).unionByName(c))
+
+
+def _urls(spark: SparkSession, sf: str) -> DataFrame:
+    k, m = F.col("o_orderkey"), F.pmod("o_orderkey", F.lit(8))
+    url = (
+        F.when(m == 0, F.concat(F.lit("id:"), k)).when(m == 1, F.concat(F.lit("sym:"), k)).when(m == 2, F.concat(F.lit("path:a/"), k)).when(m == 3, F.concat(F.lit("refs:"), k, F.lit("/7")))
+        .when(m == 4, F.concat(F.lit("slice:f/"), k, F.lit("[1:9]"))).when(m == 5, F.concat(F.lit("cur/"), k)).when(m == 6, F.concat(F.lit("id:x"), k)).otherwise(F.concat(F.lit("path:a/"), k, F.lit("#token-3")))
+    )
+    return table(spark, sf, "orders").select("o_orderkey", url.alias("url"))
+
+
+_URLS_SQL = """u AS (SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN 'id:' || o_orderkey WHEN 1 THEN 'sym:' || o_orderkey WHEN 2 THEN 'path:a/' || o_orderkey
+  WHEN 3 THEN 'refs:' || o_orderkey || '/7' WHEN 4 THEN 'slice:f/' || o_orderkey || '[1:9]' WHEN 5 THEN 'cur/' || o_orderkey WHEN 6 THEN 'id:x' || o_orderkey
+  ELSE 'path:a/' || o_orderkey || '#token-3' END AS url FROM orders)"""
+
+
+@register(
+    "url_parse",
+    "WITH " + _URLS_SQL + """ SELECT o_orderkey, ['id', 'sym', 'path', 'refs', 'slice', 'direct', 'bad', 'token'][o_orderkey % 8 + 1] AS kind,
+    CASE WHEN o_orderkey % 8 IN (0, 3, 5) THEN o_orderkey END AS node_id, CASE WHEN o_orderkey % 8 IN (2, 7) THEN 'a/' || o_orderkey END AS path,
+    CASE o_orderkey % 8 WHEN 5 THEN 'id:' || o_orderkey WHEN 6 THEN NULL ELSE url END AS again FROM u""",
+)
+def url_parse(spark: SparkSession, sf: str) -> DataFrame:
+    h = _urls(spark, sf).withColumn("h", urls.parse(F.col("url")))
+    return h.select("o_orderkey", "h.kind", "h.node_id", "h.path", urls.render(F.col("h")).alias("again"))
+
+
+@register(
+    "resolve_batch",
+    "WITH " + _URLS_SQL + """, m AS (SELECT o_orderkey AS n, o_custkey AS blob_id FROM orders WHERE o_orderkey % 3 <> 0)
+    SELECT u.url, CASE WHEN o_orderkey % 8 = 6 THEN 'bad url' WHEN o_orderkey % 8 = 3 THEN 'unsupported' WHEN o_orderkey % 8 = 4 THEN 'ok' WHEN m.n IS NULL THEN 'not found' ELSE 'ok' END AS status,
+    CASE o_orderkey % 8 WHEN 4 THEN o_orderkey WHEN 3 THEN NULL WHEN 6 THEN NULL ELSE m.blob_id END AS blob_id FROM u LEFT JOIN m ON m.n = u.o_orderkey""",
+)
+def resolve_batch(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders")
+    nodemap = o.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("node_id"), F.col("o_custkey").alias("blob_id"), F.lit(0).cast("long").alias("start"), F.lit(9).cast("long").alias("end"))
+    syms = o.select(F.col("o_orderkey").alias("sym_id"), F.col("o_orderkey").alias("node_id"))
+    named = o.select(F.concat(F.lit("a/"), "o_orderkey").alias("path"), F.col("o_orderkey").alias("node_id"))
+    return resolve.resolve(_urls(spark, sf).select("url"), nodemap, syms, named).select("url", "status", "blob_id")
+
+
+@register("qualified_name", "SELECT n_nationkey, r_name || '::' || n_name AS name FROM nation JOIN region ON r_regionkey = n_regionkey")
+def qualified_name(spark: SparkSession, sf: str) -> DataFrame:
+    both = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    return both.select("n_nationkey", symbols.qualified_name(F.array("n_name", "r_name")).alias("name"))
+
+
+@register("elide_summary", r"SELECT doc_id, CASE WHEN instr(text, '|') > 0 THEN replace(substr(text, 1, instr(text, '|')), chr(10), ' ') || ' … }' ELSE replace(text, chr(10), ' ') END AS summary FROM documents")
+def elide_summary(spark: SparkSession, sf: str) -> DataFrame:
+    toks = F.transform(F.regexp_extract_all("text", F.lit(r"([^|]+|\|)"), F.lit(1)), lambda x: F.struct(F.when(x == "|", "Punctuation").otherwise("Identifier").alias("type"), x.alias("text")))
+    return table(spark, sf, "documents").select("doc_id", elide.braced(toks, {"|": elide.DOTS + "}"}).alias("summary"))
+
+
+@register("union_index_items", "SELECT p_name AS key, 'Symbol' AS kind FROM part UNION ALL SELECT s_name, 'File' FROM supplier UNION ALL SELECT n_name, 'Directory' FROM nation")
+def union_index_items(spark: SparkSession, sf: str) -> DataFrame:
+    named = lambda t, c, kind: table(spark, sf, t).select(F.col(c).alias("key"), F.lit(kind).alias("kind"))
+    return named("part", "p_name", "Symbol").unionByName(named("supplier", "s_name", "File")).unionByName(named("nation", "n_name", "Directory"))
+
+
+@register("listing_minus_parsed", r"SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^?#]*)', 1) AS path FROM pages WHERE regexp_extract(url, '^[a-z]+://([^?#]*)', 1) <> '' AND regexp_extract(url, '^[a-z]+://([^?#]*)', 1) NOT IN (SELECT regexp_extract(url, '^[a-z]+://([^?#]*)', 1) FROM pages WHERE page_id % 2 = 0)")
+def listing_minus_parsed(spark: SparkSession, sf: str) -> DataFrame:
+    all_ = url_path_extract(spark, sf)
+    return files.listed(all_.select(F.concat(F.lit("./"), "path").alias("value")).where("value <> './'"), all_.where("page_id % 2 = 0"))
+
+
+@register("bounding_box", 'SELECT l_returnflag, min(l_quantity) AS top, min(l_discount) AS "left", max(l_quantity + l_tax) AS bottom, max(l_discount + l_extendedprice) AS "right" FROM lineitem GROUP BY 1')
+def bounding_box(spark: SparkSession, sf: str) -> DataFrame:
+    rects = table(spark, sf, "lineitem").select("l_returnflag", F.col("l_quantity").alias("top"), F.col("l_discount").alias("left"), F.col("l_tax").alias("height"), F.col("l_extendedprice").alias("width"))
+    return canvas.bounding_box(rects, ["l_returnflag"])
+
+
+@register("canvas_arrows", "SELECT l_orderkey AS src_id, l_partkey AS dst_id, p.p_size AS dst_top, q.p_size AS src_top FROM lineitem JOIN part p ON p.p_partkey = l_partkey JOIN part q ON q.p_partkey = l_orderkey")
+def canvas_arrows(spark: SparkSession, sf: str) -> DataFrame:
+    zero = F.lit(0)
+    rects = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("top"), zero.alias("left"), zero.alias("width"), zero.alias("height"))
+    rel = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("src_id"), F.col("l_partkey").alias("dst_id"))
+    return canvas.arrows(rel, rects).select("src_id", "dst_id", "dst_top", "src_top")
+
+
+@register("catalog_sections", "SELECT c_custkey, CASE WHEN c_nationkey = 3 THEN 'my' WHEN c_nationkey % 5 = 0 THEN 'shared' WHEN c_acctbal > 0 THEN 'public' ELSE 'hidden' END AS section FROM customer")
+def catalog_sections(spark: SparkSession, sf: str) -> DataFrame:
+    shared = F.when(F.col("c_nationkey") % 5 == 0, F.array(F.lit("3"))).otherwise(F.array().cast("array<string>"))
+    return table(spark, sf, "customer").select("c_custkey", canvas.catalog_section(F.col("c_nationkey").cast("string"), shared, F.col("c_acctbal") > 0, "3").alias("section"))
+
+
+@register("branch_encoding", "SELECT doc_id, replace(source || '/' || lang, '/', '~') AS encoded, source || '/' || lang AS decoded FROM documents")
+def branch_encoding(spark: SparkSession, sf: str) -> DataFrame:
+    name = F.concat_ws("/", "source", "lang")
+    return table(spark, sf, "documents").select("doc_id", paths.encode_branch(name).alias("encoded"), paths.decode_branch(paths.encode_branch(name)).alias("decoded"))
+
+
+@register("latest_builds", "SELECT o_custkey AS repo_id, o_orderpriority AS branch, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS build_id FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL")
+def latest_builds(spark: SparkSession, sf: str) -> DataFrame:
+    b = table(spark, sf, "orders").select(F.col("o_custkey").alias("repo_id"), F.col("o_orderpriority").alias("branch"), F.col("o_orderkey").alias("build_id"), F.col("o_orderdate").alias("ended"), (F.col("o_orderstatus") == "F").alias("ready"))
+    return store.builds_latest(b).select("repo_id", "branch", "build_id")
+
+
+@register("node_align")
+def node_align(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("file"), F.col("turn").alias("seq"), F.coalesce("text", F.lit("")).alias("text"))
+    lines = lambda t: F.split(t, "\n")
+    old = c.select("file", F.lit("old").alias("version"), "seq", (F.col("file") * 1000 + F.col("seq")).alias("node_id"), lines(F.col("text")).alias("lines"))
+    new = c.where("seq % 3 <> 1").select("file", F.lit("new").alias("version"), "seq", F.lit(0).cast("long").alias("node_id"), lines(F.concat("text", F.when(F.col("seq") % 2 == 0, "\nmore").otherwise(""))).alias("lines"))
+    return align.align_nodes(old.unionByName(new))
+
+
+@register("tumbling_events", "SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL")
+def tumbling_events(spark: SparkSession, sf: str) -> DataFrame:
+    return units.tumbling(table(spark, sf, "events"), "1 hour")

@@ -25,7 +25,7 @@ def source_files(spark: SparkSession, root: str, pattern: str = "*", most: int =
 
 def is_binary(content: Column) -> Column:
     """A zero byte, or bytes that are no UTF-8."""
-    return (F.instr(F.hex(F.substring(content, 1, 8192)), "00") % 2 == 1) | ~F.is_valid_utf8(content.cast("string")) if hasattr(F, "is_valid_utf8") else F.lit(False)
+    return F.contains(content, F.lit(bytearray(b"\x00"))) | ~F.is_valid_utf8(content.cast("string"))
 
 
 def unparsed(files: DataFrame) -> DataFrame:
@@ -51,7 +51,7 @@ def plan_units(commands: DataFrame, prefix: str, only: list[str] | None = None,
     """
     file = F.when(F.col("file").startswith("/"), F.col("file")).otherwise(F.concat_ws("/", "directory", "file"))
     args = F.coalesce(F.col("arguments"), F.split("command", r"\s+"))
-    kept = F.filter(args, lambda a: ~F.lit(False) if not drop else ~_starts(a, drop))
+    kept = F.filter(args, lambda a: ~_starts(a, drop))
     units = commands.select(relative_to(normalise(file), prefix).alias("path"), kept.alias("args"), F.monotonically_increasing_id().alias("seq"))
     if only is None:
         return units
