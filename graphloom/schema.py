@@ -11,7 +11,7 @@ NODE_KINDS = ("Definition", "Directory", "File", "Structure", "SourceFile", "Cla
 NODE_KIND_JSON = {"Definition": "definition", "Directory": "directory", "File": "sourcefile", "Structure": "structure", "SourceFile": "fullsourcefile", "Class": "class"}
 ITEM_KINDS = ("Symbol", "Directory", "File", "Macro")
 
-LOCATION = T.StructType().add("line", "int").add("column", "int").add("offset", "long")
+LOCATION = T.StructType().add("line", "integer").add("column", "integer").add("offset", "long")
 HREF = T.StructType().add("kind", "string").add("node_id", "long").add("sym_id", "long").add("path", "string").add("offset", "long").add("blob_id", "long").add("end", "long")
 TOKEN = (
     T.StructType()
@@ -21,7 +21,7 @@ TOKEN = (
     .add("has_references", "boolean")
     .add("sym_id", "long")
     .add("real_offset", "long")
-    .add("real_line", "int")
+    .add("real_line", "integer")
     .add("uim_location", LOCATION)
     .add("uim_elided", "boolean")
 )
@@ -35,9 +35,9 @@ NODE = (
     .add("text", "string")
     .add("tokens", T.ArrayType(TOKEN))
     .add("member_of", "string")
-    .add("path_id", "int")
+    .add("path_id", "integer")
     .add("uim_reference_context", "string")
-    .add("uim_nest_level", "int")
+    .add("uim_nest_level", "integer")
 )
 INDEX_ITEM = T.StructType().add("key", "string").add("href", HREF).add("kind", "string").add("path", "string").add("type", "string")
 #: Declared by the model; no operator makes or reads it.
