@@ -44,42 +44,50 @@ def simple_summary(kind: Column, tokens: Column, display_name: Column) -> Column
     return F.when(kind.isin(*STATEFUL), F.lit(None).cast("string")).when(kind == "UsingDirective", using).otherwise(F.concat(line, F.lit("\n")))
 
 
+def _flat(tokens: list[dict]) -> str:
+    return "".join(t["text"] for t in tokens).replace("\n", " ")
+
+
+def _template_end(tokens: list[dict], at: int) -> int:
+    """Index after the angle bracket that closes the template head at ``at``."""
+    depth = 0
+    for k in range(at + 1, len(tokens)):
+        if tokens[k]["type"] == "Punctuation":
+            depth += {"<": 1, ">": -1}.get(tokens[k]["text"], 0)
+            if depth == 0 and tokens[k]["text"] == ">":
+                return k + 1
+    return len(tokens)
+
+
+def _piece(tokens: list[dict], at: int) -> tuple[str, int, bool]:
+    """What the token at ``at`` shows, where reading goes on, and whether it goes on visibly."""
+    t = tokens[at]
+    if t["text"] == "{":
+        end = t.get("sem_end")
+        after = at + 1 if end is None else next((k for k in range(at + 1, len(tokens)) if tokens[k]["offset"] >= end), len(tokens))
+        return "{" + DOTS + "}", after, True
+    if (t["type"], t["text"]) == ("Punctuation", "="):
+        return "= …", at + 1, False
+    if (t["type"], t["text"]) == ("Keyword", "template"):
+        after = _template_end(tokens, at)
+        return _flat(tokens[at:after]), after, True
+    return _flat([t]), at + 1, True
+
+
 def declaration(tokens: list[dict]) -> str:
     """Summary of a variable, struct or class: blocks and values fold, template heads stay whole."""
-    out: list[str] = []
-    shown, i = True, 0
-    flat = lambda t: t["text"].replace("\n", " ")
-    while i < len(tokens):
-        t = tokens[i]
-        i += 1
-        punctuation = t["type"] == "Punctuation"
-        if t.get("sem_kind") == "VarDecl":
-            shown = True
-        if shown and t.get("sem_kind") == "FieldDecl":
-            out.append(DOTS + "} ")
-            shown = False
-        if not shown:
-            continue
-        out.append(flat(t))
-        if t["text"] == "{":
-            out.append(DOTS + "}")
-            end = t.get("sem_end")
-            while end is not None and i < len(tokens) and tokens[i]["offset"] < end:
-                i += 1
-        elif punctuation and t["text"] == "=":
-            out.append(" …")
-            shown = False
-        elif t["type"] == "Keyword" and t["text"] == "template":
-            depth = 0
-            while i < len(tokens):
-                u = tokens[i]
-                i += 1
-                out.append(flat(u))
-                if u["type"] == "Punctuation" and u["text"] in "<>":
-                    depth += 1 if u["text"] == "<" else -1
-                    if depth == 0:
-                        break
-    return "".join(out) + "\n"
+    out, at, visible = "", 0, True
+    while at < len(tokens):
+        kind = tokens[at].get("sem_kind")
+        if visible and kind == "FieldDecl":
+            out, visible = out + DOTS + "} ", False
+        visible = visible or kind == "VarDecl"
+        if visible:
+            text, at, visible = _piece(tokens, at)
+            out += text
+        else:
+            at += 1
+    return out + "\n"
 
 
 def summaries(nodes: DataFrame) -> DataFrame:
