@@ -30,7 +30,7 @@ SMOOTHING = 1.0
 #: Words of one text depend on each other; log odds are damped by this factor.
 DAMPING = 0.5
 DECIMALS = 3
-STEPS = 40
+STEPS = 25
 TOLERANCE = 1e-3
 
 _SPLIT = r"[\s.,;:!?\"()]+"
@@ -60,23 +60,27 @@ class Classifier:
     bias: tuple[float, ...]
     words: dict[str, tuple[float, ...]] = field(default_factory=dict)
 
-    def posteriors(self, tokens: Column) -> list[Column]:
-        """Rounded posteriors in domain order; they sum to 1."""
-        k = len(self.domains)
+    def score(self, described: DataFrame, names: list[str]) -> DataFrame:
+        """``described`` with a rounded posterior for each name, in domain order; they sum to 1.
+
+        The logits are a column of their own, so each text is looked up once.
+        """
         zero = F.array(*[F.lit(b) for b in self.bias])
+        logits = zero
         if self.words:
             table = F.create_map(*[x for w, v in self.words.items() for x in (F.lit(w), F.array(*[F.lit(a) for a in v]))])
-            present = F.array_intersect(tokens, F.array(*[F.lit(w) for w in self.words]))
+            present = F.array_intersect("_tokens", F.array(*[F.lit(w) for w in self.words]))
             logits = F.aggregate(F.transform(present, lambda w: F.element_at(table, w)), zero, lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
-        else:
-            logits = zero
-        self_shift = F.transform(logits, lambda x: F.exp(F.greatest(x - F.array_max(logits), F.lit(-60.0))))
-        share = lambda e, i: F.round(e[i] / F.aggregate(e, F.lit(0.0), lambda a, x: a + x), DECIMALS)
-        first = [share(self_shift, i) for i in range(k - 1)]
+        d = described.withColumn("_logits", logits)
+        each = [F.col("_logits")[i] for i in range(len(names))]
+        top = F.greatest(*each) if len(each) > 1 else each[0]
+        d = d.withColumns({f"_e{i}": F.exp(F.greatest(x - top, F.lit(-60.0))) for i, x in enumerate(each)})
+        total = sum((F.col(f"_e{i}") for i in range(1, len(names))), F.col("_e0"))
+        d = d.withColumns({name: F.round(F.col(f"_e{i}") / total, DECIMALS) for i, name in enumerate(names[:-1])})
         rest = F.lit(1.0)
-        for c in first:
-            rest = rest - c
-        return [*first, F.round(F.greatest(rest, F.lit(0.0)), DECIMALS)]
+        for name in names[:-1]:
+            rest = rest - F.col(name)
+        return d.withColumn(names[-1], F.round(F.greatest(rest, F.lit(0.0)), DECIMALS)).drop("_logits", "_tokens", *[f"_e{i}" for i in range(len(names))])
 
 
 def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...], max_train: int = MAX_TRAIN) -> Classifier:
@@ -135,18 +139,15 @@ def _rate(p: list[Column], steps, max_rate: float | None) -> Column:
     return r
 
 
-def fit(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], tokens: float | None = None, max_rate: float | None = None, max_train: int = MAX_TRAIN) -> Mix:
-    """Fit rates for ``weights`` of the domains (any scale).
+def _names(domains: tuple[str, ...]) -> list[str]:
+    return [f"p_{d}" for d in domains]
 
-    ``tokens`` is the total to reach: by default the corpus' own, or with
-    ``max_rate`` the largest at which no domain needs more than it has times
-    that rate.
-    """
-    domains = tuple(weights)
-    model = fit_classifier(docs, labelled, domains, max_train)
-    p = [F.col(f"p{i}") for i in range(len(domains))]
-    scored = _described(docs.select("text")).select(F.col("_n").alias("n"), *[c.alias(f"p{i}") for i, c in enumerate(model.posteriors(F.col("_tokens")))])
-    table = stash(scored.groupBy(*p).agg(F.sum("n").cast("double").alias("n")), "posteriors")
+
+def fit_rates(scored: DataFrame, model: Classifier, weights: dict[str, float], tokens: float | None = None, max_rate: float | None = None) -> Mix:
+    """Fit on ``n_tokens`` and the posteriors of all documents; see ``fit``."""
+    names = _names(model.domains)
+    p = [F.col(x) for x in names]
+    table = stash(scored.groupBy(*names).agg(F.sum("n_tokens").cast("double").alias("n")), "posteriors")
 
     def totals(steps) -> list[float]:
         r = _rate(p, steps, max_rate)
@@ -160,43 +161,73 @@ def fit(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], tokens:
     target = [s * tokens for s in share]
     scale = [h or 1.0 for h in have]
     steps: list[tuple[float, ...]] = []
-    now = have
+    now, before = have, math.inf
     for _ in range(STEPS):
         e = tuple((s - t) / c for s, t, c in zip(now, target, scale, strict=True))
-        if max(map(abs, e)) < TOLERANCE:
+        size = max(map(abs, e))
+        if size < TOLERANCE or size > 0.97 * before:  # reached, or held by the bounds
             break
+        before = size
         steps.append(e)
         now = totals(steps)
     return Mix(model, tuple(target), tuple(now), tuple(steps), max_rate)
 
 
-def _copies(rate: Column) -> Column:
-    """Whole copies, and one more with the rate's fraction as its chance, drawn from the text and id alone."""
-    draw = F.pmod(F.xxhash64(F.lit("mix"), F.col("doc_id"), F.col("text")), F.lit(1 << 30)) / float(1 << 30)
+def fit(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], tokens: float | None = None, max_rate: float | None = None, max_train: int = MAX_TRAIN) -> Mix:
+    """Fit rates for ``weights`` of the domains (any scale).
+
+    ``tokens`` is the total to reach: by default the corpus' own, or with
+    ``max_rate`` the largest at which no domain needs more than it has times
+    that rate.
+    """
+    model = fit_classifier(docs, labelled, tuple(weights), max_train)
+    return fit_rates(posteriors(docs.select("text"), model), model, weights, tokens, max_rate)
+
+
+def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
+    """``docs`` with ``n_tokens`` and the posterior of each domain."""
+    scored = model.score(_described(docs), _names(model.domains))
+    return scored.withColumn("n_tokens", F.col("_n").cast("long")).drop("_n")
+
+
+def _draw() -> Column:
+    """A number from 0 to 1 that the text and id alone decide."""
+    return F.pmod(F.xxhash64(F.lit("mix"), F.col("doc_id"), F.col("text")), F.lit(1 << 30)) / float(1 << 30)
+
+
+def _copies(rate: Column, draw: Column) -> Column:
+    """Whole copies, and one more with the rate's fraction as its chance."""
     return (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
+def _rated(scored: DataFrame, mix: Mix) -> DataFrame:
+    names = _names(mix.classifier.domains)
+    rated = scored.withColumn("rate", mix.rate([F.col(x) for x in names]))
+    return rated.select("doc_id", "n_tokens", *names, "rate", _copies(F.col("rate"), F.col("_draw")).alias("copies"))
+
+
 def rates(docs: DataFrame, mix: Mix) -> DataFrame:
     """``doc_id, n_tokens, p_<domain>..., rate, copies`` for every row of ``docs``.
 
     Null and empty texts have 0 tokens and a posterior like any other text.
     Repeated rows get equal rates and copies.
     """
-    d = mix.classifier.domains
-    scored = _described(docs.select("doc_id", "text"))
-    scored = scored.select("doc_id", "text", F.col("_n").cast("long").alias("n_tokens"), *[c.alias(f"p_{x}") for x, c in zip(d, mix.classifier.posteriors(F.col("_tokens")), strict=True)])
-    rated = scored.withColumn("rate", mix.rate([F.col(f"p_{x}") for x in d]))
-    return rated.select("doc_id", "n_tokens", *[f"p_{x}" for x in d], "rate", _copies(F.col("rate")).alias("copies"))
+    return _rated(posteriors(docs.select("doc_id", "text", _draw().alias("_draw")), mix.classifier), mix)
+
+
+def fitted_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], tokens: float | None = None, max_rate: float | None = None, max_train: int = MAX_TRAIN) -> DataFrame:
+    """``fit`` and ``rates`` with one scan of the texts between them: the posteriors are kept as a table."""
+    model = fit_classifier(docs, labelled, tuple(weights), max_train)
+    scored = stash(posteriors(docs.select("doc_id", "text", _draw().alias("_draw")), model).drop("text"), "scored")
+    return _rated(scored, fit_rates(scored, model, weights, tokens, max_rate))
 
 
 def mixed(docs: DataFrame, mix: Mix) -> DataFrame:
     """The rows of ``docs``, each as often as its copies say; no shuffle."""
-    names = docs.columns
-    whole = docs.select("doc_id", "text", F.struct(*[F.col(c) for c in names]).alias("_row"))
-    p = [c.alias(f"_p{i}") for i, c in enumerate(mix.classifier.posteriors(F.col("_tokens")))]
-    scored = _described(whole).select("doc_id", "text", "_row", *p)
-    rate = mix.rate([F.col(f"_p{i}") for i in range(len(p))])
-    counted = scored.withColumn("_rate", rate).withColumn("_copies", _copies(F.col("_rate"))).where("_copies > 0")
+    whole = docs.select("doc_id", "text", F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), _draw().alias("_draw"))
+    rate = mix.rate([F.col(x) for x in _names(mix.classifier.domains)])
+    scored = posteriors(whole, mix.classifier).withColumn("_rate", rate)
+    counted = scored.withColumn("_copies", _copies(F.col("_rate"), F.col("_draw"))).where("_copies > 0")
     if mix.max_rate is None or mix.max_rate > 1:
         counted = counted.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return counted.select("_row.*")

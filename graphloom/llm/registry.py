@@ -59,8 +59,7 @@ def op2_mixing_rates(spark: SparkSession, sf: str) -> DataFrame:
     from graphloom.llm import mixing
     from graphloom.llm.labels import TARGETS, labelled_domains
 
-    docs = table(spark, sf, "documents")
-    return mixing.rates(docs, mixing.fit(docs, labelled_domains(table(spark, sf, "labels")), TARGETS))
+    return mixing.fitted_rates(table(spark, sf, "documents"), labelled_domains(table(spark, sf, "labels")), TARGETS)
 
 
 def op3_quality_divergence(spark: SparkSession, sf: str) -> DataFrame:
