@@ -128,15 +128,19 @@ class Mix:
 
 
 def _rate(p: list[Column], steps, max_rate: float | None) -> Column:
-    r = F.lit(1.0)
-    for e in steps:
-        move = p[0] * F.lit(e[0])
-        for c, x in zip(p[1:], e[1:], strict=True):
-            move = move + c * F.lit(x)
+    """The rate after all steps: a fold over their residuals, which are data, so every step runs the same code."""
+    if not steps:
+        return F.lit(1.0)
+    residuals = F.array(*[F.array(*[F.lit(x) for x in e]) for e in steps])
+
+    def step(r: Column, e: Column) -> Column:
+        move = p[0] * e[0]
+        for i in range(1, len(p)):
+            move = move + p[i] * e[i]
         r = F.greatest(r - move, F.lit(0.0))
-        if max_rate is not None:
-            r = F.least(r, F.lit(max_rate))
-    return r
+        return r if max_rate is None else F.least(r, F.lit(max_rate))
+
+    return F.aggregate(residuals, F.lit(1.0), step)
 
 
 def _names(domains: tuple[str, ...]) -> list[str]:
