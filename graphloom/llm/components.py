@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by label propagation with pointer jumping."""
+"""Connected components of an edge table, by contraction of pointer forests."""
 
 from __future__ import annotations
 
@@ -8,27 +8,38 @@ from pyspark.sql import functions as F
 from graphloom.runtime import stash
 
 
+def _roots(pointers: DataFrame) -> DataFrame:
+    """``node, label``: where following ``label`` ends; pointers never rise, so there are no cycles."""
+    while True:
+        up = pointers.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        step = pointers.join(up, "label", "left").select("node", F.col("label").alias("old"), F.coalesce("further", "label").alias("label"))
+        step = stash(step, "pointers")
+        pointers = step.select("node", "label")
+        if not step.where("old <> label").limit(1).count():
+            return pointers
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, label`` for every node of an edge; the label is the component's smallest node.
 
-    Each round takes the least label among a node's neighbours, then the label
-    of its label; rounds are logarithmic in practice and each is a table in the
-    shared folder, so lineage stays short and nothing but a count reaches the
-    driver. Per-node minima are combined before the shuffle, so a node with
-    very many links costs no more than others.
+    Every node points to its least neighbour, the trees of that forest become
+    one node each, and the edges left between different ones go into the next
+    round. Each round at least halves the nodes that still have edges, and
+    edges inside a tree go at once, so a dense group costs its edges about once.
+    Minima are combined before the shuffle; rounds are tables in the shared
+    folder; nothing but counts reaches the driver.
     """
-    both = stash(
-        edges.select(F.col(a).alias("node"), F.col(b).alias("to")).unionByName(edges.select(F.col(b).alias("node"), F.col(a).alias("to"))).distinct(),
-        "links",
-    )
-    labels = stash(both.groupBy("node").agg(F.least(F.min("to"), F.col("node")).alias("label")), "labels")
+    left = stash(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y").distinct(), "links")
+    mapping: DataFrame | None = None
     while True:
-        near = both.join(labels.select(F.col("node").alias("to"), "label"), "to").groupBy("node").agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        step = step.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label"))
-        step = stash(step, "labels")
-        changed = step.where(F.col("old") != F.col("label")).limit(1).count()
-        labels = step.select("node", "label")
-        if not changed:
-            return labels
+        ends = left.select("x", "y").unionByName(left.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        labels = _roots(stash(ends.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("node")).alias("label")), "pointers"))
+        if mapping is None:
+            mapping = labels
+        else:
+            over = labels.select(F.col("node").alias("label"), F.col("label").alias("over"))
+            mapping = stash(mapping.join(over, "label", "left").select("node", F.coalesce("over", "label").alias("label")), "components")
+        moved = left.join(labels.select(F.col("node").alias("x"), F.col("label").alias("lx")), "x").join(labels.select(F.col("node").alias("y"), F.col("label").alias("ly")), "y")
+        left = stash(moved.where("lx <> ly").select(F.least("lx", "ly").alias("x"), F.greatest("lx", "ly").alias("y")).distinct(), "links")
+        if left.isEmpty():
+            return mapping

@@ -2,7 +2,8 @@
 
 The document by n-gram incidence matrix is multiplied by its transpose in
 blocks of n-grams, and only where a similar pair can show. Every set is put in
-one global order, frequent n-grams last. A pair of at least the threshold
+one global order: n-grams of rare words first, those that many documents share
+last. A pair of at least the threshold
 shares an n-gram of both prefixes, whose length follows from the set's size, so
 only prefixes are indexed. Overlap counts are accumulated per pair, pairs that
 their sizes and places bound below the threshold are discarded, and what is
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,16 +36,31 @@ N = 5
 PERCENT = 80
 #: Entries of the table of frequent n-grams; rarer ones keep hash order.
 HOT_ENTRIES = 1 << 19
-_FLUSH = 4 << 20
+WORD_BITS = 20
+_FLUSH = 3 << 19
 _SEEN_OFTEN = 4
 _FILTER_WORDS = 1 << 17
-_STAR_ROUNDS = 8
+_STAR_ROUNDS = 5
+#: After a round of stars all pairs are taken where they are at most this many times the indexed n-grams.
+_PAIRS_EACH = 4
 
 
-def shingle_sets(block: B.Block, n: int) -> list[np.ndarray]:
-    """Sorted distinct hashes of each text's ``n``-word windows; of all its words if it has fewer."""
+_LOW = B.U((1 << 56) - 1)
+
+
+def shingle_sets(block: B.Block, n: int, weight: np.ndarray) -> list[np.ndarray]:
+    """Sorted distinct ``n``-word windows of each text; all its words as one if it has fewer.
+
+    A window is a 56-bit hash under a byte that adds the weights of its words,
+    so that sets are sorted with rare words first.
+    """
     w = B.words(block, fold=B.FOLD)
     at, h = B.windows(w, n)
+    own_weight = weight[w.hash >> B.U(64 - WORD_BITS)]
+    total = np.zeros(len(at), B.U)
+    for k in range(n):
+        total += own_weight[at + k]
+    h = (h & _LOW) | (np.minimum(total, 255).astype(B.U) << B.U(56))
     cut = np.searchsorted(w.doc[at], np.arange(block.n + 1)) if len(at) else np.zeros(block.n + 1, np.int64)
     out = []
     for i in range(block.n):
@@ -51,7 +68,7 @@ def shingle_sets(block: B.Block, n: int) -> list[np.ndarray]:
             out.append(np.unique(h[cut[i] : cut[i + 1]]))
         else:
             own = w.hash[w.first[i] : w.first[i + 1]]
-            out.append(B.mix(np.cumsum(B.mix(own + np.arange(1, len(own) + 1, dtype=B.U)), dtype=B.U)[-1:] + B.U(len(own))))
+            out.append(B.mix(np.cumsum(B.mix(own + np.arange(1, len(own) + 1, dtype=B.U)), dtype=B.U)[-1:] + B.U(len(own))) & _LOW)
     return out
 
 
@@ -62,43 +79,62 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
 
 
-def _hot(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """N-grams that many documents have, with counts; at most ``HOT_ENTRIES``."""
+@dataclass(frozen=True)
+class Order:
+    """The global order of n-grams: a weight for each word's bin, and the n-grams that many documents have."""
+
+    weight: np.ndarray
+    hot: np.ndarray
+    count: np.ndarray
+
+
+def learn_order(texts: DataFrame, n: int) -> Order:
+    """Counts over all texts; what returns is at most ``2 ** WORD_BITS`` bins and ``HOT_ENTRIES`` n-grams."""
+    flat = np.zeros(1 << WORD_BITS, np.uint8)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        total = 0
+        bins = np.zeros(1 << WORD_BITS, np.int64)
 
-        def flush() -> pa.RecordBatch:
-            h, c = np.unique(np.concatenate(held), return_counts=True)
-            often = c >= _SEEN_OFTEN
-            return pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(c[often].astype(np.int64))], ["h", "c"])
+        def often(keys: np.ndarray, c: np.ndarray, of: int) -> pa.RecordBatch:
+            some = c >= _SEEN_OFTEN
+            return pa.RecordBatch.from_arrays([pa.array(np.full(some.sum(), of, np.int32)), pa.array(keys[some].astype(np.int64)), pa.array(c[some].astype(np.int64))], ["of", "h", "c"])
 
+        total = 0
         for batch in batches:
             for block in B.blocks(batch.column(0)):
-                for s in shingle_sets(block, n):
+                w = B.words(block, fold=B.FOLD)
+                bins += np.bincount((w.hash >> B.U(64 - WORD_BITS)).astype(np.int64), minlength=1 << WORD_BITS)
+                for s in shingle_sets(block, n, flat):
                     held.append(s)
                     total += len(s)
                 if total >= _FLUSH:
-                    yield flush()
+                    yield often(*np.unique(np.concatenate(held), return_counts=True), 0)
                     held, total = [], 0
         if held:
-            yield flush()
-
-    top = texts.mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= 4 * _SEEN_OFTEN)
-    got = top.orderBy(F.desc("c"), "h").limit(HOT_ENTRIES).toArrow()
-    h, c = got["h"].to_numpy().view(B.U), got["c"].to_numpy()
+            yield often(*np.unique(np.concatenate(held), return_counts=True), 0)
+        yield often(np.arange(1 << WORD_BITS), bins, 1)
+
+    sums = stash(texts.mapInArrow(count, "of int, h long, c long").groupBy("of", "h").agg(F.sum("c").alias("c")), "counts")
+    top = sums.where(f"of = 0 and c >= {4 * _SEEN_OFTEN}").orderBy(F.desc("c"), "h").limit(HOT_ENTRIES).toArrow()
+    h, c = top["h"].to_numpy().view(B.U), top["c"].to_numpy()
+    by_word = sums.where("of = 1").toArrow()
+    weight = np.zeros(1 << WORD_BITS, np.uint8)
+    weight[by_word["h"].to_numpy()] = np.round(np.log2(by_word["c"].to_numpy() + 1)).astype(np.uint8)
     order = np.argsort(h)
-    return h[order], c[order]
+    if not len(h):
+        return Order(weight, np.zeros(1, B.U), np.zeros(1, np.int64))
+    return Order(weight, h[order], c[order])
 
 
 def _prefix(s: np.ndarray, percent: int, hot: np.ndarray, count: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     k = len(s) - (percent * len(s) + 99) // 100 + 1
+    low = s & _LOW
     maybe = bitmap[s & B.U(len(bitmap) - 1)]
     if not maybe.any():
         return s[:k]
-    at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-    is_hot = hot[at] == s
+    at = np.minimum(np.searchsorted(hot, low), len(hot) - 1)
+    is_hot = hot[at] == low
     cold = s[~is_hot]
     if len(cold) >= k:
         return cold[:k]
@@ -116,24 +152,21 @@ def _fingerprints(ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return B.mix(B.mix(ids.view(B.U).copy()) + keys.view(B.U)).view(np.int64)
 
 
-def signatures(rows: DataFrame, n: int, percent: int) -> DataFrame:
+def signatures(rows: DataFrame, n: int, percent: int, order: Order) -> DataFrame:
     """``doc_id, key, n, cid, fp, prefix`` for each row of ``doc_id, key, text``."""
-    hot, count = _hot(rows.select("text"), n)
-    if not len(hot):
-        hot, count = np.zeros(1, B.U), np.zeros(1, np.int64)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.zeros(1 << 22, bool)
-        bitmap[hot & B.U(len(bitmap) - 1)] = True
+        bitmap[order.hot & B.U(len(bitmap) - 1)] = True
         seen: set[int] = set()  # of this partition, to index its copies once
         for batch in batches:
             sizes, ids, prefixes = [], [], []
             for block in B.blocks(batch.column(2)):
-                for s in shingle_sets(block, n):
+                for s in shingle_sets(block, n, order.weight):
                     c = _identity(s)
                     sizes.append(len(s))
                     ids.append(c)
-                    prefixes.append(_prefix(s, percent, hot, count, bitmap) if len(s) and c not in seen else s[:0])
+                    prefixes.append(_prefix(s, percent, order.hot, order.count, bitmap) if len(s) and c not in seen else s[:0])
                     seen.add(c)
             ids_array = np.array(ids, np.int64)
             fp = _fingerprints(ids_array, batch.column(1).to_numpy())
@@ -164,7 +197,7 @@ def _may_hold(words: np.ndarray, fp: np.ndarray) -> np.ndarray:
     return ok
 
 
-def full_sets(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+def full_sets(rows: DataFrame, wanted: DataFrame, n: int, order: Order) -> DataFrame:
     """``cid, n, grams`` of the wanted classes, from one document of each; a few more may come along."""
     words = _membership(wanted)
 
@@ -172,7 +205,7 @@ def full_sets(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             keys = batch.column(0).to_numpy()
             for block in B.blocks(batch.column(1)):
-                sets = shingle_sets(block, n)
+                sets = shingle_sets(block, n, order.weight)
                 ids = np.array([_identity(s) for s in sets], np.int64)
                 ok = _may_hold(words, _fingerprints(ids, keys[block.row : block.row + block.n]))
                 chosen = [s for s, k in zip(sets, ok, strict=True) if k]
@@ -196,38 +229,54 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").where(_enough(overlap, F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
 
 
+def _beyond_prefix(n: Column, percent: int) -> Column:
+    """N-grams of a set of ``n`` that its prefix leaves out."""
+    return F.floor((n * percent + 99) / 100) - 1
+
+
+def _may_reach(overlap: Column, n: Column, m: Column, percent: int) -> Column:
+    """Whether a pair with this overlap of prefixes can reach the threshold.
+
+    N-grams up to the nearer end of the two prefixes are counted whole, so at
+    most what that set's prefix leaves out comes on top.
+    """
+    return _enough(overlap + F.greatest(_beyond_prefix(n, percent), _beyond_prefix(m, percent)), n, m, percent)
+
+
 def _star_pairs(listed: DataFrame, round_: int, percent: int) -> DataFrame:
-    """Each n-gram's documents against one hub; another component's each round."""
-    order = F.struct(F.xxhash64("comp", F.lit(round_)).alias("r"), F.col("comp"), F.col("cid"), F.col("n"), F.col("pos"))
+    """Each n-gram's documents against one hub, another one each round; only likely pairs.
+
+    Hubs are drawn among documents, so that large components, which more
+    documents are likely to link with, give most of them.
+    """
+    order = F.struct(F.xxhash64("cid", F.lit(round_)).alias("r"), F.col("cid"), F.col("comp"), F.col("n"))
     hubs = listed.groupBy("gram").agg(F.min(order).alias("hub"))
     h = F.col("hub")
-    rest = F.least(F.col("n") - F.col("pos"), h["n"] - h["pos"])  # most they share if this is their first
-    fits = (F.col("comp") != h["comp"]) & _sizes_fit(F.col("n"), h["n"], percent) & _enough(rest, F.col("n"), h["n"], percent)
-    return listed.join(hubs, "gram").where(fits).select(h["cid"].alias("a"), F.col("cid").alias("b")).distinct()
+    fits = (F.col("comp") != h["comp"]) & _sizes_fit(F.col("n"), h["n"], percent)
+    counted = listed.join(hubs, "gram").where(fits).groupBy(h["cid"].alias("a"), F.col("cid").alias("b"), h["n"].alias("n_a"), F.col("n").alias("n_b")).agg(F.count(F.lit(1)).alias("overlap"))
+    return counted.where(_may_reach(F.col("overlap"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
 
 
 def _all_pairs(listed: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components with their counts over the indexed n-grams, less those bounded below the threshold."""
     some = listed.join(grams, "gram", "left_semi")
-    a = some.select("gram", F.col("cid").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"))
-    b = some.select(F.col("gram").alias("gram_b"), F.col("cid").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"))
+    a = some.select("gram", F.col("cid").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("n_a"))
+    b = some.select(F.col("gram").alias("gram_b"), F.col("cid").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"))
     fits = (F.col("gram") == F.col("gram_b")) & (F.col("comp_a") < F.col("comp_b")) & _sizes_fit(F.col("n_a"), F.col("n_b"), percent)
-    counted = a.join(b, fits).groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("overlap"), F.max("pos_a").alias("at_a"), F.max("pos_b").alias("at_b"))
-    most = F.col("overlap") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) - 1
-    return counted.where(_enough(most, F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+    counted = a.join(b, fits).groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("overlap"))
+    return counted.where(_may_reach(F.col("overlap"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
 
 
-def links(rows: DataFrame, signed: DataFrame, n: int, percent: int) -> DataFrame | None:
+def links(rows: DataFrame, signed: DataFrame, n: int, percent: int, order: Order) -> DataFrame | None:
     """``node, label`` of the classes that link with another; None if there are none."""
-    spread = signed.where(F.size("prefix") > 0).select("cid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "gram"))
+    spread = signed.where(F.size("prefix") > 0).select("cid", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("gram"))
     w = W.partitionBy("gram")
     shared = spread.withColumn("lo", F.min("cid").over(w)).withColumn("hi", F.max("cid").over(w)).where("lo <> hi")
-    postings = stash(shared.select("gram", "cid", "n", "pos").distinct(), "postings")
+    postings = stash(shared.select("gram", "cid", "n").distinct(), "postings")
     size = postings.count()
     if not size:
         return None
-    classes = signed.groupBy("cid").agg(F.min("key").alias("key"), F.min(F.struct("key", "fp"))["fp"].alias("fp"))
-    sets = full_sets(rows, classes.join(postings.select("cid").distinct(), "cid", "left_semi").select("fp"), n)
+    classes = signed.groupBy("cid").agg(F.min("fp").alias("fp"))  # one document of each class
     edges: DataFrame | None = None
     labels: DataFrame | None = None
     before = None
@@ -235,14 +284,18 @@ def links(rows: DataFrame, signed: DataFrame, n: int, percent: int) -> DataFrame
         listed = postings.withColumn("comp", F.col("cid"))
         if labels is not None:
             listed = postings.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("label", "cid")).drop("label")
+            listed = stash(listed, "postings")
         by_comp = listed.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("k"))
         mixed = by_comp.groupBy("gram").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q"), F.count(F.lit(1)).alias("c")).where("c > 1")
         cross, left = mixed.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.sum("c")).collect()[0]
         if not cross:
             return labels
-        last = cross <= max(50_000, size // 2) or left == before or round_ == _STAR_ROUNDS
+        sparse = cross <= max(50_000, _PAIRS_EACH * size)
+        last = round_ > 0 and (sparse or left > 0.85 * before) or round_ == _STAR_ROUNDS
         before = left
-        pairs = _all_pairs(listed, mixed.select("gram"), percent) if last else _star_pairs(listed, round_, percent)
+        pairs = stash(_all_pairs(listed, mixed.select("gram"), percent) if last else _star_pairs(listed, round_, percent), "pairs")
+        some = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+        sets = full_sets(rows, classes.join(some, "cid", "left_semi").select("fp"), n, order)
         found = stash(_verify(pairs, sets, percent), "edges")
         edges = found if edges is None else edges.unionByName(found)
         labels = components(edges) if not edges.isEmpty() else None
@@ -269,8 +322,9 @@ def near_copies(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFram
     integral = docs.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
     key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")) if integral else F.xxhash64("doc_id", "text")
     rows = docs.select("doc_id", key.alias("key"), "text")
-    signed = signatures(rows, n, percent)
-    labels = links(rows, signed, n, percent)
+    order = learn_order(rows.select("text"), n)
+    signed = signatures(rows, n, percent, order)
+    labels = links(rows, signed, n, percent, order)
     classes = signed.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("component_id"))
     if labels is not None:
         linked = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
