@@ -131,9 +131,10 @@ def references(docs: DataFrame) -> dict[str | None, tuple[np.ndarray, np.ndarray
     """
     width = N_CLASSES + N_WORDS
     parts = docs.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(_reference_sums, "lang string, docs long, counts array<long>")
-    sums = parts.groupBy("lang").agg(F.sum("docs").alias("docs"), *[F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(width)])
-    every = parts.agg(*[F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(width)]).collect()[0]
-    rows = sums.where(F.col("lang").isNotNull()).orderBy(F.desc("docs"), "lang").limit(MAX_LANGUAGES).collect()
+    totals = [F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(width)]
+    sums = parts.rollup("lang").agg(F.grouping("lang").alias("all"), F.sum("docs").alias("docs"), *totals)
+    rows = sums.where((F.col("all") == 1) | F.col("lang").isNotNull()).orderBy(F.desc("all"), F.desc("docs"), "lang").limit(MAX_LANGUAGES + 1).collect()
+    every, rows = rows[0], rows[1:]
     cut = lambda r: (np.array([r[f"c{i}"] or 0 for i in range(N_CLASSES)], float), np.array([r[f"c{i}"] or 0 for i in range(N_CLASSES, width)], float))
     return {None: cut(every)} | {r["lang"]: cut(r) for r in rows}
 
