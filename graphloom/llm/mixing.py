@@ -229,9 +229,10 @@ def fitted_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float]
 def mixed(docs: DataFrame, mix: Mix) -> DataFrame:
     """The rows of ``docs``, each as often as its copies say; no shuffle."""
     whole = docs.select("doc_id", "text", F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), _draw().alias("_draw"))
-    rate = mix.rate([F.col(x) for x in _names(mix.classifier.domains)])
-    scored = posteriors(whole, mix.classifier).withColumn("_rate", rate)
-    counted = scored.withColumn("_copies", _copies(F.col("_rate"), F.col("_draw"))).where("_copies > 0")
-    if mix.max_rate is None or mix.max_rate > 1:
-        counted = counted.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return counted.select("_row.*")
+    # The row number keeps the filter above the scores: pushed down, it would repeat their expressions many times over.
+    scored = posteriors(whole, mix.classifier).withColumn("_place", F.monotonically_increasing_id())
+    rated = scored.withColumn("_rate", mix.rate([F.col(x) for x in _names(mix.classifier.domains)]))
+    counted = rated.withColumn("_copies", _copies(F.col("_rate"), F.col("_draw"))).where((F.col("_copies") > 0) & (F.col("_place") >= 0))
+    if mix.max_rate is not None and mix.max_rate <= 1:
+        return counted.select("_row.*")
+    return counted.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
