@@ -161,19 +161,20 @@ def fit_rates(scored: DataFrame, model: Classifier, weights: dict[str, float], t
     have = totals([])
     share = [w / (sum(weights.values()) or 1) for w in weights.values()]
     if tokens is None:
-        tokens = sum(have) if max_rate is None else min([max_rate * h / s for h, s in zip(have, share, strict=True) if s > 0 and h > 0], default=sum(have))
+        top = max(range(len(share)), key=share.__getitem__)
+        tokens = max_rate * have[top] / share[top] if max_rate is not None and share[top] > 0 else sum(have)
     target = [s * tokens for s in share]
-    scale = [h or 1.0 for h in have]
+    scale = [max(h, t) or 1.0 for h, t in zip(have, target, strict=True)]
     steps: list[tuple[float, ...]] = []
-    now, before = have, math.inf
+    now = have
     for _ in range(STEPS):
         e = tuple((s - t) / c for s, t, c in zip(now, target, scale, strict=True))
-        size = max(map(abs, e))
-        if size < TOLERANCE or size > 0.97 * before:  # reached, or held by the bounds
+        if max(map(abs, e)) < TOLERANCE:
             break
-        before = size
         steps.append(e)
-        now = totals(steps)
+        before, now = now, totals(steps)
+        if max(abs(x - y) / c for x, y, c in zip(now, before, scale, strict=True)) < TOLERANCE:  # held by the bounds
+            break
     return Mix(model, tuple(target), tuple(now), tuple(steps), max_rate)
 
 
@@ -181,8 +182,9 @@ def fit(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], tokens:
     """Fit rates for ``weights`` of the domains (any scale).
 
     ``tokens`` is the total to reach: by default the corpus' own, or with
-    ``max_rate`` the largest at which no domain needs more than it has times
-    that rate.
+    ``max_rate`` the total at which the domain of the largest weight keeps all
+    it has times that rate. Domains that have less than their target then stay
+    whole.
     """
     model = fit_classifier(docs, labelled, tuple(weights), max_train)
     return fit_rates(posteriors(docs.select("text"), model), model, weights, tokens, max_rate)

@@ -409,7 +409,7 @@ def test_mixing(spark, docs, nothing):
     have = [sum(r.n_tokens * r[c] for r in rows) for c in p]
     for _ in m.steps:
         now = [sum(r.n_tokens * r[c] * x for r, x in zip(rows, rate, strict=True)) for c in p]
-        e = [(s - t) / (h or 1.0) for s, t, h in zip(now, m.targets, have, strict=True)]
+        e = [(s - t) / (max(h, t) or 1.0) for s, t, h in zip(now, m.targets, have, strict=True)]
         rate = [max(0.0, x - sum(r[c] * y for c, y in zip(p, e, strict=True))) for r, x in zip(rows, rate, strict=True)]
     assert all(abs(r.rate - x) < 1e-6 for r, x in zip(rows, rate, strict=True))
     reached = [sum(r.n_tokens * r[c] * x for r, x in zip(rows, rate, strict=True)) for c in p]
