@@ -14,6 +14,10 @@ stars first: each n-gram links its documents to one hub, so a group of g
 near copies costs g pairs and not g * g. The last round then takes, exactly,
 all pairs that still lie in different components. The order of n-grams and the
 choice of hubs decide the cost only, never the result.
+
+Links within a component are counted afterwards, if asked for: the incidence
+matrix of its classes is multiplied by its transpose in tiles, and a tile gives
+one number for each class, so no table of pairs is made.
 """
 
 from __future__ import annotations
@@ -43,6 +47,10 @@ _FILTER_WORDS = 1 << 17
 _STAR_ROUNDS = 5
 #: After a round of stars all pairs are taken where they are at most this many times the indexed n-grams.
 _PAIRS_EACH = 4
+#: A tile of a component's product has about so many n-grams and classes to each side.
+_TILE_GRAMS = 1 << 20
+_TILE_CLASSES = 512
+_TILE_CELLS = 1 << 22
 
 
 _LOW = B.U((1 << 56) - 1)
@@ -304,14 +312,84 @@ def links(rows: DataFrame, signed: DataFrame, n: int, percent: int, order: Order
     return labels
 
 
-def near_copies(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for each row of ``docs``.
+def _linked_weights(sides: np.ndarray, weight: np.ndarray, sizes: np.ndarray, grams: np.ndarray, percent: int) -> np.ndarray:
+    """For each set of a tile, the weights of the others that it links with.
+
+    ``grams`` has the sets one after another. Sets of one side are compared with
+    those of the other, or with each other if there is one side only.
+    """
+    m = len(sizes)
+    owner = np.repeat(np.arange(m), sizes)
+    left = np.flatnonzero(sides == sides.min())
+    right = np.flatnonzero(sides == sides.max())
+    place = np.unique(grams, return_inverse=True)[1]
+    common = np.bincount(place)[place] > 1
+    owner, place = owner[common], place[common]
+    place = np.unique(place, return_inverse=True)[1]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    overlap = np.zeros((len(left), len(right)), np.int64)
+    wide = max(1, _TILE_CELLS // m)
+    for first in range(0, int(place[-1]) + 1 if len(place) else 0, wide):
+        lo, hi = np.searchsorted(place, [first, first + wide])
+        has = np.zeros((m, wide), np.float32)
+        has[owner[lo:hi], place[lo:hi] - first] = 1
+        overlap += (has[left] @ has[right].T).astype(np.int64)
+    n, k = sizes[left][:, None], sizes[right][None, :]
+    linked = overlap * 100 >= (n + k - overlap) * percent
+    out = np.zeros(m, np.int64)
+    if sides.min() == sides.max():
+        np.fill_diagonal(linked, False)
+        out[left] = linked @ weight[right]
+    else:
+        out[left] = linked @ weight[right]
+        out[right] = weight[left] @ linked
+    return out
+
+
+def link_counts(rows: DataFrame, signed: DataFrame, labels: DataFrame | None, n: int, percent: int, order: Order) -> DataFrame:
+    """``cid, n_links`` of every class: how many other documents link with one of its documents.
+
+    Links lie within components. The classes of a large one are dealt into
+    blocks by hash, and every two blocks are a tile, compared whole.
+    """
+    classes = signed.where("n > 0").groupBy("cid").agg(F.min("fp").alias("fp"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+    if labels is None:
+        return classes.select("cid", (F.col("copies") - 1).alias("n_links"))
+    members = stash(classes.join(labels.withColumnRenamed("node", "cid"), "cid"), "members")
+    blocks = F.greatest(F.ceil(F.sum("n") / _TILE_GRAMS), F.ceil(F.count(F.lit(1)) / _TILE_CLASSES))
+    many = members.groupBy("label").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    dealt = members.join(many, "label").withColumn("side", F.pmod(F.xxhash64("cid"), F.col("blocks"))).select("cid", "copies", "label", "blocks", "side")
+    sets = full_sets(rows, members.select("fp"), n, order).select("cid", "grams").dropDuplicates(["cid"])
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    tiles = dealt.join(sets, "cid").select("cid", "copies", "label", "side", "grams", other)
+    tiles = tiles.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).drop("other")
+
+    def count(tile: pa.Table) -> pa.Table:
+        i, j = tile["i"][0].as_py(), tile["j"][0].as_py()
+        sides = tile["side"].to_numpy()
+        ids = tile["cid"].to_numpy()
+        lists = tile["grams"].combine_chunks()
+        lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
+        if i != j and sides.min() == sides.max():  # no class fell into the other block
+            return pa.table({"cid": ids[:0], "more": ids[:0]})
+        sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        more = _linked_weights(sides, tile["copies"].to_numpy(), sizes, lists.flatten().to_numpy(), percent)
+        return pa.table({"cid": pa.array(ids, pa.int64()), "more": pa.array(more, pa.int64())})
+
+    counted = tiles.groupBy("label", "i", "j").applyInArrow(count, "cid long, more long").groupBy("cid").agg(F.sum("more").alias("more"))
+    return classes.join(counted, "cid", "left").select("cid", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
+
+
+def near_copies(docs: DataFrame, n: int = N, percent: int = PERCENT, count_links: bool = False) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for each row of ``docs``; with ``count_links`` also ``n_links``.
 
     Words are runs without ASCII white space, A-Z lower-cased. A document's set
     has its distinct ``n``-word windows, or the sequence of all its words if it
     has fewer. Documents link when their sets' Jaccard similarity is at least
     ``percent`` hundredths; ``component_id`` is the smallest ``doc_id`` that
-    links reach, the document's own included.
+    links reach, the document's own included; ``n_links`` is the exact number of
+    other documents that a document links with.
 
     Null, empty and blank texts have 0 shingles and link with nothing. A null
     ``doc_id`` links like others but is never a component's id unless nothing
@@ -331,7 +409,11 @@ def near_copies(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFram
         least = linked.groupBy("label").agg(F.min("component_id").alias("component_id"))
         classes = linked.select("cid", "label").join(least, "label").select("cid", "component_id")
     own = signed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("cid")).alias("cid"))
-    return own.join(classes, "cid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    given = ["doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")]
+    if count_links:
+        classes = classes.join(link_counts(rows, signed, labels, n, percent, order), "cid")
+        given.append(F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return own.join(classes, "cid", "left").select(*given)
 
 
 def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:

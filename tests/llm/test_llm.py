@@ -91,6 +91,21 @@ def test_ngram_join_stars_lose_nothing(docs, monkeypatch):
     assert sorted(map(str, map(tuple, ngram_join.near_copies(docs).collect()))) == sorted(map(str, _components(rows)))
 
 
+def test_ngram_links_brute_force(docs, nothing, monkeypatch):
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    sets = [_shingles(t) for _, t in rows]
+    n_links = [sum(i != j and bool(a) and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    assert max(n_links) > 2
+    want = sorted(str((*c, k)) for c, k in zip(_components(rows), n_links, strict=True))
+    got = ngram_join.near_copies(docs, count_links=True)
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "n_links"]
+    assert sorted(map(str, map(tuple, got.collect()))) == want
+    monkeypatch.setattr(ngram_join, "_TILE_CLASSES", 3)  # several tiles for the chain of near copies
+    monkeypatch.setattr(ngram_join, "_TILE_CELLS", 100)
+    assert sorted(map(str, map(tuple, ngram_join.near_copies(docs, count_links=True).collect()))) == want
+    assert ngram_join.near_copies(nothing, count_links=True).count() == 0
+
+
 def test_keep_one(docs):
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns
