@@ -9,14 +9,17 @@ The gradient of a rate depends on the document's posterior alone, so documents
 of equal posterior (rounded to ``DECIMALS``) share a rate. Totals are therefore
 summed once by posterior, each step is an aggregate over that small table, and
 a document's rate is a closed expression of its posterior and the residuals of
-all steps.
+all steps. A step shrinks a rare domain's gap only a little; where the steps
+end short of the optimum, Newton steps on one multiplier a domain finish it.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +35,9 @@ DAMPING = 0.5
 DECIMALS = 3
 STEPS = 25
 TOLERANCE = 1e-3
+NEWTON_STEPS = 60
+#: Weights of the multipliers' penalty, each solved from the last one's solution.
+_PENALTIES = (1e-2, 1e-4, 1e-6, 1e-8)
 
 _SPLIT = r"[\s.,;:!?\"()]+"
 
@@ -115,15 +121,25 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...
 
 @dataclass(frozen=True)
 class Mix:
-    """A fitted mix: classifier, targets, totals reached, and the residual of every step."""
+    """A fitted mix: classifier, targets, totals reached, and the residual of every step.
+
+    Where steps did not suffice there are none, and a rate is 1 less the
+    posterior's product with ``multipliers``. ``gap`` is the largest difference
+    of a total from its target, as a share of the target (of all tokens where
+    that is 0): beyond TOLERANCE only if no rates within the bounds do better.
+    """
 
     classifier: Classifier
     targets: tuple[float, ...]
     totals: tuple[float, ...]
     steps: tuple[tuple[float, ...], ...]
     max_rate: float | None
+    multipliers: tuple[float, ...] | None = None
+    gap: float = 0.0
 
     def rate(self, posteriors: list[Column]) -> Column:
+        if self.multipliers is not None:
+            return _solved(posteriors, self.multipliers, self.max_rate)
         return _rate(posteriors, self.steps, self.max_rate)
 
 
@@ -143,6 +159,63 @@ def _rate(p: list[Column], steps, max_rate: float | None) -> Column:
     return F.aggregate(residuals, F.lit(1.0), step)
 
 
+def _free(p: list[Column], multipliers) -> Column:
+    """1 less the product of posterior and multipliers, before bounds."""
+    values = F.array(*[F.lit(float(x)) for x in multipliers])
+    out = F.lit(1.0)
+    for i, c in enumerate(p):
+        out = out - c * values[i]
+    return out
+
+
+def _solved(p: list[Column], multipliers, max_rate: float | None) -> Column:
+    r = F.greatest(_free(p, multipliers), F.lit(0.0))
+    return r if max_rate is None else F.least(r, F.lit(max_rate))
+
+
+def _newton(table: DataFrame, p: list[Column], target: list[float], scale: list[float], max_rate: float | None) -> tuple[float, ...]:
+    """Multipliers whose rates solve the bounded least squares to a residual, else an error.
+
+    Of all solutions it is the one of rates nearest to 1. With a penalty e the
+    multipliers x satisfy ``totals(x) - target = e * scale * x``, one root of a
+    monotone map; the penalty then falls until it is small beside TOLERANCE.
+    """
+    k = len(p)
+    c, t = np.array(scale), np.array(target)
+
+    def look(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        free = _free(p, x)
+        inside = (free > 0) if max_rate is None else (free > 0) & (free < max_rate)
+        r = _solved(p, x, max_rate)
+        sums = [F.sum(F.col("n") * p[i] * r) for i in range(k)]
+        slopes = [F.sum(F.when(inside, F.col("n") * p[i] * p[j]).otherwise(0.0)) for i in range(k) for j in range(k)]
+        row = [float(v or 0) for v in table.agg(*[v.alias(f"s{i}") for i, v in enumerate(sums + slopes)]).collect()[0]]
+        return np.array(row[:k]), np.array(row[k:]).reshape(k, k)
+
+    x = np.zeros(k)
+    now, slope = look(x)
+    for penalty in _PENALTIES:
+        root = np.sqrt(c)  # residuals are compared in these units
+        value = lambda now, x: (t - now + penalty * c * x) / c  # noqa: B023, E731
+        f = value(now, x)
+        for _ in range(NEWTON_STEPS):
+            if np.abs(f).max() < TOLERANCE / 100:
+                break
+            jacobian = (slope + penalty * np.diag(c)) / np.outer(root, root)
+            move = np.linalg.solve(jacobian, -f * c / root) / root
+            part = 1.0
+            while True:
+                next_now, next_slope = look(x + part * move)
+                next_f = value(next_now, x + part * move)
+                if np.linalg.norm(next_f * root) < (1 - part / 1000) * np.linalg.norm(f * root) or part < 1e-4:
+                    break
+                part /= 2
+            x, now, slope, f = x + part * move, next_now, next_slope, next_f
+        else:
+            raise ArithmeticError(f"mixing rates: {NEWTON_STEPS} Newton steps left a residual of {np.abs(f).max():.3g} at penalty {penalty}")
+    return tuple(float(v) for v in x)
+
+
 def _names(domains: tuple[str, ...]) -> list[str]:
     return [f"p_{d}" for d in domains]
 
@@ -173,9 +246,21 @@ def fit_rates(scored: DataFrame, model: Classifier, weights: dict[str, float], t
             break
         steps.append(e)
         before, now = now, totals(steps)
-        if max(abs(x - y) / c for x, y, c in zip(now, before, scale, strict=True)) < TOLERANCE:  # held by the bounds
+        if max(abs(x - y) / c for x, y, c in zip(now, before, scale, strict=True)) < TOLERANCE:  # held by the bounds, or slow
             break
-    return Mix(model, tuple(target), tuple(now), tuple(steps), max_rate)
+
+    def gap() -> float:
+        return max((abs(s - t) / (t or sum(target) or 1.0) for s, t in zip(now, target, strict=True)), default=0.0)
+
+    multipliers = None
+    if gap() > TOLERANCE and sum(have) > 0 and sum(target) > 0:
+        multipliers = _newton(table, p, target, scale, max_rate)
+        steps = []
+        row = table.agg(*[F.sum(F.col("n") * c * _solved(p, multipliers, max_rate)).alias(f"s{i}") for i, c in enumerate(p)]).collect()[0]
+        now = [float(x or 0) for x in row]
+        if gap() > TOLERANCE:
+            warnings.warn(f"mixing rates: no rates within the bounds meet the targets {target}; the totals are {now}", stacklevel=2)
+    return Mix(model, tuple(target), tuple(now), tuple(steps), max_rate, multipliers, gap())
 
 
 def fit(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], tokens: float | None = None, max_rate: float | None = None, max_train: int = MAX_TRAIN) -> Mix:

@@ -437,6 +437,32 @@ def test_mixing(spark, docs, nothing):
     assert all(abs(r.p_clean - 0.333) < 1e-9 for r in mixing.rates(docs, uniform).collect())
 
 
+@pytest.mark.parametrize("rare", [0.001, 0.0003, 0.00001])
+def test_mixing_reaches_rare_domains(spark, rare):
+    c = mixing.Classifier(("clean", "low", "toxic"), (0.0, 0.0, 0.0))
+    n = 100_000_000
+    hard = [(1.0, 0.0, 0.0, int(n * (0.7 - rare))), (0.0, 1.0, 0.0, int(n * 0.3)), (0.0, 0.0, 1.0, int(n * rare))]
+    soft = [(0.97, 0.02, 0.01, int(n * (0.7 - rare))), (0.2, 0.8, 0.0, int(n * 0.3)), (0.1, 0.2, 0.7, int(n * rare))]
+    for rows in (hard, soft):
+        scored = spark.createDataFrame(rows, "p_clean double, p_low double, p_toxic double, n_tokens long")
+        m = mixing.fit_rates(scored, c, TARGETS)
+        rates = [r.rate for r in scored.withColumn("rate", m.rate([F.col(f"p_{d}") for d in TARGETS])).collect()]
+        got = scored.withColumn("rate", m.rate([F.col(f"p_{d}") for d in TARGETS])).collect()
+        assert min(rates) >= 0
+        for d, t in zip(TARGETS, m.targets, strict=True):
+            assert abs(sum(r.n_tokens * r[f"p_{d}"] * r.rate for r in got) - t) <= mixing.TOLERANCE * t
+        assert m.gap <= mixing.TOLERANCE
+
+
+def test_mixing_reports_targets_out_of_reach(spark):
+    c = mixing.Classifier(("clean", "low", "toxic"), (0.0, 0.0, 0.0))
+    scored = spark.createDataFrame([(1.0, 0.0, 0.0, 900), (0.0, 1.0, 0.0, 99), (0.0, 0.0, 1.0, 1)], "p_clean double, p_low double, p_toxic double, n_tokens long")
+    with pytest.warns(UserWarning, match="within the bounds"):
+        m = mixing.fit_rates(scored, c, TARGETS, max_rate=1.0)
+    assert m.totals[2] == pytest.approx(1, rel=1e-3) and m.gap > 0.9
+    assert m.totals[0] == pytest.approx(m.targets[0], rel=1e-3) and m.totals[1] == pytest.approx(m.targets[1], rel=1e-3)
+
+
 def test_mixing_is_native(spark, docs):
     m = mixing.fit(docs, labelled_domains(_labels(spark, docs)), TARGETS)
     plan = mixing.mixed(docs, m)._jdf.queryExecution().executedPlan().toString() + mixing.rates(docs, m)._jdf.queryExecution().executedPlan().toString()
