@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import blocks as B
-from graphloom.runtime import prepare
+from graphloom.runtime import prepare, stash
 
 # Frequent function words of English, French, German and Spanish.
 COMMON_WORDS = (
@@ -32,6 +32,7 @@ CHAR_LIMIT = 0.30
 WORD_LIMIT = 0.24
 WORD_NOISE = 0.9
 MIN_WORDS = 80
+#: Languages whose references the driver holds; those of rarer ones are joined as a table.
 MAX_LANGUAGES = 256
 
 _CLASS = np.full(256, 4, np.int64)  # other ASCII: controls and symbols
@@ -105,13 +106,17 @@ def _reference_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         langs = np.array(batch.column(1).to_pylist(), dtype=object)
         for block in B.blocks(batch.column(0)):
             c = _counts(block)
-            own = langs[block.row : block.row + block.n]
-            for lang in set(own):
-                pick = own == lang if lang is not None else np.array([x is None for x in own])
+            place: dict[str | None, int] = {}
+            at = np.array([place.setdefault(x, len(place)) for x in langs[block.row : block.row + block.n]], np.int64)
+            chars, common = np.zeros((len(place), N_CLASSES), np.int64), np.zeros((len(place), N_WORDS), np.int64)
+            np.add.at(chars, at, c["chars"])
+            np.add.at(common, at, c["common"])
+            docs = np.bincount(at, minlength=len(place))
+            for lang, i in place.items():
                 got = total.setdefault(lang, [0, np.zeros(N_CLASSES, np.int64), np.zeros(N_WORDS, np.int64)])
-                got[0] += int(pick.sum())
-                got[1] += c["chars"][pick].sum(0)
-                got[2] += c["common"][pick].sum(0)
+                got[0] += int(docs[i])
+                got[1] += chars[i]
+                got[2] += common[i]
     names = list(total)
     yield pa.RecordBatch.from_arrays(
         [
@@ -123,20 +128,28 @@ def _reference_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     )
 
 
-def references(docs: DataFrame) -> dict[str | None, tuple[np.ndarray, np.ndarray]]:
-    """Histograms of the most frequent languages; under None those of all documents.
+Histograms = tuple[np.ndarray, np.ndarray]
+
+
+def references(docs: DataFrame) -> tuple[dict[str | None, Histograms], DataFrame | None]:
+    """Histograms of the most frequent languages, under None those of all documents; and a table of the others.
 
     Every document counts. At most ``MAX_LANGUAGES`` languages come to the
-    driver; documents of others are compared with the whole corpus.
+    driver; what is beyond stays a table ``_lang, _ref``, None if there is nothing.
     """
     width = N_CLASSES + N_WORDS
     parts = docs.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(_reference_sums, "lang string, docs long, counts array<long>")
     totals = [F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(width)]
-    sums = parts.rollup("lang").agg(F.grouping("lang").alias("all"), F.sum("docs").alias("docs"), *totals)
-    rows = sums.where((F.col("all") == 1) | F.col("lang").isNotNull()).orderBy(F.desc("all"), F.desc("docs"), "lang").limit(MAX_LANGUAGES + 1).collect()
-    every, rows = rows[0], rows[1:]
+    sums = stash(parts.rollup("lang").agg(F.grouping("lang").alias("all"), F.sum("docs").alias("docs"), *totals), "references")
+    rows = sums.where((F.col("all") == 1) | F.col("lang").isNotNull()).orderBy(F.desc("all"), F.desc("docs"), "lang").limit(MAX_LANGUAGES + 2).collect()
+    every, more, rows = rows[0], len(rows) > MAX_LANGUAGES + 1, rows[1 : MAX_LANGUAGES + 1]
     cut = lambda r: (np.array([r[f"c{i}"] or 0 for i in range(N_CLASSES)], float), np.array([r[f"c{i}"] or 0 for i in range(N_CLASSES, width)], float))
-    return {None: cut(every)} | {r["lang"]: cut(r) for r in rows}
+    held = {None: cut(every)} | {r["lang"]: cut(r) for r in rows}
+    if not more:
+        return held, None
+    known = [r["lang"] for r in rows]
+    rest = sums.where((F.col("all") == 0) & F.col("lang").isNotNull() & ~F.col("lang").isin(known))
+    return held, rest.select(F.col("lang").alias("_lang"), F.array(*[F.coalesce(f"c{i}", F.lit(0)) for i in range(width)]).alias("_ref"))
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -153,12 +166,16 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _judge(texts: pa.Array, langs: pa.Array, refs: dict, char_limit: float, word_limit: float, min_words: int) -> dict[str, np.ndarray]:
+def _judge(texts: pa.Array, langs: pa.Array, joined: pa.Array | None, refs: dict, char_limit: float, word_limit: float, min_words: int) -> dict[str, np.ndarray]:
     names = langs.to_pylist()
     parts: list[dict[str, np.ndarray]] = []
     for block in B.blocks(texts):
         c = _counts(block)
-        own = [refs.get(x, refs[None]) for x in names[block.row : block.row + block.n]]
+        if joined is None:
+            own = [refs.get(x, refs[None]) for x in names[block.row : block.row + block.n]]
+        else:
+            whole = np.array(joined.slice(block.row, block.n).to_pylist(), float)
+            own = list(zip(whole[:, :N_CLASSES], whole[:, N_CLASSES:], strict=True))
         c["js_char"] = js_distance(c.pop("chars"), np.array([r[0] for r in own]))
         c["js_word"] = js_distance(c.pop("common"), np.array([r[1] for r in own]))
         n = c["n_words"]
@@ -173,27 +190,37 @@ def quality(docs: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float =
     """Judge every document; one row each.
 
     Two scans of the texts and no shuffle of them: the first sums the language
-    references, the second judges against them.
+    references, the second judges against them. Only documents of languages
+    beyond the ``MAX_LANGUAGES`` most frequent ones are joined with their
+    references, in one more scan.
 
     ``keep_columns`` returns the columns of ``docs`` alone (with ``kept_only``
     the documents that pass), else ``doc_id``, the base measures, ``js_char``,
     ``js_word``, ``base_failed`` and ``kept``. Null and empty texts have no
-    words and fail the base rule. A null or rare language is compared with the
+    words and fail the base rule. A null language is compared with the
     whole corpus; a missing ``lang`` column counts as null. Repeated rows are
     judged alike, each on its own. Columns of ``docs`` may have any names.
     """
     prepare(docs.sparkSession)
     source = docs if "lang" in docs.columns else docs.withColumn("lang", F.lit(None).cast("string"))
     if docs.isEmpty():
-        refs = {None: (np.zeros(N_CLASSES), np.zeros(N_WORDS))}
+        refs, rest = {None: (np.zeros(N_CLASSES), np.zeros(N_WORDS))}, None
     else:
-        refs = references(source)
+        refs, rest = references(source)
+    if keep_columns:
+        names, schema = list(docs.columns), docs.schema
+    else:
+        names = ["doc_id", "text"]
+        fields = ", ".join(f"{k} long" for k in MEASURES)
+        schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {fields}, js_char double, js_word double, base_failed boolean, kept boolean"
+    t_at, width = names.index("text"), len(names)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            c = _judge(batch.column(t_at), batch.column(l_at), refs, char_limit, word_limit, min_words)
+            joined = batch.column(width + 1) if batch.num_columns > width + 1 else None
+            c = _judge(batch.column(t_at), batch.column(width), joined, refs, char_limit, word_limit, min_words)
             if keep_columns:
                 out = batch.select(list(range(width)))
                 yield out.filter(pa.array(c["kept"])) if kept_only else out
@@ -203,11 +230,15 @@ def quality(docs: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float =
             out = pa.RecordBatch.from_arrays([batch.column(0), *longs, *rest], ["doc_id", *MEASURES, "js_char", "js_word", "base_failed", "kept"])
             yield out.filter(out.column("kept")) if kept_only else out
 
-    if keep_columns:
-        t_at, width = docs.columns.index("text"), len(docs.columns)
-        l_at = source.columns.index("lang")
-        return source.mapInArrow(judged, docs.schema)
-    t_at, l_at = 1, 2
-    fields = ", ".join(f"{k} long" for k in MEASURES)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return source.select("doc_id", "text", F.col("lang").cast("string")).mapInArrow(judged, f"doc_id {kind}, {fields}, js_char double, js_word double, base_failed boolean, kept boolean")
+    lang = F.col("lang").cast("string")
+    name = lambda c: "`" + c.replace("`", "``") + "`"
+    own = "_lang"
+    while own in names:
+        own += "_"
+    given = source.select(*map(name, names), lang.alias(own))
+    if rest is None:
+        return given.mapInArrow(judged, schema)
+    held = F.coalesce(F.col(own).isin([x for x in refs if x is not None]), F.lit(True))
+    more = rest.withColumnsRenamed({"_lang": own, "_ref": f"{own}ref"})
+    rare = given.where(~held).join(more, own).select(*map(name, names), own, f"{own}ref")
+    return given.where(held).mapInArrow(judged, schema).unionByName(rare.mapInArrow(judged, schema))

@@ -139,6 +139,19 @@ def test_quality(docs, nothing):
     assert quality.quality(docs.drop("lang")).count() == docs.count()
 
 
+def test_quality_judges_rare_languages_by_their_own(spark, monkeypatch):
+    rng = random.Random(9)
+    say = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(120))
+    rows = [(i, say("abcdefgh"), f"l{i % 3}") for i in range(60)] + [(100 + i, say("абвгдежз"), "ru") for i in range(4)] + [(200, say("אבגדהוזח"), "he"), (300, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    whole = sorted(map(tuple, quality.quality(docs).collect()))
+    assert {r[0] for r in whole if r[-1]} == {r[0] for r in rows if r[1]}
+    monkeypatch.setattr(quality, "MAX_LANGUAGES", 2)
+    assert sorted(map(tuple, quality.quality(docs).collect())) == whole
+    kept = quality.quality(docs, keep_columns=True, kept_only=True)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == sorted(r for r in rows if r[1])
+
+
 def test_js_distance_brute_force():
     import numpy as np
 
