@@ -32,7 +32,7 @@ _IP = re.compile(r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _HOST = re.compile(r"(?:[^\s/?#@<>\"']{1,64}@)?([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)(?::[0-9]{1,5})?(?:[/?#][^\s<>\"']*)?")
-_AFTER_CUE = re.compile(r"(?: (?:number|no\.?|num|id))?[ ]?[:#=]?[ ]?#?")
+_AFTER_CUE = re.compile(r"(?: (?:number|no\.?|num|id))?[ ]?[:#=]?[ ]?#?", re.IGNORECASE | re.ASCII)
 _ACCOUNT = re.compile(r"[0-9](?:[ -]?[0-9]){5,19}(?![0-9])")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 
@@ -45,8 +45,7 @@ def _automaton() -> ahocorasick.Automaton:
     a.add_word("+", ("plus", 1))
     a.add_word("://", ("scheme", 3))
     for cue in CUES:
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            a.add_word(form, ("cue", len(form)))
+        a.add_word(cue, ("cue", len(cue)))
     a.make_automaton()
     return a
 
@@ -54,6 +53,11 @@ def _automaton() -> ahocorasick.Automaton:
 _anchors: list[ahocorasick.Automaton] = []
 
 
+def _lowered(text: str) -> str:
+    """Lower case at the same offsets: one letter alone, U+0130, would become two."""
+    return text.replace("\u0130", "\0").lower()
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, c in enumerate(reversed(digits)):
@@ -78,7 +82,7 @@ def parse(text: str) -> list[Span]:
         _anchors.append(_automaton())
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     email_end = ip_end = card_end = phone_end = address_end = account_end = 0
-    for end, (kind, size) in _anchors[0].iter(text):
+    for end, (kind, size) in _anchors[0].iter(_lowered(text)):  # cues are in lower case
         at = end - size + 1
         if kind == "digit":
             if at >= card_end:

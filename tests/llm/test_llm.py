@@ -195,6 +195,15 @@ def test_pii_query(docs, nothing):
     assert {k for k, *_ in pii.parse("see https://a.example.com/x, iban DE89370400440532013000; account no 12345678")} >= {"address", "account"}
 
 
+def test_pii_cues_in_any_case():
+    for cue in ("account number: ", "Account Number: ", "Account No. ", "ACCOUNT NUM ", "Customer ID: ", "customer Id ", "Policy Number ", "Member ID #", "AcCt = "):
+        for before in ("", "é İ İ ß K "):
+            text = before + cue + "12345678."
+            assert [(k, text[a:b]) for k, a, b, _ in pii.parse(text)] == [("account", "12345678")], text
+    assert [s[0] for s in pii.parse("Iban: DE89370400440532013000")].count("account") == 1
+    assert all(len(pii._lowered(chr(c))) == 1 for c in range(0x110000))
+
+
 def _secrets(t):
     found = [("assign", m.start(), m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A) if len(m[2]) >= 8]
     found += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
