@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,11 +27,15 @@ def prepare(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (local tests) a temporary folder of this
-    machine is used.
+    Only on a local master, where driver and tasks are one machine, a temporary
+    folder stands in for a missing setting; elsewhere that is an error, since
+    each executor would write to a disk of its own.
     """
     given = spark.conf.get("spark.checkpoint.dir", None)
     if not given:
+        master = spark.sparkContext.master
+        if not master.split("[")[0] == "local":
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that driver and executors share (master {master})")
         given = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", given)
     return given.rstrip("/")
@@ -40,14 +46,57 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/graphloom/{uuid.uuid4().hex}/{name}"
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+@contextmanager
+def _tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within, a query's shuffle files go when it ends, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
+    with _tidy_shuffles(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stash(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+    return _write(df, scratch(df.sparkSession, name))
+
+
+class Tables:
+    """Scratch tables of one job by name, each written to the shared folder and read back.
+
+    Writing under a name again deletes the table that had it, once the new one
+    is there, so a loop may read its last round. What a returned DataFrame still
+    reads must not be dropped.
+    """
+
+    def __init__(self, spark: SparkSession, job: str) -> None:
+        self.spark, self.root = spark, scratch(spark, job)
+        self.paths: dict[str, str] = {}
+        self.written = 0
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        self.written += 1
+        path = f"{self.root}/{name}-{self.written}"
+        out = _write(df, path)
+        self.drop(name)
+        self.paths[name] = path
+        return out
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if path := self.paths.pop(name, None):
+                remove(self.spark, path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
