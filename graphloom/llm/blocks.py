@@ -8,6 +8,7 @@ and depend on the content alone, so they agree between tasks and runs.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,20 +30,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE_VALUE = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
-_BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(name: str, base: int, n: int) -> np.ndarray:
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, BLOCK_BYTES * 2), base, dtype=U)
-        steps[0] = 1
-        have = _powers[name] = np.cumprod(steps, dtype=U)
-    return have[:n]
-
-
 def lut(chars: bytes | range) -> np.ndarray:
     table = np.zeros(256, dtype=bool)
     table[list(chars)] = True
@@ -97,20 +84,38 @@ class Words:
     first: np.ndarray
 
 
-def prefix_hash(block: Block, fold: np.ndarray) -> np.ndarray:
-    """Running polynomial hash; entry i covers the first i bytes."""
-    n = len(block.data)
-    out = np.zeros(n + 1, dtype=U)
-    np.cumsum(_BYTE_VALUE[fold[block.data]] * _power("up", _BASE, n), out=out[1:])
-    return out
-
-
-def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    inverse = _power("down", pow(_BASE, -1, 1 << 64), len(prefix))
-    return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(U))
-
-
-def words(block: Block, inside: np.ndarray = NOT_SPACE, fold: np.ndarray = IDENTITY, prefix: np.ndarray | None = None) -> Words:
+#: Ranges of more bytes are hashed by blake2b, one by one.
+_LANES = 8
+_LANE_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=U)
+
+
+def range_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each byte range of ``data``.
+
+    Eight bytes at a time are mixed into a state that begins with the length.
+    The mixing is bijective and not linear, so ranges of one length that differ
+    within one such step never have equal hashes, and no structure of a text
+    makes equal ones likelier. Ranges of over ``8 * _LANES`` bytes take the
+    first 64 bits of blake2b.
+    """
+    size = end - start
+    state = mix(size.astype(U) * U(0x9E3779B97F4A7C15) + U(0x5851F42D4C957F2D))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    rest = np.flatnonzero((size > 0) & (size <= 8 * _LANES))
+    for k in range(_LANES):
+        if not len(rest):
+            break
+        left = size[rest] - 8 * k
+        lane = lanes[start[rest] + 8 * k] & _LANE_MASK[np.minimum(left, 8)]
+        state[rest] = mix(state[rest] ^ lane)
+        rest = rest[left > 8]
+    for i in np.flatnonzero(size > 8 * _LANES).tolist():
+        state[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
+    return state
+
+
+def words(block: Block, inside: np.ndarray = NOT_SPACE, fold: np.ndarray = IDENTITY) -> Words:
     """Maximal runs of ``inside`` bytes; texts bound them."""
     n = len(block.data)
     flag = np.zeros(n + 2, dtype=np.int8)
@@ -125,8 +130,8 @@ def words(block: Block, inside: np.ndarray = NOT_SPACE, fold: np.ndarray = IDENT
     start, end = np.flatnonzero(begins), np.flatnonzero(ends)
     first = np.searchsorted(start, block.offs)
     doc = np.repeat(np.arange(block.n), np.diff(first))
-    prefix = prefix_hash(block, fold) if prefix is None else prefix
-    return Words(start, end, doc, range_hash(prefix, start, end), first)
+    data = block.data if fold is IDENTITY else fold[block.data]
+    return Words(start, end, doc, range_hash(data, start, end), first)
 
 
 _MULT = [U(pow(0x9FB21C651E98DF25, k, 1 << 64)) for k in range(64)]

@@ -1,82 +1,92 @@
-"""N-gram Jaccard join: components of documents whose shingle sets are similar.
+"""N-gram Jaccard join: links and components of documents whose shingle sets are similar.
 
 The document by n-gram incidence matrix is multiplied by its transpose in
-blocks of n-grams, and only where a similar pair can show. Every set is put in
-one global order: n-grams of rare words first, those that many documents share
-last. A pair of at least the threshold
-shares an n-gram of both prefixes, whose length follows from the set's size, so
-only prefixes are indexed. Overlap counts are accumulated per pair, pairs that
-their sizes and places bound below the threshold are discarded, and what is
-left is counted over the full sets.
-
-Documents with equal sets are one class throughout. Dense groups are merged by
-stars first: each n-gram links its documents to one hub, so a group of g
-near copies costs g pairs and not g * g. The last round then takes, exactly,
-all pairs that still lie in different components. The order of n-grams and the
-choice of hubs decide the cost only, never the result.
-
-Links within a component are counted afterwards, if asked for: the incidence
-matrix of its classes is multiplied by its transpose in tiles, and a tile gives
-one number for each class, so no table of pairs is made.
+blocks, and only where a link can show. Documents with equal sets are one
+class, one row of the matrix. What cannot be in a link goes first, by bounds
+that follow from the sets' sizes alone:
+
+1. Prefixes. In one global order of n-grams, those of rare words first, the
+   ends of two linked sets' prefixes hold some n-grams of both. A class with
+   fewer n-grams in its prefix that any other class has is out.
+2. Frequencies. Of what is left, whole sets are counted: a class shares at
+   least the threshold's part of its n-grams with others, or is out. N-grams of
+   one class alone leave the matrix.
+3. Blocks. With exact frequencies the prefixes are taken again, rarest first.
+   Classes that they connect, directly or by others, are a block of the matrix;
+   no link crosses blocks.
+
+A block is cut into tiles of a bounded number of classes and n-grams. A tile
+accumulates the overlap counts of its rows, discards pairs whose sizes or counts
+bound them below the threshold, and returns for each class how many documents
+it links with and the least class of its links' component. So no table of pairs
+is ever made, and a frequent n-gram costs its documents, not their square.
+The prefix order and the cut into tiles decide the cost, never the result.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.llm import blocks as B
 from graphloom.llm.components import components
-from graphloom.runtime import prepare, stash
+from graphloom.runtime import Tables, prepare
 
 N = 5
 PERCENT = 80
-#: Entries of the table of frequent n-grams; rarer ones keep hash order.
-HOT_ENTRIES = 1 << 19
-WORD_BITS = 20
-_FLUSH = 3 << 19
-_SEEN_OFTEN = 4
-_FILTER_WORDS = 1 << 17
-_STAR_ROUNDS = 5
-#: After a round of stars all pairs are taken where they are at most this many times the indexed n-grams.
-_PAIRS_EACH = 4
-#: A tile of a component's product has about so many n-grams and classes to each side.
-_TILE_GRAMS = 1 << 20
-_TILE_CLASSES = 512
-_TILE_CELLS = 1 << 22
-
+#: Words are weighed by the frequency of their bin of so many bits.
+WORD_BITS = 16
+#: Hundredths of a set by which its prefix is longer than one shared n-gram needs.
+EXTRA = 5
+#: Bits of the candidates' filter for each of them, and the bytes that it never exceeds.
+FILTER_BITS = 12
+FILTER_BYTES = 32 << 20
+#: A tile has about so many n-grams and classes to each side.
+TILE_GRAMS = 1 << 20
+TILE_CLASSES = 512
+#: N-grams of at most so many of a tile's classes are counted by pairs, others by a dense product of so many cells.
+SPARSE = 16
+DENSE_CELLS = 1 << 22
 
 _LOW = B.U((1 << 56) - 1)
 
 
-def shingle_sets(block: B.Block, n: int, weight: np.ndarray) -> list[np.ndarray]:
-    """Sorted distinct ``n``-word windows of each text; all its words as one if it has fewer.
+def shingle_sets(block: B.Block, n: int, weight: np.ndarray) -> list[tuple[np.ndarray, bytes | None]]:
+    """Each text's sorted distinct ``n``-word windows and the 128-bit identity of the set.
 
     A window is a 56-bit hash under a byte that adds the weights of its words,
-    so that sets are sorted with rare words first.
+    so that sets are sorted with rare words first. A text of fewer words has all
+    of them as its one window; one without words has no window and no identity.
+    A set of one window is identified by that window's words, any other by its
+    windows' hashes of 64 bits, of which it has at least two.
     """
     w = B.words(block, fold=B.FOLD)
-    at, h = B.windows(w, n)
+    at, full = B.windows(w, n)
     own_weight = weight[w.hash >> B.U(64 - WORD_BITS)]
     total = np.zeros(len(at), B.U)
     for k in range(n):
         total += own_weight[at + k]
-    h = (h & _LOW) | (np.minimum(total, 255).astype(B.U) << B.U(56))
+    h = (full & _LOW) | (np.minimum(total, 255).astype(B.U) << B.U(56))
     cut = np.searchsorted(w.doc[at], np.arange(block.n + 1)) if len(at) else np.zeros(block.n + 1, np.int64)
-    out = []
+    out: list[tuple[np.ndarray, bytes | None]] = []
     for i in range(block.n):
-        if cut[i + 1] > cut[i]:
-            out.append(np.unique(h[cut[i] : cut[i + 1]]))
+        lo, hi, own = cut[i], cut[i + 1], range(w.first[i], min(w.first[i + 1], w.first[i] + n))
+        if not len(own):
+            out.append((h[:0], None))
+            continue
+        s, place = np.unique(h[lo:hi], return_index=True)
+        if len(s) > 1:
+            identity = hashlib.blake2b(s.tobytes() + full[lo:hi][place].sum(dtype=B.U).tobytes(), digest_size=16)
         else:
-            own = w.hash[w.first[i] : w.first[i + 1]]
-            out.append(B.mix(np.cumsum(B.mix(own + np.arange(1, len(own) + 1, dtype=B.U)), dtype=B.U)[-1:] + B.U(len(own))) & _LOW)
+            words = b" ".join(B.FOLD[block.data[w.start[k] : w.end[k]]].tobytes() for k in own)
+            identity = hashlib.blake2b(words, digest_size=16)
+            s = np.frombuffer(identity.digest()[:8], B.U) & _LOW if not len(s) else s
+        out.append((s, identity.digest()))
     return out
 
 
@@ -87,302 +97,266 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
 
 
-@dataclass(frozen=True)
-class Order:
-    """The global order of n-grams: a weight for each word's bin, and the n-grams that many documents have."""
-
-    weight: np.ndarray
-    hot: np.ndarray
-    count: np.ndarray
-
-
-def learn_order(texts: DataFrame, n: int) -> Order:
-    """Counts over all texts; what returns is at most ``2 ** WORD_BITS`` bins and ``HOT_ENTRIES`` n-grams."""
-    flat = np.zeros(1 << WORD_BITS, np.uint8)
+def word_weights(texts: DataFrame) -> np.ndarray:
+    """The rounded logarithm of each bin's words in all texts: exact counts, ``2 ** WORD_BITS`` numbers at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
         bins = np.zeros(1 << WORD_BITS, np.int64)
-
-        def often(keys: np.ndarray, c: np.ndarray, of: int) -> pa.RecordBatch:
-            some = c >= _SEEN_OFTEN
-            return pa.RecordBatch.from_arrays([pa.array(np.full(some.sum(), of, np.int32)), pa.array(keys[some].astype(np.int64)), pa.array(c[some].astype(np.int64))], ["of", "h", "c"])
-
-        total = 0
         for batch in batches:
             for block in B.blocks(batch.column(0)):
                 w = B.words(block, fold=B.FOLD)
                 bins += np.bincount((w.hash >> B.U(64 - WORD_BITS)).astype(np.int64), minlength=1 << WORD_BITS)
-                for s in shingle_sets(block, n, flat):
-                    held.append(s)
-                    total += len(s)
-                if total >= _FLUSH:
-                    yield often(*np.unique(np.concatenate(held), return_counts=True), 0)
-                    held, total = [], 0
-        if held:
-            yield often(*np.unique(np.concatenate(held), return_counts=True), 0)
-        yield often(np.arange(1 << WORD_BITS), bins, 1)
-
-    sums = stash(texts.mapInArrow(count, "of int, h long, c long").groupBy("of", "h").agg(F.sum("c").alias("c")), "counts")
-    top = sums.where(f"of = 0 and c >= {4 * _SEEN_OFTEN}").orderBy(F.desc("c"), "h").limit(HOT_ENTRIES).toArrow()
-    h, c = top["h"].to_numpy().view(B.U), top["c"].to_numpy()
-    by_word = sums.where("of = 1").toArrow()
+        some = np.flatnonzero(bins)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(bins[some])], ["bin", "c"])
+
+    sums = texts.mapInArrow(count, "bin int, c long").groupBy("bin").agg(F.sum("c").alias("c")).toArrow()
     weight = np.zeros(1 << WORD_BITS, np.uint8)
-    weight[by_word["h"].to_numpy()] = np.round(np.log2(by_word["c"].to_numpy() + 1)).astype(np.uint8)
-    order = np.argsort(h)
-    if not len(h):
-        return Order(weight, np.zeros(1, B.U), np.zeros(1, np.int64))
-    return Order(weight, h[order], c[order])
+    weight[sums["bin"].to_numpy()] = np.round(np.log2(sums["c"].to_numpy() + 1)).astype(np.uint8)
+    return weight
 
 
-def _prefix(s: np.ndarray, percent: int, hot: np.ndarray, count: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
-    k = len(s) - (percent * len(s) + 99) // 100 + 1
-    low = s & _LOW
-    maybe = bitmap[s & B.U(len(bitmap) - 1)]
-    if not maybe.any():
-        return s[:k]
-    at = np.minimum(np.searchsorted(hot, low), len(hot) - 1)
-    is_hot = hot[at] == low
-    cold = s[~is_hot]
-    if len(cold) >= k:
-        return cold[:k]
-    late = s[is_hot]
-    late = late[np.lexsort((late, count[at[is_hot]]))]
-    return np.concatenate([cold, late[: k - len(cold)]])
+def _least(n, percent: int):
+    """N-grams that a set of ``n`` shares with any set that it links with; for numbers and columns."""
+    return F.ceil(n * percent / 100) if isinstance(n, Column) else -(-n * percent // 100)
 
 
-def _identity(s: np.ndarray) -> int:
-    """64-bit id of a set; equal sets have equal ids."""
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _surplus(n, percent: int):
+    """N-grams by which a set's prefix is longer than needed to share one with every set that it links with."""
+    if isinstance(n, Column):
+        return F.greatest(F.lit(1), F.least(_least(n, percent), F.ceil(n * EXTRA / 100)))
+    return max(1, min(_least(n, percent), -(-n * EXTRA // 100)))
 
 
-def _fingerprints(ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    return B.mix(B.mix(ids.view(B.U).copy()) + keys.view(B.U)).view(np.int64)
+def _can_differ(n: int, percent: int) -> bool:
+    """Whether a set of ``n`` can link with a set other than itself."""
+    return 100 * n >= percent * (n + 1)
 
 
-def signatures(rows: DataFrame, n: int, percent: int, order: Order) -> DataFrame:
-    """``doc_id, key, n, cid, fp, prefix`` for each row of ``doc_id, key, text``."""
+def signatures(rows: DataFrame, n: int, percent: int, weight: np.ndarray) -> DataFrame:
+    """``doc_id, key, n, cid, prefix`` for each row of ``doc_id, key, text``; no ``cid`` without words.
+
+    Two sets that link share at least the lesser one's surplus in their
+    prefixes: what lies before the nearer end is common to both orders.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.zeros(1 << 22, bool)
-        bitmap[order.hot & B.U(len(bitmap) - 1)] = True
-        seen: set[int] = set()  # of this partition, to index its copies once
+        seen: set[bytes] = set()  # of this partition, to list the n-grams of its copies once
         for batch in batches:
             sizes, ids, prefixes = [], [], []
             for block in B.blocks(batch.column(2)):
-                for s in shingle_sets(block, n, order.weight):
-                    c = _identity(s)
-                    sizes.append(len(s))
+                for s, c in shingle_sets(block, n, weight):
+                    k = len(s)
+                    listed = k and c not in seen and _can_differ(k, percent)
+                    sizes.append(k)
                     ids.append(c)
-                    prefixes.append(_prefix(s, percent, order.hot, order.count, bitmap) if len(s) and c not in seen else s[:0])
+                    prefixes.append(s[: k - _least(k, percent) + _surplus(k, percent)] if listed else s[:0])
                     seen.add(c)
-            ids_array = np.array(ids, np.int64)
-            fp = _fingerprints(ids_array, batch.column(1).to_numpy())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(ids_array), pa.array(fp), _lists(prefixes)],
-                ["doc_id", "key", "n", "cid", "fp", "prefix"],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), _lists(prefixes)], ["doc_id", "key", "n", "cid", "prefix"]
             )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return stash(rows.mapInArrow(sign, f"doc_id {kind}, key long, n long, cid long, fp long, prefix array<long>"), "signatures")
+    return rows.mapInArrow(sign, f"doc_id {kind}, key long, n long, cid binary, prefix array<long>")
 
 
-def _membership(fps: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size (1 MB) over fingerprints, combined before it reaches the driver."""
-    bit = F.explode(F.array(F.col("fp"), F.shiftright("fp", 23)))
-    word = fps.select(bit.alias("x")).select(F.col("x").bitwiseAND(_FILTER_WORDS - 1).alias("w"), F.expr("shiftleft(1L, cast(shiftrightunsigned(x, 17) & 63 as int))").alias("m"))
-    got = word.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
-    out = np.zeros(_FILTER_WORDS, B.U)
-    out[got["w"].to_numpy()] = got["m"].to_numpy().view(B.U)
-    return out
+class Filter:
+    """A Bloom filter over row keys, sized by their number up to ``FILTER_BYTES``; it may pass others, never stop one."""
+
+    def __init__(self, keys: DataFrame, number: int) -> None:
+        bits = min(FILTER_BYTES * 8, max(64, 1 << (FILTER_BITS * number - 1).bit_length()))
+        self.bits = bits
+        place = F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(i), "key"), F.lit(bits)) for i in range(3)]))
+        word = keys.select(place.alias("x")).select(F.shiftright("x", 6).alias("w"), F.expr("shiftleft(1L, cast(x & 63 as int))").alias("m"))
+        got = word.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()  # combined before it reaches the driver
+        self.words = np.zeros(bits >> 6, B.U)
+        self.words[got["w"].to_numpy()] = got["m"].to_numpy().view(B.U)
 
+    def passes(self, places: list[np.ndarray]) -> np.ndarray:
+        ok = np.ones(len(places[0]), bool)
+        for x in places:
+            ok &= (self.words[x >> 6] >> (x & 63).astype(B.U)) & B.U(1) == 1
+        return ok
 
-def _may_hold(words: np.ndarray, fp: np.ndarray) -> np.ndarray:
-    ok = np.ones(len(fp), bool)
-    for x in (fp, fp >> 23):
-        w = words[x & (_FILTER_WORDS - 1)]
-        ok &= (w >> ((x.view(B.U) >> B.U(17)) & B.U(63))) & B.U(1) == 1
-    return ok
+    def places(self) -> list[Column]:
+        return [F.pmod(F.xxhash64(F.lit(i), "key"), F.lit(self.bits)).alias(f"x{i}") for i in range(3)]
 
 
-def full_sets(rows: DataFrame, wanted: DataFrame, n: int, order: Order) -> DataFrame:
-    """``cid, n, grams`` of the wanted classes, from one document of each; a few more may come along."""
-    words = _membership(wanted)
+def full_sets(rows: DataFrame, wanted: DataFrame, n: int, weight: np.ndarray) -> DataFrame:
+    """``cid, n, grams`` of the wanted classes, from the row that ``wanted`` (``cid, key``) names, once each."""
+    held = Filter(wanted.select("key"), wanted.count())
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy()
+            ok = held.passes([batch.column(k).to_numpy() for k in (2, 3, 4)])
+            batch = batch.filter(pa.array(ok))
+            keys = batch.column(0)
             for block in B.blocks(batch.column(1)):
-                sets = shingle_sets(block, n, order.weight)
-                ids = np.array([_identity(s) for s in sets], np.int64)
-                ok = _may_hold(words, _fingerprints(ids, keys[block.row : block.row + block.n]))
-                chosen = [s for s, k in zip(sets, ok, strict=True) if k]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.array([len(s) for s in chosen], pa.int64()), _lists(chosen)], ["cid", "n", "grams"])
-
-    return stash(rows.select("key", "text").mapInArrow(pick, "cid long, n long, grams array<long>"), "sets")
-
-
-def _sizes_fit(n: Column, m: Column, percent: int) -> Column:
-    return (n * 100 >= m * percent) & (m * 100 >= n * percent)
-
-
-def _enough(overlap: Column, n: Column, m: Column, percent: int) -> Column:
-    return overlap * 100 >= (n + m - overlap) * percent
-
-
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full overlap reaches the threshold."""
-    side = lambda x: sets.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("grams").alias(f"g_{x}"))
-    overlap = F.size(F.array_intersect("g_a", "g_b"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").where(_enough(overlap, F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
-
-
-def _beyond_prefix(n: Column, percent: int) -> Column:
-    """N-grams of a set of ``n`` that its prefix leaves out."""
-    return F.floor((n * percent + 99) / 100) - 1
-
+                found = shingle_sets(block, n, weight)
+                own = keys.slice(block.row, block.n)
+                yield pa.RecordBatch.from_arrays([own, pa.array([c for _, c in found], pa.binary()), pa.array([len(s) for s, _ in found], pa.int64()), _lists([s for s, _ in found])], ["key", "cid", "n", "grams"])
+
+    sets = rows.select("key", "text", *held.places()).mapInArrow(pick, "key long, cid binary, n long, grams array<long>")
+    return sets.join(wanted.select("cid", "key"), ["cid", "key"], "left_semi").drop("key").dropDuplicates(["cid"])
+
+
+def candidates(signed: DataFrame, classes: DataFrame, tables: Tables, percent: int) -> DataFrame:
+    """``cid, key`` of the classes whose prefixes share enough n-grams with other classes' prefixes."""
+    listed = signed.where(F.size("prefix") > 0).select(F.xxhash64("cid").alias("c"), F.explode("prefix").alias("gram"))
+    ends = listed.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
+    shared = tables.put("shared", ends.select("gram"))
+    have = listed.join(shared, "gram").groupBy("c").agg(F.count(F.lit(1)).alias("have"))
+    need = _surplus(_least(F.col("n"), percent), percent)  # the least surplus of a set that it may link with
+    enough = F.col("have") >= need * F.col("listings")  # each listing of a class counted the same n-grams
+    found = classes.withColumn("c", F.xxhash64("cid")).join(have, "c").where(enough).select("cid", "key")
+    out = tables.put("candidates", found)
+    tables.drop("shared")
+    return out
 
-def _may_reach(overlap: Column, n: Column, m: Column, percent: int) -> Column:
-    """Whether a pair with this overlap of prefixes can reach the threshold.
 
-    N-grams up to the nearer end of the two prefixes are counted whole, so at
-    most what that set's prefix leaves out comes on top.
-    """
-    return _enough(overlap + F.greatest(_beyond_prefix(n, percent), _beyond_prefix(m, percent)), n, m, percent)
+def vectors(sets: DataFrame, tables: Tables, percent: int) -> DataFrame:
+    """``k, n, grams`` of the classes that share enough n-grams: the shared ones, rarest first."""
+    listed = sets.select("k", F.explode("grams").alias("gram"))
+    often = tables.put("frequencies", listed.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    shared = listed.join(often, "gram").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("grams"))
+    grams = shared.select("k", F.transform("grams", lambda g: g["gram"]).alias("grams"))
+    enough = F.size("grams") >= _least(F.col("n"), percent)
+    out = tables.put("vectors", grams.join(sets.select("k", "n"), "k").where(enough))
+    tables.drop("frequencies")
+    return out
 
 
-def _star_pairs(listed: DataFrame, round_: int, percent: int) -> DataFrame:
-    """Each n-gram's documents against one hub, another one each round; only likely pairs.
+def connected(vectors: DataFrame, percent: int) -> DataFrame:
+    """``node, label``: the block of each class whose prefix shares an n-gram with another one's.
 
-    Hubs are drawn among documents, so that large components, which more
-    documents are likely to link with, give most of them.
+    Of a set's least number of common n-grams one lies in the prefix here: what
+    is missing in ``grams`` is common to none, so the prefix is shorter by that.
     """
-    order = F.struct(F.xxhash64("cid", F.lit(round_)).alias("r"), F.col("cid"), F.col("comp"), F.col("n"))
-    hubs = listed.groupBy("gram").agg(F.min(order).alias("hub"))
-    h = F.col("hub")
-    fits = (F.col("comp") != h["comp"]) & _sizes_fit(F.col("n"), h["n"], percent)
-    counted = listed.join(hubs, "gram").where(fits).groupBy(h["cid"].alias("a"), F.col("cid").alias("b"), h["n"].alias("n_a"), F.col("n").alias("n_b")).agg(F.count(F.lit(1)).alias("overlap"))
-    return counted.where(_may_reach(F.col("overlap"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
-
-
-def _all_pairs(listed: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components with their counts over the indexed n-grams, less those bounded below the threshold."""
-    some = listed.join(grams, "gram", "left_semi")
-    a = some.select("gram", F.col("cid").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("n_a"))
-    b = some.select(F.col("gram").alias("gram_b"), F.col("cid").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"))
-    fits = (F.col("gram") == F.col("gram_b")) & (F.col("comp_a") < F.col("comp_b")) & _sizes_fit(F.col("n_a"), F.col("n_b"), percent)
-    counted = a.join(b, fits).groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("overlap"))
-    return counted.where(_may_reach(F.col("overlap"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
-
-
-def links(rows: DataFrame, signed: DataFrame, n: int, percent: int, order: Order) -> DataFrame | None:
-    """``node, label`` of the classes that link with another; None if there are none."""
-    spread = signed.where(F.size("prefix") > 0).select("cid", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("gram"))
-    w = W.partitionBy("gram")
-    shared = spread.withColumn("lo", F.min("cid").over(w)).withColumn("hi", F.max("cid").over(w)).where("lo <> hi")
-    postings = stash(shared.select("gram", "cid", "n").distinct(), "postings")
-    size = postings.count()
-    if not size:
-        return None
-    classes = signed.groupBy("cid").agg(F.min("fp").alias("fp"))  # one document of each class
-    edges: DataFrame | None = None
-    labels: DataFrame | None = None
-    before = None
-    for round_ in range(_STAR_ROUNDS + 1):
-        listed = postings.withColumn("comp", F.col("cid"))
-        if labels is not None:
-            listed = postings.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("label", "cid")).drop("label")
-            listed = stash(listed, "postings")
-        by_comp = listed.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("k"))
-        mixed = by_comp.groupBy("gram").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q"), F.count(F.lit(1)).alias("c")).where("c > 1")
-        cross, left = mixed.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.sum("c")).collect()[0]
-        if not cross:
-            return labels
-        sparse = cross <= max(50_000, _PAIRS_EACH * size)
-        last = round_ > 0 and (sparse or left > 0.85 * before) or round_ == _STAR_ROUNDS
-        before = left
-        pairs = stash(_all_pairs(listed, mixed.select("gram"), percent) if last else _star_pairs(listed, round_, percent), "pairs")
-        some = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-        sets = full_sets(rows, classes.join(some, "cid", "left_semi").select("fp"), n, order)
-        found = stash(_verify(pairs, sets, percent), "edges")
-        edges = found if edges is None else edges.unionByName(found)
-        labels = components(edges) if not edges.isEmpty() else None
-        if last:
-            break
-    return labels
-
+    heads = vectors.select("k", F.explode(F.slice("grams", F.lit(1), (F.size("grams") - _least(F.col("n"), percent) + 1).cast("int"))).alias("gram"))
+    hubs = heads.groupBy("gram").agg(F.min("k").alias("hub"), F.max("k").alias("last")).where("hub < last").select("gram", "hub")
+    return components(heads.join(hubs, "gram").where("k <> hub").select("k", "hub").distinct(), "blocks", "k", "hub")
 
-def _linked_weights(sides: np.ndarray, weight: np.ndarray, sizes: np.ndarray, grams: np.ndarray, percent: int) -> np.ndarray:
-    """For each set of a tile, the weights of the others that it links with.
 
-    ``grams`` has the sets one after another. Sets of one side are compared with
-    those of the other, or with each other if there is one side only.
-    """
-    m = len(sizes)
-    owner = np.repeat(np.arange(m), sizes)
-    left = np.flatnonzero(sides == sides.min())
-    right = np.flatnonzero(sides == sides.max())
+def _overlaps(owner: np.ndarray, grams: np.ndarray, left: np.ndarray, right: np.ndarray, m: int) -> np.ndarray:
+    """Common n-grams of each set of ``left`` with each of ``right``; ``grams`` has those of all ``m`` sets."""
     place = np.unique(grams, return_inverse=True)[1]
-    common = np.bincount(place)[place] > 1
-    owner, place = owner[common], place[common]
-    place = np.unique(place, return_inverse=True)[1]
-    order = np.argsort(place, kind="stable")
-    owner, place = owner[order], place[order]
-    overlap = np.zeros((len(left), len(right)), np.int64)
-    wide = max(1, _TILE_CELLS // m)
-    for first in range(0, int(place[-1]) + 1 if len(place) else 0, wide):
-        lo, hi = np.searchsorted(place, [first, first + wide])
+    times = np.bincount(place)
+    order = np.argsort(place[times[place] > 1], kind="stable")
+    owner, place = owner[times[place] > 1][order], place[times[place] > 1][order]
+    count = times[place]
+    counts = np.zeros(m * m, np.int64)
+    few = count <= SPARSE
+    a, p = owner[few], place[few]
+    for step in range(1, min(SPARSE, len(p))):
+        same = p[:-step] == p[step:]
+        if not same.any():
+            break
+        counts += np.bincount(a[:-step][same] * m + a[step:][same], minlength=m * m)
+    both = counts.reshape(m, m)
+    overlap = (both + both.T)[np.ix_(left, right)]
+    a, p = owner[~few], place[~few]
+    p = np.cumsum(np.append(0, p[1:] != p[:-1])) if len(p) else p
+    wide = max(1, DENSE_CELLS // m)
+    for first in range(0, int(p[-1]) + 1 if len(p) else 0, wide):
+        lo, hi = np.searchsorted(p, [first, first + wide])
         has = np.zeros((m, wide), np.float32)
-        has[owner[lo:hi], place[lo:hi] - first] = 1
+        has[a[lo:hi], p[lo:hi] - first] = 1
         overlap += (has[left] @ has[right].T).astype(np.int64)
-    n, k = sizes[left][:, None], sizes[right][None, :]
-    linked = overlap * 100 >= (n + k - overlap) * percent
-    out = np.zeros(m, np.int64)
-    if sides.min() == sides.max():
-        np.fill_diagonal(linked, False)
-        out[left] = linked @ weight[right]
-    else:
-        out[left] = linked @ weight[right]
-        out[right] = weight[left] @ linked
-    return out
+    return overlap
 
 
-def link_counts(rows: DataFrame, signed: DataFrame, labels: DataFrame | None, n: int, percent: int, order: Order) -> DataFrame:
-    """``cid, n_links`` of every class: how many other documents link with one of its documents.
+def _tile(ids: np.ndarray, sides: np.ndarray, weight: np.ndarray, n: np.ndarray, sizes: np.ndarray, grams: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each class of a tile: the documents of others that it links with, and the least class of its links' component.
 
-    Links lie within components. The classes of a large one are dealt into
-    blocks by hash, and every two blocks are a tile, compared whole.
+    Classes of one side meet those of the other, or each other if there is one side only.
     """
-    classes = signed.where("n > 0").groupBy("cid").agg(F.min("fp").alias("fp"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
-    if labels is None:
-        return classes.select("cid", (F.col("copies") - 1).alias("n_links"))
-    members = stash(classes.join(labels.withColumnRenamed("node", "cid"), "cid"), "members")
-    blocks = F.greatest(F.ceil(F.sum("n") / _TILE_GRAMS), F.ceil(F.count(F.lit(1)) / _TILE_CLASSES))
-    many = members.groupBy("label").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    dealt = members.join(many, "label").withColumn("side", F.pmod(F.xxhash64("cid"), F.col("blocks"))).select("cid", "copies", "label", "blocks", "side")
-    sets = full_sets(rows, members.select("fp"), n, order).select("cid", "grams").dropDuplicates(["cid"])
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    tiles = dealt.join(sets, "cid").select("cid", "copies", "label", "side", "grams", other)
+    m, one = len(ids), sides.min() == sides.max()
+    left, right = np.flatnonzero(sides == sides.min()), np.flatnonzero(sides == sides.max())
+    overlap = _overlaps(np.repeat(np.arange(m), sizes), grams, left, right, m)
+    a, b = n[left][:, None], n[right][None, :]
+    linked = overlap * 100 >= (a + b - overlap) * percent  # sizes too far apart fail here too: an overlap is at most the lesser size
+    if one:
+        np.fill_diagonal(linked, False)
+    more = np.zeros(m, np.int64)
+    more[left] = linked @ weight[right]
+    if not one:
+        more[right] = weight[left] @ linked
+    least = ids.copy()
+    x, y = np.nonzero(linked)
+    x, y = left[x], right[y]
+    while True:
+        low = np.minimum(least[x], least[y])
+        before = least.copy()
+        np.minimum.at(least, x, low)
+        np.minimum.at(least, y, low)
+        if (before == least).all():
+            return more, least
+
+
+def tiled(vectors: DataFrame, blocks: DataFrame, copies: DataFrame, percent: int) -> DataFrame:
+    """``k, more, least`` of every class of a block and each of its tiles."""
+    members = vectors.select("k", F.size("grams").alias("grams")).join(blocks.withColumnRenamed("node", "k"), "k")
+    cuts = F.greatest(F.ceil(F.sum("grams") / TILE_GRAMS), F.ceil(F.count(F.lit(1)) / TILE_CLASSES))
+    sized = members.groupBy("label").agg(cuts.alias("cuts"))
+    dealt = members.drop("grams").join(sized, "label").withColumn("side", F.pmod(F.xxhash64("k"), F.col("cuts")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("other")
+    tiles = dealt.join(vectors, "k").join(copies, "k").select("k", "copies", "n", "label", "side", "grams", other)
     tiles = tiles.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).drop("other")
 
     def count(tile: pa.Table) -> pa.Table:
-        i, j = tile["i"][0].as_py(), tile["j"][0].as_py()
-        sides = tile["side"].to_numpy()
-        ids = tile["cid"].to_numpy()
+        sides, ids = tile["side"].to_numpy(), tile["k"].to_numpy()
+        if tile["i"][0].as_py() != tile["j"][0].as_py() and sides.min() == sides.max():  # no class fell into the other part
+            return pa.table({"k": pa.array([], pa.int64()), "more": pa.array([], pa.int64()), "least": pa.array([], pa.int64())})
         lists = tile["grams"].combine_chunks()
         lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
-        if i != j and sides.min() == sides.max():  # no class fell into the other block
-            return pa.table({"cid": ids[:0], "more": ids[:0]})
         sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-        more = _linked_weights(sides, tile["copies"].to_numpy(), sizes, lists.flatten().to_numpy(), percent)
-        return pa.table({"cid": pa.array(ids, pa.int64()), "more": pa.array(more, pa.int64())})
+        more, least = _tile(ids, sides, tile["copies"].to_numpy(), tile["n"].to_numpy(), sizes, lists.flatten().to_numpy(), percent)
+        return pa.table({"k": ids, "more": more, "least": least})
 
-    counted = tiles.groupBy("label", "i", "j").applyInArrow(count, "cid long, more long").groupBy("cid").agg(F.sum("more").alias("more"))
-    return classes.join(counted, "cid", "left").select("cid", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
+    return tiles.groupBy("label", "i", "j").applyInArrow(count, "k long, more long, least long")
+
+
+def _linked(rows: DataFrame, signed: DataFrame, classes: DataFrame, tables: Tables, n: int, percent: int, weight: np.ndarray) -> DataFrame | None:
+    """``cid, label, more`` of the classes that may link with another: component and linked documents of other classes."""
+    chosen = candidates(signed, classes, tables, percent)
+    tables.drop("signatures")
+    if chosen.isEmpty():
+        return None
+    sets = tables.put("sets", full_sets(rows, chosen, n, weight).withColumn("k", F.monotonically_increasing_id()))
+    tables.drop("candidates")
+    rest = vectors(sets, tables, percent)
+    copies = sets.select("k", "cid").join(classes.select("cid", "copies"), "cid").select("k", "copies")
+    found = tables.put("tiles", tiled(rest, connected(rest, percent), copies, percent))
+    labels = components(found.select("k", "least"), "links", "k", "least").withColumnRenamed("node", "k")
+    more = found.groupBy("k").agg(F.sum("more").alias("more"))
+    out = tables.put("linked", sets.select("k", "cid").join(labels, "k").join(more, "k").select("cid", "label", "more"))
+    tables.drop("sets", "vectors", "tiles")
+    return out
 
 
-def near_copies(docs: DataFrame, n: int = N, percent: int = PERCENT, count_links: bool = False) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for each row of ``docs``; with ``count_links`` also ``n_links``.
+def _classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, key, n, cid`` of each row; ``cid, component, component_id, n_links`` of each class."""
+    spark = docs.sparkSession
+    prepare(spark)
+    tables = Tables(spark, "ngram_join")
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
+    weight = word_weights(rows.select("text"))
+    signed = tables.put("signatures", signatures(rows, n, percent, weight))
+    documents = tables.put("documents", signed.select("doc_id", "key", "n", "cid"))
+    listings = F.sum(F.when(F.size("prefix") > 0, 1).otherwise(0))
+    each = signed.where("cid is not null").groupBy("cid").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"), listings.alias("listings"), F.min("doc_id").alias("component_id"))
+    classes = tables.put("classes", each)
+    alone = classes.select("cid", F.col("cid").alias("component"), "component_id", (F.col("copies") - 1).alias("n_links"))
+    linked = _linked(rows, signed, classes, tables, n, percent, weight)
+    if linked is None:
+        return documents, alone
+    held = linked.join(alone, "cid")
+    least = held.groupBy("label").agg(F.min("component_id").alias("component_id"), F.min("component").alias("component"))
+    joined = held.select("cid", "label", (F.col("n_links") + F.col("more")).alias("n_links")).join(least, "label").select("cid", "component", "component_id", "n_links")
+    return documents, tables.put("grouped", alone.join(joined.select("cid"), "cid", "left_anti").unionByName(joined))
+
+
+def near_copies(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, n_shingles, component_id, n_links`` for each row of ``docs``.
 
     Words are runs without ASCII white space, A-Z lower-cased. A document's set
     has its distinct ``n``-word windows, or the sequence of all its words if it
@@ -393,35 +367,42 @@ def near_copies(docs: DataFrame, n: int = N, percent: int = PERCENT, count_links
 
     Null, empty and blank texts have 0 shingles and link with nothing. A null
     ``doc_id`` links like others but is never a component's id unless nothing
-    else is there. Rows that repeat a ``doc_id`` are documents of their own.
-    N-grams and sets are compared by 64-bit hashes.
+    else is there. Rows that repeat a ``doc_id`` are documents of their own, and
+    equal rows link with each other. Texts of any length are taken whole. An
+    empty table gives no row. Other columns of ``docs``, whatever their names,
+    are not read. N-grams are compared by 56 bits of a hash within pairs, sets
+    by 128 bits.
     """
-    prepare(docs.sparkSession)
-    integral = docs.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
-    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")) if integral else F.xxhash64("doc_id", "text")
-    rows = docs.select("doc_id", key.alias("key"), "text")
-    order = learn_order(rows.select("text"), n)
-    signed = signatures(rows, n, percent, order)
-    labels = links(rows, signed, n, percent, order)
-    classes = signed.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("component_id"))
-    if labels is not None:
-        linked = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        least = linked.groupBy("label").agg(F.min("component_id").alias("component_id"))
-        classes = linked.select("cid", "label").join(least, "label").select("cid", "component_id")
-    own = signed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("cid")).alias("cid"))
-    given = ["doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")]
-    if count_links:
-        classes = classes.join(link_counts(rows, signed, labels, n, percent, order), "cid")
-        given.append(F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return own.join(classes, "cid", "left").select(*given)
+    documents, classes = _classes(docs, n, percent)
+    key = F.coalesce("cid", F.unhex(F.hex("key")))  # spreads rows without words; at most 8 bytes equal no class
+    own = documents.select("doc_id", F.col("n").alias("n_shingles"), key.alias("cid"))
+    return own.join(classes, "cid", "left").select(
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+    )
 
 
 def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without the documents whose component has a smaller ``doc_id``.
+    """``docs`` with one row of each component of similar documents.
 
-    Rows without a ``doc_id`` stay. Where rows repeat a ``doc_id``, they all
-    stay if one of them is its component's first.
+    It is the row of the smallest ``doc_id``, nulls last; between rows of one
+    ``doc_id`` a hash of the text decides, and of equal rows one stays. Rows
+    without words are in no component and all stay, as does everything that
+    links with nothing. An empty table stays empty. Columns of any name are
+    returned as they are.
     """
-    found = near_copies(docs, n, percent)
-    gone = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first")).where(~F.col("first"))
-    return docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    documents, classes = _classes(docs, n, percent)
+    tables = Tables(docs.sparkSession, "keep_one")
+    grouped = documents.where("cid is not null").join(classes.select("cid", "component"), "cid").select("doc_id", "key", "component")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "key")).alias("first")
+    several = grouped.groupBy("component").agg(first, F.count(F.lit(1)).alias("rows")).where("rows > 1").select("component", "first")
+    is_first = F.col("doc_id").eqNullSafe(F.col("first")["doc_id"]) & (F.col("key") == F.col("first")["key"])
+    verdict = grouped.join(several, "component").groupBy("doc_id", "key").agg(F.max(is_first).alias("stays"), F.count(F.lit(1)).alias("times"))
+    marks = tables.put("marks", verdict.where("not stays or times > 1").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "stays", "times"))
+    row = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("_row")
+    given = docs.select(row, F.col("doc_id").alias("_doc"), F.xxhash64("doc_id", "text").alias("_hash"))
+    left = given.join(marks, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_key")), "left").where(F.coalesce("stays", F.lit(True)))
+    if marks.where("stays").isEmpty():
+        return left.select("_row.*")
+    repeated = F.coalesce(F.col("times") > 1, F.lit(False))
+    once = left.where(repeated).dropDuplicates(["_doc", "_hash"])
+    return left.where(~repeated).select("_row.*").unionByName(once.select("_row.*"))

@@ -61,33 +61,28 @@ def _common_bin(hashes: np.ndarray) -> np.ndarray:
 N_WORDS = len(dict.fromkeys(COMMON_WORDS)) + 1
 
 
+def _later_lines(text: bytes) -> int:
+    """Lines with a word that equal an earlier line; ``bytes.strip`` takes the white space that bounds words."""
+    lines = [line for line in text.split(b"\n") if line.strip()]
+    return len(lines) - len(set(lines))
+
+
 def _counts(block: B.Block) -> dict[str, np.ndarray]:
     n, data = block.n, block.data
     doc_of_byte = np.repeat(np.arange(n), np.diff(block.offs))
     lead = _LEAD[data]
     chars = np.bincount((doc_of_byte * N_CLASSES + _CLASS[data])[lead], minlength=n * N_CLASSES).reshape(n, N_CLASSES)
-    plain = B.prefix_hash(block, B.IDENTITY)
-    w = B.words(block, prefix=plain)
+    w = B.words(block)
     n_words = np.diff(w.first)
     symbols = np.bincount(doc_of_byte[_SYMBOL[data]], minlength=n)
-    # lines with a word
-    line_end = np.flatnonzero(np.append(data == 10, False))
-    bounds = np.unique(np.concatenate([block.offs, line_end + 1]))
-    start, end = bounds[:-1], bounds[1:]
-    if len(start):
-        end = end - (data[end - 1] == 10)
-    has_word = np.searchsorted(w.start, end) > np.searchsorted(w.start, start)
-    start, end = start[has_word], end[has_word]
-    line_doc = np.searchsorted(block.offs, start, side="right") - 1
-    later, _ = B.repeats(B.in_doc(B.range_hash(plain, start, end), line_doc))
-    dup_lines = np.bincount(line_doc[later], minlength=n)
+    dup_lines = np.array([_later_lines(data[a:b].tobytes()) for a, b in zip(block.offs[:-1], block.offs[1:], strict=True)], np.int64)
     at, h3 = B.windows(w, 3)
     _, shared = B.repeats(B.in_doc(h3, w.doc[at]))
     covered = np.zeros(len(w.hash) + 3, bool)
     for k in range(3):
         covered[at[shared] + k] = True
     repeat_words = np.bincount(w.doc[covered[: len(w.hash)]], minlength=n)
-    folded = B.range_hash(B.prefix_hash(block, B.FOLD), w.start, w.end) if len(w.hash) else w.hash
+    folded = B.range_hash(B.FOLD[data], w.start, w.end)
     common = np.bincount(w.doc * N_WORDS + _common_bin(folded), minlength=n * N_WORDS).reshape(n, N_WORDS)
     return {
         "chars": chars,

@@ -20,6 +20,7 @@ decodes one block.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import struct
 import uuid
@@ -33,6 +34,7 @@ import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from graphloom.llm import blocks as B
 from graphloom.runtime import prepare, scratch
@@ -45,8 +47,9 @@ FILTER_BITS = 10
 FILTER_HASHES = 7
 #: Documents in a shard, about; shards are ranges of identifiers.
 SHARD_ROWS = 20_000
-#: Distinct units that a worker remembers.
-CACHE_UNITS = 1_000_000
+#: Distinct units that a worker remembers, and their bytes.
+CACHE_UNITS = 500_000
+CACHE_BYTES = 32 << 20
 ENCODE_BYTES = 3 << 20
 
 
@@ -191,7 +194,8 @@ class Encoder:
     Byte-level BPE encodes each piece of its splitting pattern by itself, and a
     piece never spans the places at which a text is cut here, so encoding the
     distinct units of a block once and putting ids together gives the library's
-    ids for whole texts. Units are held by hash and length.
+    ids for whole texts. Within a block equal units are found by a 64-bit hash
+    that is not polynomial; units are remembered by their bytes.
     """
 
     _OK = B.lut(range(0x21, 0x7F)) | B.lut(range(0xC3, 0xC4))
@@ -203,6 +207,11 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
         self.tokenizer = Tokenizer.from_file(path)
+        known = json.loads(self.tokenizer.to_str())
+        split = known["pre_tokenizer"] or {}
+        plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        #: Only for this way of splitting are the cuts known to be safe; other tokenizers get whole texts.
+        self.cuttable = plain and not known["normalizer"]
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if max(self.tokenizer.get_vocab_size(), end_id) <= 1 << 16 else 4
         self.type = np.dtype(f"<u{self.width}")
@@ -210,19 +219,19 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.pool = np.zeros(1 << 16, self.type)
         self.begin = np.zeros(1 << 12, np.int64)
         self.size = np.zeros(1 << 12, np.int64)
-        self.used = 0
+        self.used = self.held = 0
 
-    def _learn(self, keys: list[int], texts: list[str]) -> None:
+    def _learn(self, keys: list[bytes]) -> None:
         flat: list[int] = []
         first = len(self.known)
         need = first + len(keys)
         if need > len(self.begin):
             self.begin, self.size = (np.concatenate([x, np.zeros(need, np.int64)]) for x in (self.begin, self.size))
-        for k, e in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+        for k, e in enumerate(self.tokenizer.encode_batch_fast([k.decode() for k in keys], add_special_tokens=False)):
             ids = e.ids
             self.begin[first + k] = self.used + len(flat)
             self.size[first + k] = len(ids)
@@ -231,6 +240,7 @@ class Encoder:
             self.pool = np.concatenate([self.pool, np.zeros(len(self.pool) + len(flat), self.type)])
         self.pool[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
+        self.held += sum(map(len, keys))
         self.known.update(zip(keys, range(first, need), strict=True))
 
     def cuts(self, block: B.Block) -> np.ndarray:
@@ -253,19 +263,18 @@ class Encoder:
 
     def encode(self, block: B.Block) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a block's texts, each followed by the end id, and where each text's ids begin."""
-        d, start = block.data, self.cuts(block)
-        raw = d.tobytes()
-        if any(s in raw for s in self.special):
+        raw = block.data.tobytes()
+        if not self.cuttable or any(s in raw for s in self.special):
             return self._whole(block, raw)
+        d, start = block.data, self.cuts(block)
         end = np.append(start[1:], len(d))
-        h = B.range_hash(B.prefix_hash(block, B.IDENTITY), start, end)
-        unit, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) > CACHE_UNITS:
+        _, first, inverse = np.unique(B.range_hash(d, start, end), return_index=True, return_inverse=True)
+        if len(self.known) > CACHE_UNITS or self.held > CACHE_BYTES:
             self.reset()
-        keys = unit.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
+        keys = [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        new = [k for k in keys if k not in self.known]
         if new:
-            self._learn([keys[i] for i in new], [raw[start[i] : end[i]].decode() for i in first[new]])
+            self._learn(new)
         place = np.fromiter((self.known[k] for k in keys), np.int64, len(keys))[inverse]
         n = self.size[place]
         # every text gets one more unit, the end id
@@ -282,7 +291,7 @@ class Encoder:
         return out, at_text
 
     def _whole(self, block: B.Block, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Texts with the string of a special token are left to the library, which reads it as the token."""
+        """Whole texts are left to the library: those with the string of a special token, and those of other tokenizers."""
         texts = [raw[a:b].decode() for a, b in zip(block.offs[:-1], block.offs[1:], strict=True)]
         parts = [[*e.ids, self.end] for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         at = np.zeros(block.n + 1, np.int64)
@@ -303,7 +312,10 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, cut: list[int]) -> Dat
     """``shard, doc_id, ids``: little-endian ids of each whole text and the end id; null texts have that alone.
 
     The shard is the number of bounds at or under the identifier, 0 for nulls.
+    Identifiers must be integers; others raise a TypeError.
     """
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError(f"doc_id must be an integer, not {docs.schema['doc_id'].dataType.simpleString()}")
     prepare(docs.sparkSession)
     limits = np.array(cut, np.int64)
 
