@@ -64,8 +64,11 @@ def header(role: Column, t: Template) -> Column:
 def turns(conversations: DataFrame, t: Template = CHATML) -> DataFrame:
     """Each turn with ``place`` (0, 1, ...), ``allowed`` (the machine's verdict) and ``segments``.
 
-    Turns are ordered by ``turn``, nulls first, then role, then text. A null
-    role counts as the empty role, which no state allows; a null text is empty.
+    Turns are ordered by ``turn``, nulls first, then role, then text; equal rows
+    are turns of their own. A null role counts as the empty role, which no state
+    allows; a null text is empty. Roles and texts of any length are taken whole.
+    Rows without a ``conv_id`` are one conversation. Other columns are dropped,
+    whatever their names; an empty table gives no row.
     """
     c = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     w = W.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text")
@@ -104,10 +107,10 @@ def read_back(output: DataFrame, t: Template = CHATML) -> DataFrame:
     """``conv_id, turns, loss_text`` from formatted conversations: roles and texts as they were, and all text under loss."""
     chunks = F.filter(F.split("formatted", r"\Q" + t.closing + r"\E"), lambda x: x != "")
     # The last chunk is what follows the last closing mark: nothing.
-    end = r"(?s)^\Q" + t.opening + r"\E((?:[^:\\]|\\.)*)" + t.colon
+    end = r"(?s)^\Q" + t.opening + r"\E([^:\\]*+(?:\\.[^:\\]*+)*+)\Q" + t.colon + r"\E"  # possessive: no recursion, however long the role
 
     def turn(chunk: Column) -> Column:
-        label = F.regexp_extract(F.left(chunk, F.lit(4096)), end, 1)
+        label = F.regexp_extract(chunk, end, 1)
         role = unescape(F.substring(label, 2, 1 << 30))
         for name, shown in t.labels.items():
             role = F.when(label == shown, F.lit(name)).otherwise(role)
