@@ -92,13 +92,17 @@ def _fit(examples: list[tuple[np.ndarray, int]]) -> Model:
 def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", max_train: int = MAX_TRAIN) -> Model:
     """Fit on labelled documents for which ``usable`` holds.
 
-    Null labels and labels without a document are passed over; a document with
-    several labels is visited once for each. Without examples the model scores
-    0.5 for every text.
+    Null labels and labels without a document are passed over. A ``doc_id`` is
+    one example however often it stands in either table: of several labels the
+    least counts, of several texts the least, so at most ``max_train`` texts
+    reach the one training task. Examples are visited in the order of a hash of
+    their ids. Null and empty texts are examples without features; long texts
+    are taken whole. Without examples the model scores 0.5 for every text.
+    Columns of any other name are not read.
     """
     prepare(docs.sparkSession)
     chosen = labels.where(usable & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("_y"))
-    chosen = chosen.withColumn("_o", F.xxhash64("doc_id")).orderBy("_o", "doc_id", "_y").limit(max_train)
+    chosen = chosen.groupBy("doc_id").agg(F.min("_y").alias("_y")).withColumn("_o", F.xxhash64("doc_id")).orderBy("_o", "doc_id").limit(max_train)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[int, int, np.ndarray]] = []
@@ -118,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
         )
 
     # at most max_train rows of two numbers
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("_o", "_y", "text")
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "_o", "_y").agg(F.min("text").alias("text")).select("_o", "_y", "text")
     got = sample.repartition(1).mapInArrow(fit, "i long, w double").toArrow()
     i, w = got["i"].to_numpy(), got["w"].to_numpy()
     own = i >= 0
@@ -151,6 +155,11 @@ def held_out() -> Column:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """Scores of all documents by a model that never saw the labels of the held-out third."""
+    """Scores of all documents by a model that never saw the labels of the held-out third.
+
+    One row for each row of ``docs``, repeated ones alike; an empty table gives
+    none, and empty labels a score of 0.5 throughout. A null ``doc_id`` is not
+    held out, and has no label.
+    """
     model = train(docs, labels, ~held_out(), max_train=max_train)
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
