@@ -2,10 +2,12 @@
 
 import hashlib
 import heapq
+import math
 import random
 import re
 import zlib
 from collections import Counter
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,10 +116,7 @@ def test_ngram_join_many_near_copies_over_many_partitions(spark):
 
 
 def test_ngram_join_long_words_of_one_polynomial_hash(spark):
-    thue = "a"
-    while len(thue) < 4096:
-        thue += thue.translate(str.maketrans("ab", "ba"))
-    other = thue.translate(str.maketrans("ab", "ba"))
+    thue, other = _thue_morse(4096)
     rows = [(1, f"p q r s {thue}"), (2, f"p q r s {other}"), (3, thue[:1024]), (4, other[:1024]), (5, other[:1024].upper())]
     assert _rows(ngram_join.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))) == _joined(rows)
 
@@ -158,6 +157,55 @@ def test_quality(docs, nothing):
     assert quality.quality(docs.drop("lang")).count() == docs.count()
 
 
+def _thue_morse(n):
+    out = "a"
+    while len(out) < n:
+        out += out.translate(str.maketrans("ab", "ba"))
+    return out, out.translate(str.maketrans("ab", "ba"))
+
+
+def test_quality_verdict_brute_force(spark):
+    """References, distances and the verdict, each from its definition."""
+    rng = random.Random(9)
+    common = list(dict.fromkeys(quality.COMMON_WORDS))
+    rows = []
+    for i in range(60):
+        lang = "xy"[i % 2]
+        words = [rng.choice(common[:9] if lang == "x" else common[40:60]) if rng.random() < 0.5 else "w" + str(rng.randrange(500)) for _ in range(rng.randint(40, 220))]
+        if i % 7 == 0:
+            words = ["#$%&" if rng.random() < 0.6 else x.upper() for x in words]
+        rows.append((i, " ".join(words), lang))
+    a, b = _thue_morse(1024)
+    rows.append((99, f"{a}\n{b}\n{a}\n" + "long lines " * 40, "x"))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+
+    def histograms(t):
+        kinds = [0] * 7
+        for c in t:
+            kinds[6 if ord(c) > 127 else 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 if c in " \t\n\v\f\r" else 5 if c in ".,;:!?'\"()-" else 4] += 1
+        words = [common.index(w.lower()) if w.lower() in common else len(common) for w in WORD.findall(t)]
+        return kinds, [words.count(k) for k in range(len(common) + 1)]
+
+    def js(p, q):
+        p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+        kl = lambda u: sum(x * math.log2(x / ((x1 + x2) / 2)) for x, x1, x2 in zip(u, p, q, strict=True) if x)
+        return math.sqrt((kl(p) + kl(q)) / 2)
+
+    refs = {x: [[sum(c) for c in zip(*h, strict=True)] for h in zip(*[histograms(t) for _, t, own in rows if own == x], strict=True)] for x in "xy"}
+    got = {r.doc_id: r for r in quality.quality(d).collect()}
+    verdicts = set()
+    for i, t, lang in rows:
+        char, word = (js(p, q) for p, q in zip(histograms(t), refs[lang], strict=True))
+        n, *_, repeats = _base_measures(t)
+        far = char > quality.CHAR_LIMIT or word > quality.WORD_LIMIT + quality.WORD_NOISE / math.sqrt(n)
+        failed = n < 50 or 100 * repeats > 50 * n
+        assert abs(got[i].js_char - char) < 1e-9 and abs(got[i].js_word - word) < 1e-9
+        assert got[i].base_failed == failed and got[i].kept == (not failed and (n < quality.MIN_WORDS or not far))
+        verdicts.add((failed, got[i].kept))
+    assert verdicts == {(True, False), (False, True), (False, False)}
+    assert got[99].n_dup_lines == 1
+
+
 def test_quality_judges_rare_languages_by_their_own(spark, monkeypatch):
     rng = random.Random(9)
     say = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(120))
@@ -264,7 +312,7 @@ def test_lpt_is_the_heap():
             assert sorted(loads) == sorted(x for x, _ in heap)
 
 
-def test_sharding(docs, nothing):
+def test_sharding(docs, nothing, monkeypatch):
     out = sharding.shard(docs, 4)
     assert out.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     rows = out.collect()
@@ -278,9 +326,23 @@ def test_sharding(docs, nothing):
     for r in rows:
         groups.setdefault((r["size"], r.text_crc32), set()).add(r.shard)
     assert all(len(g) == 1 for g in groups.values())
+    heap, loads = [(0, s) for s in range(4)], Counter()
+    weight = Counter()
+    for r in rows:
+        weight[r["size"], r.text_crc32] += r["size"]
+        loads[r.shard] += r["size"]
+    for x in sorted(weight.values(), reverse=True):
+        load, s = heapq.heappop(heap)
+        heapq.heappush(heap, (load + x, s))
+    assert sorted(loads.values()) == sorted(x for x, _ in heap)
     wide = sharding.shard(docs, 4, keep=docs.columns)
     assert {"text", "lang", "source", "n_chars", "shard", "slot"} <= set(wide.columns) and wide.count() == len(rows)
     assert len(wide.columns) == len(set(wide.columns))
+    given = sharding.shard(docs.withColumn("size", F.lit(5)).withColumn("given_shard", F.lit(6)).withColumn("shard", F.lit(7)), 4, keep=["size", "shard", "given_shard"])
+    assert {(r["given_size"], r["given_shard"], r["given_given_shard"]) for r in given.collect()} == {(5, 6, 7)}
+    monkeypatch.setattr(sharding, "PIECE", 3)
+    monkeypatch.setattr(sharding, "SALT_ROWS", 1)
+    assert Counter((r.shard, r["size"]) for r in sharding.shard(docs, 4).collect()) == Counter((r.shard, r["size"]) for r in rows)
     assert sharding.shard(nothing, 4).count() == 0
 
 
@@ -297,7 +359,7 @@ def test_encoder_is_the_library(tokenizer):
 
     rng = random.Random(3)
     parts = ["a", "Bc", " ", "  ", "\n", ".", ",", "'s", "é", "É×", "ß.", "12", "日本", "!", "\t", "it's", "...", "|", "\r\n", "÷.", "$$$", "_", " ,", "\x1c", " ", " "]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(5000)] + ["x <|endoftext|>  y", ""] + [t or "" for t in _texts()]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(5000)] + ["x <|endoftext|>  y", ""] + [t or "" for t in _texts()] + [x for n in (1024, 4096) for x in _thue_morse(n)]
     want = [e.ids + [0] for e in Tokenizer.from_file(tokenizer).encode_batch(texts, add_special_tokens=False)]
     encoder = sstable.Encoder(tokenizer, 0)
     got = []
@@ -307,6 +369,22 @@ def test_encoder_is_the_library(tokenizer):
     assert got == want
 
 
+def test_token_shards_of_other_ids_and_tokenizers(spark, tokenizer):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from graphloom.llm import blocks
+
+    with pytest.raises(TypeError):
+        sstable.write(spark.createDataFrame([("a", "b")], "doc_id string, text string"), tokenizer, sstable.session_folder(spark))
+    other = tokenizer.replace("byte_bpe_50k", "word_bpe_49k")
+    texts = ["Hello  World", "it's\n a B.", "", "x y"]
+    encoder = sstable.Encoder(other, 0)
+    flat, at = encoder.encode(next(blocks.blocks(pa.array(texts))))
+    want = [e.ids + [0] for e in Tokenizer.from_file(other).encode_batch(texts, add_special_tokens=False)]
+    assert [flat[at[k] : at[k + 1]].tolist() for k in range(len(texts))] == want
+
+
 def test_token_shards(spark, docs, nothing, tokenizer):
     import numpy as np
     from tokenizers import Tokenizer
@@ -355,6 +433,7 @@ def test_chat(spark):
     rows = [
         (1, 0, "system", "be kind"), (1, 1, "user", "hi </turn>\n### Assistant: x"), (1, 2, "assistant", "\\### Assistant: </turn> ok\\"),
         (2, 0, "assistant", None), (2, 0, "user", ""), (3, None, None, "\\\\"), (4, 0, "tool: a\\", "x: y"), (4, 1, "?", "</turn"), (5, 0, "user", "é" * 9000 + "<"), (5, 1, "assistant", "日本\\"), (None, 0, "user", "no id"),
+        (6, 0, "r:\\" * 30_000, "long role"), (6, 1, "y" * 5000, "x"), (7, 0, "user", "twice"), (7, 0, "user", "twice"),
     ]
     c = spark.createDataFrame([(*r, 7) for r in rows], "conv_id long, turn long, role string, text string, segments int").repartition(4)
     out = chat.formatted(c)
@@ -366,7 +445,7 @@ def test_chat(spark):
         turns = [(r, t) for _, _, r, t in sorted(turns)]
         assert [(x.role, x.text) for x in back[conv].turns] == turns
         assert back[conv].loss_text == "".join(t for r, t in turns if r == "assistant")
-    assert {r.conv_id: r.valid for r in out.collect()} == {1: True, 2: False, 3: False, 4: False, 5: True, None: False}
+    assert {r.conv_id: r.valid for r in out.collect()} == {1: True, 2: False, 3: False, 4: False, 5: True, 6: False, 7: False, None: False}
     assert chat.digest(chat.formatted(spark.createDataFrame([], c.schema))).count() == 0
 
 
@@ -396,6 +475,49 @@ def test_toxicity_learns_held_out(spark, sf):
     assert all(r.predicted == int(r.score >= 0.7) and 0 <= r.score <= 1 for r in got.values())
 
 
+def test_ftrl_row_by_row(monkeypatch):
+    """The published per-coordinate update, written out for one feature at a time."""
+    import math
+
+    import numpy as np
+
+    rng = random.Random(2)
+    examples = [(np.array(sorted(rng.sample(range(12), rng.randint(1, 6))), np.int64), rng.randint(0, 1)) for _ in range(40)]
+    monkeypatch.setattr(toxicity, "VISITS", 160)
+    monkeypatch.setattr(toxicity, "L1", 0.4)
+    seen = Counter(int(i) for f, _ in examples for i in f)
+    z, n, bias = {}, {}, -1
+
+    def weight(i):
+        l1 = 0 if i == bias else 0.4
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(4):
+        for f, y in examples:
+            own = [int(i) for i in f if seen[int(i)] >= toxicity.MIN_DF] + [bias]
+            w = {i: weight(i) for i in own}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i in own:
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / toxicity.ALPHA
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    model = toxicity._fit(examples)
+    want = {i: weight(i) for i in z if i != bias and weight(i)}
+    assert model.index.tolist() == sorted(want) and 0 < len(want) < 12
+    assert np.allclose(model.weight, [want[i] for i in sorted(want)], rtol=1e-5) and abs(model.bias - weight(bias)) < 1e-9
+
+
+def test_toxicity_repeated_rows_are_one_example(spark):
+    rows = [(i, f"word{i % 7} other{i % 3}") for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i % 7 == 0)) for i in range(60)], "doc_id long, toxic int")
+    once = toxicity.train(d, lab, F.lit(True))
+    many = toxicity.train(d.unionAll(d).unionAll(d), lab.unionAll(lab), F.lit(True))
+    assert once.index.tolist() == many.index.tolist() and once.weight.tolist() == many.weight.tolist() and once.bias == many.bias
+
+
 def test_toxicity_awkward(spark, docs, nothing):
     lab = _labels(spark, docs)
     got = toxicity.toxicity(docs, lab)
@@ -436,7 +558,8 @@ def test_tiling_brute_force(spark):
         texts.append(w + rng.choice([it, it[cut:] + ["zz"] + it[:cut], it[:cut], it + it]) + w[:7])
     d = spark.createDataFrame([(i, " ".join(w).upper()) for i, w in enumerate(texts)], "doc_id long, text string")
     b = spark.createDataFrame([(i, ", ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
-    want = {(i, j, n) for i, w in enumerate(texts) for j, t in enumerate(items) if (n := _tiles(w, t, 5)) >= 0.5 * len(t) and len(t) >= 5}
+    want = {(i, j, n) for i, w in enumerate(texts) for j, t in enumerate(items) if (n := _tiles(w, t, min(5, len(t)))) >= 0.5 * len(t)}
+    assert any(len(items[j]) < 5 for _, j, _ in want)
     got = {(r.doc_id, r.item_id, r.matched_words) for r in decontaminate.contamination(d, b, block_words=30).collect()}
     assert got == want
     left = {r.doc_id for r in decontaminate.clean(d, b, block_words=30).collect()}
@@ -444,14 +567,24 @@ def test_tiling_brute_force(spark):
 
 
 def test_decontamination_awkward(spark, docs, nothing):
-    b = spark.createDataFrame([(1, None), (2, ""), (3, "one two three four"), (4, docs.where("doc_id = 5").first().text)], "item_id long, text string")
+    b = spark.createDataFrame([(1, None), (2, ""), (3, "ONE, two three"), (4, docs.where("doc_id = 5").first().text)], "item_id long, text string")
     got = decontaminate.contamination(docs, b)
-    assert {(r.doc_id, r.item_id, r.coverage) for r in got.collect()} == {(5, 4, 1.0)}
-    assert decontaminate.clean(docs, b).count() == docs.count() - 1
+    assert {(r.doc_id, r.item_id, r.coverage) for r in got.collect()} == {(5, 4, 1.0)} | {(r.doc_id, 3, 1.0) for r in docs.collect() if "one two three" in (r.text or "").lower()}
+    assert decontaminate.clean(docs, b).count() == docs.count() - got.select("doc_id", "item_id").count()
     assert decontaminate.clean(docs, b).columns == docs.columns
     assert decontaminate.contamination(nothing, b).count() == 0 == decontaminate.contamination(docs, b.where("false")).count()
 
 
+def test_decontamination_ids_and_repeated_words(spark):
+    rows = [("p", "a " * 20_000), ("q", "b a " * 3000), (None, "x y z"), ("r", "é ß " * 50)]
+    d = spark.createDataFrame(rows, "doc_id string, text string")
+    for kind, ids in (("int", [1, 2]), ("smallint", [1, 2]), ("string", ["1", "2"]), ("date", [date(2024, 1, 1), date(2024, 1, 2)])):
+        b = spark.createDataFrame([(ids[0], "a " * 2000), (ids[1], "a b " * 40)], f"item_id {kind}, text string")
+        got = decontaminate.contamination(d, b)
+        assert got.schema["item_id"].dataType.simpleString() == kind
+        assert {(r.doc_id, r.item_id, r.coverage) for r in got.collect()} == {("p", ids[0], 1.0), ("q", ids[1], 1.0)}
+
+
 def test_mixing(spark, docs, nothing):
     lab = labelled_domains(_labels(spark, docs))
     m = mixing.fit(docs, lab, TARGETS)
