@@ -13,12 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
+#: Bytes of an Arrow batch between Spark and its Python workers: long texts would make batches of the default rows huge.
+BATCH_BYTES = 4 << 20
+
+
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package when it is not installed on them.
+    """Let Python workers import this package when it is not installed on them, and bound their batches.
 
     On a cluster ship the package with ``--py-files``; the path added here only
-    helps where workers see the driver's checkout.
+    helps where workers see the driver's checkout. The session's batches are
+    held to ``BATCH_BYTES`` unless it asks for less.
     """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)
