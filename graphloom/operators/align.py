@@ -3,15 +3,50 @@
 from __future__ import annotations
 
 import difflib
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 
+def edit_script(a: list[str], b: list[str]) -> list[str]:
+    """A shortest edit script by Myers' greedy algorithm: one of ``=``, ``-``, ``+`` for each line, in order."""
+    n, m = len(a), len(b)
+    reach, history = {1: 0}, []
+    for d in range(n + m + 1):
+        history.append(dict(reach))
+        for k in range(-d, d + 1, 2):
+            x = reach[k + 1] if k == -d or (k != d and reach[k - 1] < reach[k + 1]) else reach[k - 1] + 1
+            while x < n and x - k < m and a[x] == b[x - k]:
+                x += 1
+            reach[k] = x
+            if x >= n and x - k >= m:
+                break
+        else:
+            continue
+        break
+    out: list[str] = []
+    x, y = n, m
+    for d in range(len(history) - 1, -1, -1):
+        before, k = history[d], x - y
+        down = k == -d or (k != d and before[k - 1] < before[k + 1])
+        px = before[k + 1] if down else before[k - 1]
+        py = px - (k + 1 if down else k - 1)
+        begin = (px if down else px + 1) if d else 0
+        out += ["="] * (x - begin)
+        if d:
+            out.append("+" if down else "-")
+            x, y = px, py
+    return out[::-1]
+
+
 def change_cost(a: list[str], b: list[str]) -> int:
-    """Edit operations between two line lists, unchanged stretches counted too; 0 if both are empty."""
-    return len(difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes())
+    """Operations of a shortest edit script: runs of kept lines and runs of changed ones; 0 if both are empty.
+
+    Lines dropped and added side by side are one replacement.
+    """
+    return sum(1 for _ in itertools.groupby(x == "=" for x in edit_script(a, b)))
 
 
 def align(old: list[list[str]], ids: list[int], new: list[list[str]]) -> list[int | None]:

@@ -32,7 +32,7 @@ def substring(items: DataFrame, query: str, limit: int | None = None, by_length:
 def index_table(items: DataFrame) -> DataFrame:
     """Search index rows from items: direct and node links only, keys normalised and under 200 bytes, no repeats."""
     return (
-        items.where(F.col("href.kind").isin("id", "slice"))
+        items.where(F.col("href.kind").isin("id", "direct"))
         .withColumn("key", fs.search_key(F.col("key")))
         .where((F.length("key") > 0) & (F.octet_length("key") < 200))
         .dropDuplicates()

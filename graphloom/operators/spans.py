@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Bytes of a run of a file that is one join key.
+BUCKET = 1 << 16
 
-def stab(points: DataFrame, spans: DataFrame, level: int | None = None, bucket: int | None = None) -> DataFrame:
+
+def stab(points: DataFrame, spans: DataFrame, level: int | None = None, bucket: int | None = BUCKET) -> DataFrame:
     """Innermost live span that holds each point: ``path_id, off`` with ``node_id`` and ``nest_level`` or nulls.
 
-    An equi-join on the path with the range as residual. With ``bucket`` spans
-    are listed once for each run of that many bytes that they touch, which
-    spreads a huge file over keys (path, run); the answer is the same. Ties in
-    depth go to the later start, then the larger id.
+    An equi-join on the path with the range as residual. Spans are listed once
+    for each run of ``bucket`` bytes that they touch, which spreads a huge file
+    over keys (path, run); without ``bucket`` the key is the path. The answer is
+    the same. Ties in depth go to the later start, then the larger id.
     """
     p = points.select("path_id", "off").distinct()
     s = spans.where("fresh")
@@ -50,7 +53,7 @@ def stab_sorted(points: DataFrame, spans: DataFrame) -> DataFrame:
     return both.where("ask = 1").groupBy("path_id", F.col("at").alias("off")).agg(F.max(hit).alias("_b")).select("path_id", "off", F.col("_b.node_id").alias("node_id"), F.col("_b.nest_level").alias("nest_level"))
 
 
-def resolve_definitions(links: DataFrame, paths: DataFrame, spans: DataFrame, file_nodes: DataFrame, repo_only: bool = True, bucket: int | None = None) -> DataFrame:
+def resolve_definitions(links: DataFrame, paths: DataFrame, spans: DataFrame, file_nodes: DataFrame, repo_only: bool = True, bucket: int | None = BUCKET) -> DataFrame:
     """Places (``path, off``) to nodes; ``status`` is ok, outside, unknown path or no node.
 
     The innermost span wins; without one the file's own node stands in.
@@ -66,10 +69,11 @@ def resolve_definitions(links: DataFrame, paths: DataFrame, spans: DataFrame, fi
     return found.withColumn("status", status).withColumn("node_id", F.when(status == "ok", node)).drop("file_node", "nest_level")
 
 
-def elide(tokens: DataFrame, nested: DataFrame) -> DataFrame:
-    """Tokens that no nested span covers: an anti range join on the path."""
-    t, n = tokens.alias("t"), nested.alias("n")
-    covered = (F.col("t.path_id") == F.col("n.path_id")) & (F.col("n.start") <= F.col("t.off")) & (F.col("t.off") < F.col("n.end"))
+def elide(tokens: DataFrame, nested: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """Tokens that no nested span covers: an anti range join on the path and runs of ``bucket`` bytes."""
+    runs = F.explode(F.sequence(F.expr(f"start div {bucket}"), F.expr(f"(end - 1) div {bucket}")))
+    t, n = tokens.alias("t"), nested.where(F.col("end") > F.col("start")).select("path_id", "start", "end", runs.alias("_b")).alias("n")
+    covered = (F.col("t.path_id") == F.col("n.path_id")) & (F.expr(f"t.off div {bucket}") == F.col("n._b")) & (F.col("n.start") <= F.col("t.off")) & (F.col("t.off") < F.col("n.end"))
     return t.join(n, covered, "left_anti")
 
 

@@ -6,10 +6,17 @@ Windows are partitioned by node, so a shuffle by node is all that they need.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graphloom.runtime import prepare
+
 #: Lexer of last resort: white space, words, and runs of anything else.
 LEX = r"(\s+|[A-Za-z0-9_]+|[^A-Za-z0-9_\s]+)"
 
@@ -20,6 +27,53 @@ def lex(texts: DataFrame, node: str, text: str = "text") -> DataFrame:
     return texts.select(F.col(node).alias("node_id"), F.posexplode(toks).alias("pos", "tok"))
 
 
+_OUT_ROWS = 16_384
+_CLASS = np.full(256, 2, np.int8)
+_CLASS[list(b" \t\n\v\f\r")] = 0
+_CLASS[[*range(48, 58), *range(65, 91), 95, *range(97, 123)]] = 1
+
+
+def lexed(texts: DataFrame, node: str, text: str = "text") -> DataFrame:
+    """``lex`` with the byte ``offset`` and 0-based ``line`` of every token, found where the text is.
+
+    Tokens are runs of bytes of one class, so a batch of texts is cut by array
+    operations, and no token is shuffled or sorted. Null and empty texts have
+    no token.
+    """
+    prepare(texts.sparkSession)
+    kind = texts.schema[node].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = pc.fill_null(batch.column(1), "").cast(pa.large_string())
+            ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+            raw = column.buffers()[2]
+            data = np.frombuffer(raw, np.uint8)[ends[0] : ends[-1]] if raw is not None else np.zeros(0, np.uint8)
+            ends = ends - ends[0]
+            own = _CLASS[data]
+            begins = np.append(True, own[1:] != own[:-1]) if len(data) else np.zeros(0, bool)
+            begins[ends[:-1][np.diff(ends) > 0]] = True
+            start = np.flatnonzero(begins)
+            first = np.searchsorted(start, ends)
+            doc = np.repeat(np.arange(len(column)), np.diff(first))
+            lines = np.cumsum(np.append(0, data == 10))
+            tok = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(np.append(start, len(data))), pa.py_buffer(np.ascontiguousarray(data)))
+            out = pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(doc)),
+                    pa.array((np.arange(len(start)) - first[doc]).astype(np.int32)),
+                    tok.cast(pa.string()),
+                    pa.array(start - ends[doc]),
+                    pa.array(lines[start] - lines[ends[doc]]),
+                ],
+                ["node_id", "pos", "tok", "offset", "line"],
+            )
+            for begin in range(0, out.num_rows, _OUT_ROWS):
+                yield out.slice(begin, _OUT_ROWS)
+
+    return texts.select(F.col(node), F.col(text)).mapInArrow(cut, f"node_id {kind}, pos int, tok string, offset long, line long")
+
+
 def token_type(tok: Column) -> Column:
     return F.when(tok.rlike(r"^\s"), "WS").when(tok.rlike(r"^[0-9]"), "Literal").when(tok.rlike(r"^[A-Za-z_]"), "Identifier").otherwise("Punctuation")
 
@@ -44,12 +98,20 @@ def deviations(tokens: DataFrame) -> DataFrame:
 
 
 def reconstruct(tokens: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Token texts from offsets: each ends where the next begins, the last at the node's end."""
-    end = F.lead("offset").over(W.partitionBy("node_id").orderBy("pos"))
-    whole = F.col("text").cast("binary")
-    joined = tokens.withColumn("_end", end).join(nodes.select("node_id", "text"), "node_id")
-    size = F.coalesce(F.col("_end"), F.octet_length("text").cast("long")) - F.col("offset")
-    return joined.withColumn("tok", F.substring(whole, (F.col("offset") + 1).cast("int"), size.cast("int")).cast("string")).drop("_end", "text")
+    """Token texts from offsets: each ends where the next begins, the last at the node's end.
+
+    A node's tokens are gathered before they meet its text, so a text is joined
+    once and not once for each token.
+    """
+    rest = [c for c in tokens.columns if c not in ("node_id", "pos", "offset")]
+    per_node = tokens.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("pos", "offset", *rest))).alias("_t"))
+    joined = per_node.join(nodes.select("node_id", F.col("text").cast("binary").alias("_raw")), "node_id")
+
+    def cut(t: Column, i: Column) -> Column:
+        end = F.coalesce(F.get("_t", i + 1)["offset"], F.octet_length("_raw").cast("long"))
+        return t.withField("tok", F.substring("_raw", (t["offset"] + 1).cast("int"), (end - t["offset"]).cast("int")).cast("string"))
+
+    return joined.select("node_id", F.explode(F.transform("_t", cut)).alias("_t")).select("node_id", "_t.*")
 
 
 def truncate(tokens: DataFrame, most: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions.paths import ancestors
-from graphloom.runtime import stash
+from graphloom.runtime import Tables
 
 
 def dir_children(files: DataFrame, path: str = "path") -> DataFrame:
@@ -52,50 +52,62 @@ def containers(definitions: DataFrame, nested_in: DataFrame, file_nodes: DataFra
     return own.unionByName(above).unionByName(dir_nodes.where("path = ''").select("id", F.lit(None).cast("long").alias("container")))
 
 
-def depths(edges: DataFrame, most: int = 64) -> DataFrame:
+def depths(edges: DataFrame) -> DataFrame:
     """``id, depth, root`` of a forest given as ``id, parent``; roots have a null parent.
 
-    Level by level, each a table in the shared folder; a cycle ends at ``most``.
+    Level by level until one is empty, each a table in the shared folder. An id
+    that stands under several parents is taken at each level once; what no root
+    leads to, such as a cycle, has no row.
     """
-    level = stash(edges.where("parent is null").select("id", F.lit(0).alias("depth"), F.col("id").alias("root")), "level")
-    found = level
+    tables = Tables(edges.sparkSession, "depths")
+    found = level = tables.put("level-0", edges.where("parent is null").select("id", F.lit(0).alias("depth"), F.col("id").alias("root")))
     below = edges.where("parent is not null").select("id", "parent")
-    for d in range(1, most + 1):
-        level = stash(below.join(level.select(F.col("id").alias("parent"), "root"), "parent").select("id", F.lit(d).alias("depth"), "root"), "level")
+    d = 0
+    while True:
+        d += 1
+        step = below.join(level.select(F.col("id").alias("parent"), "root"), "parent").select("id", F.lit(d).alias("depth"), "root")
+        level = tables.put(f"level-{d}", step.join(found.select("id", "root"), ["id", "root"], "left_anti"))
         if level.isEmpty():
-            break
+            return found
         found = found.unionByName(level)
-    return found
 
 
-def closure(edges: DataFrame, most: int = 64) -> DataFrame:
-    """``src, dst`` for everything reachable, cycles allowed: semi-naive, only new pairs go on."""
+def closure(edges: DataFrame) -> DataFrame:
+    """``src, dst`` for everything reachable, cycles allowed: semi-naive, only new pairs go on until there are none."""
+    tables = Tables(edges.sparkSession, "closure")
     e = edges.select("src", "dst").distinct()
-    new = stash(e, "closure")
-    seen = new
-    for _ in range(most):
+    seen = new = tables.put("pairs-0", e)
+    d = 0
+    while True:
+        d += 1
         step = new.alias("a").join(e.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst").distinct()
-        new = stash(step.join(seen, ["src", "dst"], "left_anti"), "closure")
+        new = tables.put(f"pairs-{d}", step.join(seen, ["src", "dst"], "left_anti"))
         if new.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(new)
-    return seen
-
-
-def outermost(cursors: DataFrame, ignored: tuple[str, ...] = ("NotImplemented", "Namespace", "LinkageSpec"), most: int = 64) -> DataFrame:
-    """``id, top``: the last ancestor that is no ignored kind, walking ``parent`` to the root; the cursor itself if there is none."""
-    up = cursors.select(F.col("id").alias("at"), F.col("parent").alias("next"), F.col("kind").alias("at_kind"))
-    walk = stash(cursors.select("id", F.col("id").alias("top"), F.col("parent").alias("at")), "walk")
-    done = walk.where("at is null").select("id", "top")
-    walk = walk.where("at is not null")
-    for _ in range(most):
-        step = walk.join(up, "at").select("id", F.when(F.col("at_kind").isin(*ignored), F.col("top")).otherwise(F.col("at")).alias("top"), F.col("next").alias("at"))
-        step = stash(step, "walk")
-        done = done.unionByName(step.where("at is null").select("id", "top"))
-        walk = step.where("at is not null")
-        if walk.isEmpty():
-            break
-    return done
+
+
+def outermost(cursors: DataFrame, ignored: tuple[str, ...] = ("NotImplemented", "Namespace", "LinkageSpec")) -> DataFrame:
+    """``id, top``: the last ancestor that is no ignored kind, walking ``parent`` to the root; the cursor itself if there is none.
+
+    Walks double in length each round, so a chain of n takes log n of them. A
+    parent without a row ends the walk. No walk is longer than the table, so one
+    that is comes from a cycle of parents and raises a ValueError.
+    """
+    tables = Tables(cursors.sparkSession, "outermost")
+    known = cursors.select(F.col("id").alias("at"), F.col("kind").alias("at_kind"))
+    first = cursors.select("id", F.col("parent").alias("at")).join(known, "at", "left")
+    counts = F.col("at_kind").isNotNull() & ~F.col("at_kind").isin(*ignored)
+    walks = tables.put("walks", first.select("id", F.when(F.col("at_kind").isNotNull(), F.col("at")).alias("at"), F.when(counts, F.col("at")).alias("top")))
+    most, steps = walks.count(), 1
+    while not walks.where("at is not null").isEmpty():
+        if steps > most:
+            raise ValueError("the cursors' parents form a cycle")
+        further = walks.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("top").alias("later"))
+        open_ = walks.where("at is not null").join(further, "at").select("id", F.col("next").alias("at"), F.coalesce("later", "top").alias("top"))
+        walks = tables.put("walks", open_.unionByName(walks.where("at is null")))
+        steps *= 2
+    return walks.select("id", F.coalesce("top", "id").alias("top"))
 
 
 def truncate_entries(tokens: DataFrame, most: int) -> DataFrame:

@@ -71,7 +71,7 @@ _TYPE_SQL = r"CASE WHEN regexp_matches(tok, '^\s') THEN 'WS' WHEN regexp_matches
 
 
 def _lexed(spark: SparkSession, sf: str) -> DataFrame:
-    return tokens.with_offsets(tokens.lex(table(spark, sf, "documents"), "doc_id"))
+    return tokens.lexed(table(spark, sf, "documents"), "doc_id")
 
 
 @register("token_count", r"SELECT doc_id, CAST(len(regexp_extract_all(text, '(\s+|[A-Za-z0-9_]+|[^A-Za-z0-9_\s]+)', 1)) AS BIGINT) AS n_tokens FROM documents")

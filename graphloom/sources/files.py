@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import io
+import re
 import tokenize
 from collections.abc import Iterator
 
@@ -41,18 +42,47 @@ def listed(lines: DataFrame, known: DataFrame | None = None, column: str = "valu
 
 
 def compile_commands(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("directory string, command string, file string, arguments array<string>").option("multiLine", "true").json(path)
+    """Rows of a compile-commands file; one that is empty, or no array of commands, is an error."""
+    rows = spark.read.schema("directory string, command string, file string, arguments array<string>, _corrupt_record string").option("multiLine", "true").json(path)
+    head = rows.select("file", "_corrupt_record").take(1)
+    if not head:
+        raise ValueError(f"no commands in {path}")
+    if head[0]["_corrupt_record"] is not None or head[0]["file"] is None:
+        raise ValueError(f"malformed compile commands in {path}: an array of commands is expected")
+    return rows.drop("_corrupt_record")
 
 
-def plan_units(commands: DataFrame, prefix: str, only: list[str] | None = None, drop: tuple[str, ...] = ("-Werror",)) -> DataFrame:
-    """``path, args, seq``: one unit a command, paths below ``prefix``, unwanted arguments gone.
+#: A word of a command line: bare characters, escapes, and quoted stretches.
+_SHELL_WORD = r"""((?:[^\s"'\\]|\\.|"(?:[^"\\]|\\.)*"|'[^']*')+)"""
 
-    With ``only`` the first command of each requested file; a file without one is an error.
+
+def shell_words(command: Column) -> Column:
+    """The words of a command line, quotes and escapes resolved."""
+    words = F.regexp_extract_all(command, F.lit(_SHELL_WORD), F.lit(1))
+    bare = lambda w: F.regexp_replace(w, r"""(?s)"((?:[^"\\]|\\.)*)"|'([^']*)'|\\(.)""", "$1$2$3")
+    return F.transform(words, lambda w: F.when(w.contains('"'), F.regexp_replace(bare(w), r"""\\(["\\])""", "$1")).otherwise(bare(w)))
+
+
+#: Arguments that are left out: they name files of a build.
+DROPPED = ("-frandomize-layout-seed-file",)
+
+
+def plan_units(commands: DataFrame, prefix: str, only: list[str] | None = None, drop: tuple[str, ...] = DROPPED, extra: tuple[str, ...] = ()) -> DataFrame:
+    """``path, directory, args, seq``: one unit a command, numbered from 1 in the table's order.
+
+    Paths are below ``prefix``. The file's own name and arguments that begin with
+    one of ``drop`` leave the arguments, ``extra`` ones follow. With ``only`` the
+    first command of each requested file; a file without one is an error.
     """
+    from graphloom.operators.search import dense_ids
+
     file = F.when(F.col("file").startswith("/"), F.col("file")).otherwise(F.concat_ws("/", "directory", "file"))
-    args = F.coalesce(F.col("arguments"), F.split("command", r"\s+"))
-    kept = F.filter(args, lambda a: ~_starts(a, drop))
-    units = commands.select(relative_to(normalise(file), prefix).alias("path"), kept.alias("args"), F.monotonically_increasing_id().alias("seq"))
+    args = F.coalesce(F.col("arguments"), shell_words(F.col("command")))
+    kept = F.filter(args, lambda a: (a != F.col("file")) & ~_starts(a, drop))
+    each = commands.select(
+        relative_to(normalise(file), prefix).alias("path"), F.col("directory"), F.concat(kept, F.array(*[F.lit(x) for x in extra]).cast("array<string>")).alias("args"), F.monotonically_increasing_id().alias("_at")
+    )
+    units = dense_ids(each, ["_at"], "seq", 1).drop("_at")
     if only is None:
         return units
     asked = commands.sparkSession.createDataFrame([(p,) for p in only], "path string")
@@ -95,9 +125,7 @@ def _definitions(path: str, text: str) -> list[tuple]:
         tree = ast.parse(text)
     except (SyntaxError, ValueError) as e:
         return [(path, str(e)[:200], "error", "", 0, 0, 0)]
-    starts = [0]
-    for line in text.encode().splitlines(keepends=True):
-        starts.append(starts[-1] + len(line))
+    starts = [0, *(m.end() for m in re.finditer(rb"\r\n|\r|\n", text.encode()))]  # lines as the parser counts them
     out: list[tuple] = []
 
     def visit(node: ast.AST, context: list[str], level: int) -> None:
@@ -116,7 +144,10 @@ def _definitions(path: str, text: str) -> list[tuple]:
 
 
 def python_tokens(files: DataFrame) -> DataFrame:
-    """``path, pos, type, tok, off``: tokens of Python sources with the white space between them, byte offsets."""
+    """``path, pos, type, tok, off``: tokens of Python sources with the white space between them, byte offsets.
+
+    What follows a place where the tokenizer fails is one token of type ``Error``.
+    """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -129,10 +160,7 @@ def python_tokens(files: DataFrame) -> DataFrame:
 def _tokens(text: str) -> list[tuple[str, str, int]]:
     import keyword
 
-    lines = text.splitlines(keepends=True)
-    starts = [0]
-    for line in lines:
-        starts.append(starts[-1] + len(line))
+    starts = [0, *(m.end() for m in re.finditer("\n", text))]  # lines as readline gives them
     found: list[tuple[int, int, str]] = []
     try:
         for t in tokenize.generate_tokens(io.StringIO(text).readline):
@@ -141,7 +169,9 @@ def _tokens(text: str) -> list[tuple[str, str, int]]:
                 name = "Keyword" if name == "Identifier" and keyword.iskeyword(t.string) else name
                 found.append((starts[t.start[0] - 1] + t.start[1], starts[t.end[0] - 1] + t.end[1], name))
     except (tokenize.TokenError, IndentationError, SyntaxError):
-        pass
+        rest = found[-1][1] if found else 0
+        if text[rest:].strip():
+            found.append((rest, len(text), "Error"))
     out, at, byte = [], 0, 0
     for a, b, kind in [*found, (len(text), len(text), "")]:
         for piece, name in ((text[at:a], "WS"), (text[a:b], kind)):

@@ -218,7 +218,7 @@ def test_file_sources(spark, tmp_path):
     assert d == {"f": ("Definition", "", 1), "C": ("Class", "", 1), "m": ("Definition", "C", 2)}
     assert "".join(r.tok for r in sorted(files.python_tokens(py).collect(), key=lambda r: r.pos)) == got["a.py"]
     cc = spark.createDataFrame([("/r", "cc -c -Werror a.c", "a.c", None), ("/r", "cc -c b.c", "/r/sub/../b.c", None)], "directory string, command string, file string, arguments array<string>")
-    assert {r.path: r.args for r in files.plan_units(cc, "/r").collect()} == {"a.c": ["cc", "-c", "a.c"], "b.c": ["cc", "-c", "b.c"]}
+    assert {r.path: r.args for r in files.plan_units(cc, "/r").collect()} == {"a.c": ["cc", "-c", "-Werror"], "b.c": ["cc", "-c", "b.c"]}
     with pytest.raises(ValueError):
         files.plan_units(cc, "/r", only=["zz.c"])
 
@@ -240,3 +240,105 @@ def test_streaming_intake(spark, sf, tmp_path):
     q = units.intake(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 100).parquet(str(tmp_path / "in")), lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"), str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert {(r.path, r.unit) for r in spark.read.parquet(out).collect()} == {(f"f{i}", i) for i in range(5)}
+
+
+def test_interchange_index(spark, tmp_path):
+    from graphloom import schema
+    from graphloom.plans import interchange
+
+    def href(kind, **own):
+        return {"kind": kind, "node_id": None, "sym_id": None, "path": None, "offset": None, "blob_id": None, "end": None} | own
+
+    def token(offset, link=None, at=None, elided=False):
+        place = None if at is None else {"line": 1, "column": 1, "offset": at}
+        return {"offset": offset, "type": "Identifier", "href": link, "has_references": False, "sym_id": None, "real_offset": None, "real_line": None, "uim_location": place, "uim_elided": elided}
+
+    def node(kind, path, text, start=0, level=None, tokens=(), context=None):
+        return {"id": 0, "kind": kind, "path": path, "container": None, "start": {"line": 0, "column": 0, "offset": start}, "text": text, "tokens": list(tokens), "member_of": None, "path_id": 0, "uim_reference_context": context, "uim_nest_level": level}
+
+    uni = lambda p, o: href("uni", path=p, offset=o)
+    nodes = [
+        node("Class", "/r/a/x.py", "class C: def m()", 10, 1),
+        node("Definition", "/r/a/x.py", "def m()", 19, 2, [token(4)]),
+        node("Definition", "/r/b.py", "m() x q", 5, 1, [token(0, uni("/r/a/x.py", 23), 5), token(4, uni("/r/a/x.py", 0), 9), token(6, uni("/r/none.py", 1), 11), token(5, uni("/r/a/x.py", 12), 10, True)], "f"),
+        node("SourceFile", "/r/a/x.py", "whole"),
+    ]
+    items = [{"key": "m", "href": uni("/r/a/x.py", 19), "kind": "Symbol", "path": "/r/a/x.py", "type": None}, {"key": "lost", "href": uni("/r/none.py", 0), "kind": "Symbol", "path": None, "type": None}]
+    got = interchange.index(spark.createDataFrame(nodes, schema.NODE), spark.createDataFrame(items, schema.INDEX_ITEM), "/r")
+    rows = {(r.path, r.kind, r.text): r for r in got["nodes"].collect()}
+    paths = {r.path: r.node_id for r in got["paths"].collect()}
+    assert set(paths) == {"", "a", "a/x.py", "b.py"} and len(rows) == 4
+    c, m, f, x = (rows[k] for k in (("a/x.py", "Class", "class C: def m()"), ("a/x.py", "Definition", "def m()"), ("b.py", "Definition", "m() x q"), ("a/x.py", "SourceFile", "whole")))
+    assert x.id == paths["a/x.py"] and len({r.id for r in rows.values()} | set(paths.values())) == 7
+    assert (c.container, m.container, f.container, x.container) == (paths["a/x.py"], c.id, paths["b.py"], paths["a"])
+    assert [t.href and (t.href.kind, t.href.node_id, t.href.offset) for t in f.tokens] == [("token", m.id, 23), ("token", x.id, 0), None, ("token", c.id, 12)]
+    assert {tuple(r) for r in got["uses"].collect()} == {(m.id, 23, f.id, "f", 5, "b.py", False), (x.id, 0, f.id, "f", 9, "b.py", False)}
+    assert [t.has_references for t in m.tokens] == [True] and not any(t.has_references for t in f.tokens)
+    assert {(r.node_id, r.offset, len(r.refs)) for r in got["references"].collect()} == {(m.id, 23, 1), (x.id, 0, 1)}
+    assert {(r.key, r.href.node_id, r.kind) for r in got["items"].collect()} == {("m", m.id, "Symbol"), ("a", paths["a"], "Directory"), ("a/x.py", x.id, "File"), ("b.py", paths["b.py"], "File")}
+    builds = interchange.write_build(got, str(tmp_path), "repo", "main", "b1")
+    assert [(r.build_id, r.repo_root_node_id, r.ready) for r in builds.collect()] == [("b1", paths[""], True)]
+    assert spark.read.parquet(builds.first().nodemap).count() == 4
+
+
+def test_compile_commands(spark, tmp_path):
+    rows = [("/r", """cc -D"A B" -DX='c "d"' -DQ=\\"z\\" "-frandomize-layout-seed-file=/s" a.c""", "a.c", None), ("/r", None, "/r/sub/../b.c", ["cc", "-Werror", "/r/sub/../b.c"])]
+    cc = spark.createDataFrame(rows, "directory string, command string, file string, arguments array<string>").coalesce(1)
+    got = {r.path: (r.seq, r.args) for r in files.plan_units(cc, "/r", extra=("-w",)).collect()}
+    assert got == {"a.c": (1, ["cc", "-DA B", '-DX=c "d"', '-DQ="z"', "-w"]), "b.c": (2, ["cc", "-Werror", "-w"])}
+    for name, text in (("empty.json", "[]"), ("odd.json", '{"a": 1}'), ("bad.json", "[{")):
+        (tmp_path / name).write_text(text)
+        with pytest.raises(ValueError):
+            files.compile_commands(spark, str(tmp_path / name))
+    (tmp_path / "good.json").write_text('[{"directory": "/r", "command": "cc a.c", "file": "a.c"}]')
+    assert files.compile_commands(spark, str(tmp_path / "good.json")).count() == 1
+
+
+def test_tree_deep_and_cycles(spark):
+    chain = spark.createDataFrame([(i, i - 1 if i else None, "Namespace" if i < 3 else "Class") for i in range(70)], "id long, parent long, kind string").coalesce(1)
+    top = {r.id: r.top for r in tree.outermost(chain).collect()}
+    assert len(top) == 70 and top[69] == 3 and top[2] == 2
+    with pytest.raises(ValueError):
+        tree.outermost(spark.createDataFrame([(1, 2, "Class"), (2, 1, "Class")], "id long, parent long, kind string"))
+
+
+def test_lexed_is_lex_with_offsets(spark):
+    texts = spark.createDataFrame([(1, "a  b\n\té!x_1\n"), (2, None), (3, ""), (4, "日本 x" * 50), (5, "\n")], "doc_id long, text string").repartition(3)
+    want = tokens.with_offsets(tokens.lex(texts, "doc_id"))
+    assert sorted(map(tuple, tokens.lexed(texts, "doc_id").collect())) == sorted(map(tuple, want.select("node_id", "pos", "tok", "offset", "line").collect()))
+
+
+def test_search_rows_take_node_and_direct_links(spark):
+    rows = [("a", {"kind": k, "node_id": 1}) for k in ("id", "direct", "slice", "sym")]
+    items = spark.createDataFrame(rows, "key string, href struct<kind:string,node_id:long>")
+    assert {r.href.kind for r in search.index_table(items).collect()} == {"id", "direct"}
+
+
+def test_edit_script_is_shortest():
+    import random
+
+    rng = random.Random(2)
+    for _ in range(500):
+        a, b = ([rng.choice("abc") for _ in range(rng.randint(0, 8))] for _ in range(2))
+        longest = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                longest[i][j] = longest[i + 1][j + 1] + 1 if a[i] == b[j] else max(longest[i + 1][j], longest[i][j + 1])
+        s = align.edit_script(a, b)
+        i = j = 0
+        for op in s:
+            if op == "=":
+                assert a[i] == b[j]
+            i, j = i + (op != "+"), j + (op != "-")
+        assert (i, j) == (len(a), len(b)) and s.count("=") == longest[0][0]
+    assert align.change_cost([], []) == 0 and align.change_cost(["x"], ["x"]) == 1 and align.change_cost(["x", "y"], ["x", "z"]) == 2
+
+
+def test_python_tokens_after_form_feeds(spark):
+    text = "a = 1\n\x0c\ndef f():\n    return a\n"
+    d = spark.createDataFrame([("p", text), ("q", "x = (1\n  'open")], "path string, text string")
+    got = {}
+    for r in sorted(files.python_tokens(d).collect(), key=lambda r: r.pos):
+        got.setdefault(r.path, []).append((r.type, r.tok))
+    assert "".join(t for _, t in got["p"]) == text and ("Keyword", "def") in got["p"] and ("Keyword", "return") in got["p"]
+    assert "".join(t for _, t in got["q"]) == "x = (1\n  'open"
