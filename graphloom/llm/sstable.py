@@ -48,9 +48,9 @@ FILTER_HASHES = 7
 #: Documents in a shard, about; shards are ranges of identifiers.
 SHARD_ROWS = 20_000
 #: Distinct units that a worker remembers, and their bytes.
-CACHE_UNITS = 500_000
-CACHE_BYTES = 32 << 20
-ENCODE_BYTES = 3 << 20
+CACHE_UNITS = 1_000_000
+CACHE_BYTES = 64 << 20
+ENCODE_BYTES = 4 << 20
 
 
 def key_of(doc_id: int | None) -> bytes:
