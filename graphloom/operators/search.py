@@ -49,6 +49,17 @@ def dictionary(df: DataFrame, column: str) -> DataFrame:
     return dense_ids(values, ["value"], "id")
 
 
+def decode_ids(df: DataFrame, dictionary_: DataFrame, id_: str, name: str) -> DataFrame:
+    """``df`` with the value ``name`` of the dictionary at ``id_``, null where there is none."""
+    values = dictionary_.select(F.col("id").alias(id_), F.col("value").alias(name))
+    return df.join(values, id_, "left")
+
+
+def prefixed(index: DataFrame, prefix: str, key: str = "key") -> DataFrame:
+    """Keys with a prefix: on a table sorted by key the filter skips row groups, as a walk down a trie would."""
+    return index.where(F.col(key).startswith(prefix))
+
+
 def dense_ids(df: DataFrame, by: list[str], name: str, start: int = 0) -> DataFrame:
     """Gapless ids in the order of ``by`` without a single-partition window."""
     from pyspark.sql import Window as W

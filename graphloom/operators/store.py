@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from graphloom.operators.search import dense_ids
 
@@ -69,13 +71,16 @@ def write_statistics(status: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, mode: str = "file", codec: str = "gzip", by: list[str] | None = None, sort: list[str] | None = None) -> None:
-    """Sinks: ``file`` (Parquet on any Hadoop file system), ``json`` (lines), ``none``.
+    """Sinks: ``file`` (Parquet on any Hadoop file system), ``json`` (lines), ``memory`` (a cached view of that name), ``none``.
 
     ``sort`` orders rows inside files, so that readers skip row groups by key.
     """
     if mode == "none":
         df.write.format("noop").mode("overwrite").save()
         return
+    if mode == "memory":
+        df.cache().createOrReplaceTempView(path)
+        return
     if sort:
         df = df.repartitionByRange(*[F.col(c) for c in sort]).sortWithinPartitions(*sort)
     w = df.write.mode("append").option("compression", codec)
@@ -83,6 +88,34 @@ def write_table(df: DataFrame, path: str, mode: str = "file", codec: str = "gzip
     w.json(path) if mode == "json" else w.parquet(path)
 
 
+def read_table(spark: SparkSession, path: str, mode: str = "file", schema: StructType | None = None) -> DataFrame:
+    """What ``write_table`` wrote; JSON lines want their schema, or are scanned once more to find it."""
+    if mode == "memory":
+        return spark.table(path)
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.json(path) if mode == "json" else reader.parquet(path)
+
+
+def with_path_ids(rows: DataFrame, paths: DataFrame, path: str = "path") -> DataFrame:
+    """Rows with the ``path_id`` of their path, null where it is unknown or null."""
+    named = rows.where(F.col(path).isNotNull()).join(paths.select(F.col("path").alias(path), "path_id"), path, "left")
+    return named.unionByName(rows.where(F.col(path).isNull()).withColumn("path_id", F.lit(None).cast(dict(paths.dtypes)["path_id"])))
+
+
+def split_processed(paths: DataFrame, processed: DataFrame) -> DataFrame:
+    """Each path once, with ``already_processed``."""
+    done = processed.select("path").distinct().withColumn("_done", F.lit(True))
+    return paths.select("path").distinct().join(done, "path", "left").select("path", F.coalesce("_done", F.lit(False)).alias("already_processed"))
+
+
+def file_runs(nodes: DataFrame, unit: str, order: str, key: str = "path_id") -> DataFrame:
+    """Nodes with ``run``: the number, within their unit, of the run of consecutive nodes of one file that they are in."""
+    w = W.partitionBy(unit).orderBy(order)
+    changed = F.coalesce((~F.col(key).eqNullSafe(F.lag(key).over(w))).cast("long"), F.lit(0))
+    first = F.row_number().over(w) == 1
+    return nodes.withColumn("_new", F.when(first, 0).otherwise(changed)).withColumn("run", F.sum("_new").over(w)).drop("_new")
+
+
 def builds_latest(builds: DataFrame) -> DataFrame:
     """The newest ready build of each repository and branch."""
     done = builds.where("ready")

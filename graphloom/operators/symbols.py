@@ -133,3 +133,8 @@ def callers(node_refs: DataFrame, start: DataFrame, depth: int) -> DataFrame:
             break
         seen = seen.unionByName(front)
     return seen
+
+
+def cursor_identity(*parts: Column) -> Column:
+    """A hash that stands for a cursor, for grouping; rows are told apart by the parts themselves."""
+    return F.xxhash64(*parts)

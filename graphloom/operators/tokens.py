@@ -6,7 +6,7 @@ Windows are partitioned by node, so a shuffle by node is all that they need.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +74,16 @@ def lexed(texts: DataFrame, node: str, text: str = "text") -> DataFrame:
     return texts.select(F.col(node), F.col(text)).mapInArrow(cut, f"node_id {kind}, pos int, tok string, offset long, line long")
 
 
+def map_tokens(nodes: DataFrame, to: Callable[[Column], Column]) -> DataFrame:
+    """Nodes with each token, a struct, replaced by what ``to`` makes of it."""
+    return nodes.withColumn("tokens", F.transform("tokens", to))
+
+
+def in_range(tokens: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Tokens (``off``, ``end``) from the one at or after ``start`` to the one that ends at or before ``end``."""
+    return tokens.where((F.col("off") >= start) & (F.col("end") <= end))
+
+
 def token_type(tok: Column) -> Column:
     return F.when(tok.rlike(r"^\s"), "WS").when(tok.rlike(r"^[0-9]"), "Literal").when(tok.rlike(r"^[A-Za-z_]"), "Identifier").otherwise("Punctuation")
 
