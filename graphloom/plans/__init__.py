@@ -1 +1,3 @@
+"""Whole runs and the catalog of registered queries; importing the package registers them all."""
 
+from graphloom.plans import catalog, node_queries  # noqa: F401
