@@ -70,10 +70,11 @@ def write_statistics(status: DataFrame, sizes: DataFrame) -> DataFrame:
     return status.join(sizes, "id", "left").groupBy("status").agg(F.count(F.lit(1)).alias("nodes"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
 
 
-def write_table(df: DataFrame, path: str, mode: str = "file", codec: str = "gzip", by: list[str] | None = None, sort: list[str] | None = None) -> None:
+def write_table(df: DataFrame, path: str, mode: str = "file", codec: str = "gzip", by: list[str] | None = None, sort: list[str] | None = None, replace: bool = False) -> None:
     """Sinks: ``file`` (Parquet on any Hadoop file system), ``json`` (lines), ``memory`` (a cached view of that name), ``none``.
 
     ``sort`` orders rows inside files, so that readers skip row groups by key.
+    With ``replace`` what the path holds goes first, so that a job can be run again.
     """
     if mode == "none":
         df.write.format("noop").mode("overwrite").save()
@@ -83,7 +84,7 @@ def write_table(df: DataFrame, path: str, mode: str = "file", codec: str = "gzip
         return
     if sort:
         df = df.repartitionByRange(*[F.col(c) for c in sort]).sortWithinPartitions(*sort)
-    w = df.write.mode("append").option("compression", codec)
+    w = df.write.mode("overwrite" if replace else "append").option("compression", codec)
     w = w.partitionBy(*by) if by else w
     w.json(path) if mode == "json" else w.parquet(path)
 

@@ -1,7 +1,7 @@
 """Indexing of interchange files in one run: ids, containers, links, uses, references, search items, and the stored build.
 
 ``index`` takes the decoded nodes and items of a repository and returns its
-tables; ``write_build`` stores them with a manifest row. Everything is joins
+tables; ``builds.write`` stores them with a manifest row. Everything is joins
 and aggregations keyed by path, node or place.
 """
 
@@ -17,24 +17,33 @@ from graphloom.runtime import Tables
 PATH_KINDS = ("Directory", "File", "SourceFile")
 
 
-def _identified(nodes: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes with ``id``; path nodes ``path, path_id, node_id``; spans of the other nodes."""
+def _numbered(before: DataFrame | None, wanted: DataFrame, key: list[str], id_: str) -> DataFrame:
+    """Every key ever seen with its id: known keys keep theirs, new ones follow in the order of the key."""
+    return search.dense_ids(wanted.select(*key).distinct(), key, id_, 1) if before is None else store.get_or_create(before, wanted, key, id_)
+
+
+def _identified(nodes: DataFrame, tables: Tables, before: dict[str, DataFrame] | None) -> tuple[DataFrame, DataFrame, DataFrame, dict[str, DataFrame]]:
+    """Nodes with ``id``; path nodes ``path, path_id, node_id``; spans of the other nodes; keys and ids of this and earlier builds."""
+    known = before or {}
     whole = nodes.where(F.col("kind").isin(*PATH_KINDS)).select("path", "kind").groupBy("path").agg(F.min("kind").alias("kind"))
     held = nodes.where("path <> ''").select("path").distinct()
     above = held.select(F.explode(ancestors(F.col("path"))).alias("path")).distinct().withColumn("kind", F.lit("Directory"))
     files = held.join(above.select("path"), "path", "left_anti").withColumn("kind", F.lit("SourceFile"))
     named = above.unionByName(files).unionByName(whole).groupBy("path").agg(F.max(F.struct(F.col("kind") != "Directory", "kind")).alias("k")).select("path", "k.kind")
-    path_ids = tables.put("paths", search.dense_ids(named, ["path"], "path_id", 1))
+    named = tables.put("named", named)
+    every_path = tables.put("path_ids", _numbered(known.get("path_ids"), named, ["path"], "path_id"))
+    path_ids = every_path.join(named, "path")
     places = nodes.where(~F.col("kind").isin(*PATH_KINDS)).select("path", F.col("start.offset").alias("at")).distinct()
     wanted = path_ids.select("path", F.lit(-1).cast("long").alias("at")).unionByName(places)
-    ids = tables.put("ids", search.dense_ids(wanted, ["path", "at"], "new_id", 1))
+    ids = tables.put("ids", _numbered(known.get("ids"), wanted, ["path", "at"], "id")).withColumnRenamed("id", "new_id")
     at = F.when(F.col("kind").isin(*PATH_KINDS), F.lit(-1)).otherwise(F.col("start.offset")).cast("long")
     own = nodes.drop("id", "path_id").withColumn("at", at).join(ids.withColumnRenamed("new_id", "id"), ["path", "at"]).join(path_ids.select("path", "path_id"), "path")
     path_nodes = path_ids.join(ids.where("at = -1").select("path", F.col("new_id").alias("node_id")), "path").select("path", "path_id", "node_id", "kind")
     held_spans = own.where("at >= 0").groupBy("path_id", F.col("at").alias("start")).agg(
         F.max("id").alias("node_id"), F.max(F.col("at") + F.octet_length("text")).alias("end"), F.max(F.coalesce("uim_nest_level", F.lit(1))).alias("nest_level")
     )
-    return tables.put("identified", own), tables.put("path_nodes", path_nodes), tables.put("spans", held_spans.withColumn("fresh", F.lit(True)))
+    state = {"ids": ids.withColumnRenamed("new_id", "id"), "path_ids": every_path}
+    return tables.put("identified", own), tables.put("path_nodes", path_nodes), tables.put("spans", held_spans.withColumn("fresh", F.lit(True))), state
 
 
 def _containers(nodes: DataFrame, path_nodes: DataFrame, held: DataFrame) -> DataFrame:
@@ -51,8 +60,12 @@ def _containers(nodes: DataFrame, path_nodes: DataFrame, held: DataFrame) -> Dat
     return up.select("id", F.when(is_nested, F.col("outer_id")).otherwise(F.coalesce("container", "path_node")).alias("container"))
 
 
-def index(nodes: DataFrame, items: DataFrame, prefix: str) -> dict[str, DataFrame]:
-    """``nodes, paths, spans, uses, references, items`` of a repository below ``prefix``.
+def index(nodes: DataFrame, items: DataFrame, prefix: str, before: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """``nodes, paths, spans, uses, references, items, ids, path_ids`` of a repository below ``prefix``.
+
+    ``before`` holds the ``ids`` and ``path_ids`` of the last build: paths and
+    nodes it knows, by path and offset, keep their ids, also after builds
+    without them; new ones follow its largest.
 
     Links to places (``uni``) become links to the innermost node there, or to
     the file's node; a link to an unknown path is dropped. A use is recorded for
@@ -61,7 +74,7 @@ def index(nodes: DataFrame, items: DataFrame, prefix: str) -> dict[str, DataFram
     """
     tables = Tables(nodes.sparkSession, "interchange")
     placed = nodes.withColumn("path", relative_to(F.col("path"), prefix))
-    own, path_nodes, held = _identified(placed, tables)
+    own, path_nodes, held, state = _identified(placed, tables, before)
     each = own.select("id", "at", "path", F.coalesce("uim_reference_context", F.lit("")).alias("context"), F.posexplode("tokens").alias("pos", "t"))
     links = each.where("t.href.kind = 'uni'").select(relative_to(F.col("t.href.path"), prefix).alias("to"), F.col("t.href.offset").alias("off"), F.col("id").alias("_id"), "pos")
     asked = links.select(F.col("to").alias("path"), "off").distinct()
@@ -85,7 +98,7 @@ def index(nodes: DataFrame, items: DataFrame, prefix: str) -> dict[str, DataFram
     plain = own.drop("tokens", "container", "at", "uim_reference_context", "uim_nest_level")
     out = plain.join(_containers(own, path_nodes, held), "id").join(arrays, "id", "left")
     refs = uses.groupBy("node_id", "offset").agg(F.array_sort(F.collect_set(F.struct("href", "context", "linked_via_sym", "use_path", "use_off"))).alias("refs"))
-    return {"nodes": tables.put("nodes", out), "paths": path_nodes, "spans": held, "uses": uses, "references": refs, "items": _items(items, path_nodes, held, prefix)}
+    return {"nodes": tables.put("nodes", out), "paths": path_nodes, "spans": held, "uses": uses, "references": refs, "items": _items(items, path_nodes, held, prefix)} | state
 
 
 def _items(items: DataFrame, path_nodes: DataFrame, held: DataFrame, prefix: str) -> DataFrame:
@@ -100,18 +113,3 @@ def _items(items: DataFrame, path_nodes: DataFrame, held: DataFrame, prefix: str
     item = F.when(F.col("kind") == "Directory", "Directory").otherwise("File")
     files = path_nodes.where("path <> ''").select(F.col("path").alias("key"), fields.alias("href"), item.alias("kind"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("type"))
     return given.select(files.columns).unionByName(files).distinct()
-
-
-def write_build(tables: dict[str, DataFrame], folder: str, repo: str, branch: str, build: str) -> DataFrame:
-    """Store a build's maps under ``folder``, sorted by key, and append its row to the catalog of builds, which returns.
-
-    The catalog row comes last, so a build that broke off is never listed.
-    """
-    at = f"{folder}/{repo}/{build}"
-    for name, key in (("nodes", ["id"]), ("paths", ["path"]), ("spans", ["path_id", "start"]), ("references", ["node_id", "offset"]), ("items", ["key"])):
-        store.write_table(tables[name], f"{at}/{name}", sort=key)
-    spark = tables["nodes"].sparkSession
-    root = tables["paths"].where("path = ''").agg(F.max("node_id").alias("repo_root_node_id"))
-    row = root.select(F.lit(build).alias("build_id"), F.lit(repo).alias("repo_id"), F.lit(branch).alias("branch"), F.lit(f"{at}/nodes").alias("nodemap"), F.lit(f"{at}/references").alias("refmap"), "repo_root_node_id", F.current_timestamp().alias("ended"), F.lit(True).alias("ready"))
-    row.coalesce(1).write.mode("append").parquet(f"{folder}/builds")
-    return spark.read.parquet(f"{folder}/builds")

@@ -1,6 +1,6 @@
 """Stored builds as a catalog: index a repository, list repositories, branches and builds, resolve URLs, search symbols.
 
-Every answer is a DataFrame over the tables that ``interchange.write_build``
+Every answer is a DataFrame over the tables that ``builds.write``
 sorted by key, so a lookup skips row groups; nothing is kept in the driver.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.paths import decode_branch, encode_branch
 from graphloom.functions.urls import parse
 from graphloom.operators import nodejson, search
-from graphloom.plans import interchange
+from graphloom.plans import builds, interchange
 
 #: Name of a language -> ``(spark, root) -> (nodes, items)``: what ``Service.index`` can read.
 Language = Callable[[SparkSession, str], tuple[DataFrame, DataFrame]]
@@ -67,13 +67,19 @@ class Service:
         return self.spark.read.parquet(f"{self.folder}/{repo}/{build}/{name}")
 
     def index(self, repo: str, branch: str, build: str, root: str, lang: str = "interchange", prefix: str = "/") -> DataFrame:
-        """Index the repository at ``root`` and store the build; the catalog of builds."""
+        """Index the repository at ``root`` and store the build; the catalog of builds.
+
+        The newest build of the branch, or else of the repository, is continued:
+        ids stay, and unchanged nodes and reference sets are not written again.
+        """
         self._checked(repo, build)
         nodes, items = LANGUAGES[lang](self.spark, root)
-        return interchange.write_build(interchange.index(nodes, items, prefix), self.folder, repo, branch, build)
+        before = builds.latest(self.spark, self.folder, repo, branch) or builds.latest(self.spark, self.folder, repo)
+        found = interchange.index(nodes, items, prefix, builds.ids(self.spark, self.folder, repo, before))
+        return builds.write(found, self.folder, repo, branch, build, before)
 
     def all_builds(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/builds")
+        return builds.catalog(self.spark, self.folder)
 
     def repos(self) -> DataFrame:
         """``id, public, owner, shared_with_users, name``: a local store has no owners."""
@@ -87,7 +93,7 @@ class Service:
 
     def builds(self, repo: str, branch: str) -> DataFrame:
         """Builds of a branch (as ``branches`` gives it, or plain), newest first."""
-        return self.all_builds().where((F.col("repo_id") == repo) & (F.col("branch") == decode_branch(F.lit(branch)))).orderBy(F.desc("ended"), F.desc("build_id"))
+        return self.all_builds().where((F.col("repo_id") == repo) & ((F.col("branch") == branch) | (F.col("branch") == decode_branch(F.lit(branch))))).orderBy(F.desc("ended"), F.desc("build_id"))
 
     def build(self, repo: str, branch: str, build: str) -> DataFrame:
         """One build with the places of its tables."""
@@ -97,21 +103,23 @@ class Service:
     def resolve(self, repo: str, build: str, urls: DataFrame) -> DataFrame:
         """``url, status, node_id, content``: nodes and reference sets as JSON.
 
-        Nodes go by id or path (the empty one is the root), reference sets by
-        node and place. Status is ok, not found, bad url, or unsupported for
-        symbols and slices, which a stored build of this kind does not have.
+        Nodes go by id, symbol or path (the empty one is the root), reference
+        sets by node and place. Status is ok, not found, bad url, or unsupported
+        for slices of blobs, which this store does not have.
         """
         asked = urls.select("url").distinct().withColumn("h", parse(F.col("url")))
         kind = F.col("h.kind")
         by_path = asked.where(kind.isin("path", "token")).select("url", F.col("h.path").alias("path")).join(self._table(repo, build, "paths").select("path", "node_id"), "path", "left").drop("path")
         wanted = asked.where(kind.isin("id", "direct")).select("url", F.col("h.node_id").alias("node_id")).unionByName(by_path)
-        nodes = self._table(repo, build, "nodes").withColumnRenamed("id", "node_id")
+        by_symbol = asked.where(kind == "sym").select("url", F.col("h.sym_id").alias("sym_id")).join(self._table(repo, build, "symmap").select("sym_id", "node_id"), "sym_id", "left").drop("sym_id")
+        wanted = wanted.unionByName(by_symbol)
+        nodes = builds.nodes(self.spark, self.folder, repo, build).drop("written", "sha256").withColumnRenamed("id", "node_id")
         held = wanted.where("node_id is not null").join(nodes, "node_id").withColumn("id", F.col("node_id"))
         found = nodejson.encode(held, ("url", "node_id")).withColumnRenamed("json", "content")
-        refs = self._table(repo, build, "references")
+        refs = builds.references(self.spark, self.folder, repo, build).drop("written", "sha256")
         sets = asked.where(kind == "refs").select("url", F.col("h.node_id").alias("node_id"), F.col("h.offset").alias("offset")).join(refs, ["node_id", "offset"])
         found = found.unionByName(sets.select("url", "node_id", F.to_json(F.struct("node_id", "offset", "refs")).alias("content")))
-        status = F.when(kind == "bad", "bad url").when(kind.isin("sym", "slice"), "unsupported").when(F.col("content").isNull(), "not found").otherwise("ok")
+        status = F.when(kind == "bad", "bad url").when(kind == "slice", "unsupported").when(F.col("content").isNull(), "not found").otherwise("ok")
         return asked.join(found, "url", "left").select("url", status.alias("status"), "node_id", "content")
 
     def search(self, repo: str, build: str, query: str, limit: int = 10) -> DataFrame:

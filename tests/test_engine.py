@@ -244,7 +244,7 @@ def test_streaming_intake(spark, sf, tmp_path):
 
 def test_interchange_index(spark, tmp_path):
     from graphloom import schema
-    from graphloom.plans import interchange
+    from graphloom.plans import builds, interchange
 
     def href(kind, **own):
         return {"kind": kind, "node_id": None, "sym_id": None, "path": None, "offset": None, "blob_id": None, "end": None} | own
@@ -276,9 +276,9 @@ def test_interchange_index(spark, tmp_path):
     assert [t.has_references for t in m.tokens] == [True] and not any(t.has_references for t in f.tokens)
     assert {(r.node_id, r.offset, len(r.refs)) for r in got["references"].collect()} == {(m.id, 23, 1), (x.id, 0, 1)}
     assert {(r.key, r.href.node_id, r.kind) for r in got["items"].collect()} == {("m", m.id, "Symbol"), ("a", paths["a"], "Directory"), ("a/x.py", x.id, "File"), ("b.py", paths["b.py"], "File")}
-    builds = interchange.write_build(got, str(tmp_path), "repo", "main", "b1")
-    assert [(r.build_id, r.repo_root_node_id, r.ready) for r in builds.collect()] == [("b1", paths[""], True)]
-    assert spark.read.parquet(builds.first().nodemap).count() == 4
+    listed = builds.write(got, str(tmp_path), "repo", "main", "b1")
+    assert [(r.build_id, r.repo_root_node_id, r.ready) for r in listed.collect()] == [("b1", paths[""], True)]
+    assert spark.read.parquet(listed.first().nodemap).count() == 4
 
 
 def test_compile_commands(spark, tmp_path):

@@ -122,7 +122,7 @@ def test_service(spark, tmp_path):
     assert [r.build_id for r in api.builds("repo", "feature~x").collect()] == ["b2", "b1"] and api.build("repo", "feature~x", "b1").first().status == "Ready"
     urls = ["path:a.py", "path:", "path:b.py#token-3", "id:999", "sym:1", "what"]
     got = {r.url: r for r in api.resolve("repo", "b1", spark.createDataFrame([(u,) for u in urls], "url string")).collect()}
-    assert {u: got[u].status for u in urls} == {"path:a.py": "not found", "path:": "not found", "path:b.py#token-3": "ok", "id:999": "not found", "sym:1": "unsupported", "what": "bad url"}
+    assert {u: got[u].status for u in urls} == {"path:a.py": "not found", "path:": "not found", "path:b.py#token-3": "ok", "id:999": "not found", "sym:1": "not found", "what": "bad url"}
     target = json.loads(got["path:b.py#token-3"].content)
     assert target["text"] == [] and target["path"] == "b.py"
     found = api.search("repo", "b1", "fu").first()
