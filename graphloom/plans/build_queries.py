@@ -9,6 +9,7 @@ from graphloom import schema
 from graphloom.plans import builds, interchange
 from graphloom.plans.catalog import register
 from graphloom.runtime import scratch, table
+from graphloom.sources import formats
 
 
 def _null(name: str, struct) -> F.Column:
@@ -70,3 +71,28 @@ def incremental_build(spark: SparkSession, sf: str) -> DataFrame:
     old, new = (builds.ids(spark, folder, "r", b)["ids"] for b in ("b1", "b2"))
     status = builds.changes(spark, folder, "r", "b1", "b2").withColumnRenamed("node_id", "id")
     return new.join(old.withColumnRenamed("id", "id_before"), ["path", "at"], "left").join(status, "id", "left").select("path", F.col("at").cast("int").alias("place"), "id", "id_before", "status", "written")
+
+
+@register("json_documents", "SELECT doc_id, lang, source, sha256(text) AS sha256, n_chars FROM documents")
+def json_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents written as JSON without delimiters, and read back."""
+    formats.register(spark)
+    d, path = table(spark, sf, "documents"), scratch(spark, "documents")
+    d.write.format("jsondocs").mode("append").save(path)
+    back = spark.read.format("jsondocs").load(path).select(F.from_json("value", d.schema).alias("d")).select("d.*")
+    return back.select("doc_id", "lang", "source", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), "n_chars")
+
+
+@register("uim_source", "SELECT doc_id AS id, 'SourceFile' AS kind, source AS path, sha256(text) AS sha256, 2 AS n_tokens, n_chars // 2 AS last_offset FROM documents WHERE source <> (SELECT min(source) FROM documents)")
+def uim_source(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents written as interchange nodes and read back in many tasks, without one source."""
+    formats.register(spark)
+    path = scratch(spark, "nodes")
+    d = table(spark, sf, "documents")
+    token = lambda at: F.struct(at.cast("long").alias("offset"), F.lit("Identifier").alias("type"))
+    nodes = d.select(F.col("doc_id").alias("id"), F.lit("SourceFile").alias("kind"), F.col("source").alias("path"), F.lit(None).cast("long").alias("container"), "text", F.array(token(F.lit(0)), token(F.expr("n_chars div 2"))).alias("tokens"))
+    nodes.write.format("uim").mode("append").save(path)
+    least = d.agg(F.min("source")).first()[0]
+    back = spark.read.format("uim").option("partitionBytes", str(4 << 20)).schema("id long, kind string, path string, text string, tokens array<struct<offset:long>>").load(path)
+    back = back.where(F.col("path") != least)
+    return back.select("id", "kind", "path", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.size("tokens").alias("n_tokens"), F.col("tokens")[1]["offset"].alias("last_offset"))

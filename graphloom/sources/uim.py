@@ -1,7 +1,7 @@
 """Reader of length-delimited protobuf files in the language-neutral interchange format.
 
-``register(spark)`` makes ``spark.read.format("uim").option("kind", "nodes" | "items")``
-available; ``decode`` works on any DataFrame with a ``content`` column.
+``decode`` works on any DataFrame with a ``content`` column, one task a file;
+``sources.formats`` has the data source ``uim``, which cuts files at records.
 """
 
 from __future__ import annotations
@@ -95,7 +95,7 @@ def token(data: bytes) -> dict:
     return t
 
 
-def node(data: bytes) -> dict:
+def node(data: bytes, with_tokens: bool = True) -> dict:
     d = {"id": 0, "kind": NODE_KINDS[0], "path": "", "container": None, "start": None, "text": "", "tokens": [], "member_of": None, "path_id": 0, "uim_reference_context": None, "uim_nest_level": None}
     names = {1: "id", 4: "container", 9: "path_id", 11: "uim_nest_level"}
     texts = {3: "path", 6: "text", 8: "member_of", 10: "uim_reference_context"}
@@ -108,7 +108,7 @@ def node(data: bytes) -> dict:
             d["kind"] = NODE_KINDS[v]
         elif n == 5:
             d["start"] = _location(v)
-        elif n == 7:
+        elif n == 7 and with_tokens:
             d["tokens"].append(token(v))
     return d
 
@@ -132,6 +132,32 @@ def item(data: bytes) -> dict:
     return d
 
 
+#: Plain fields by number that a filter may look at before a record is decoded.
+EARLY = {"nodes": {"id": 1, "kind": 2, "path": 3}, "items": {"key": 1, "kind": 3}}
+_NAMES = {"nodes": NODE_KINDS, "items": ITEM_KINDS}
+
+
+def full_schema(kind: str) -> StructType:
+    return StructType([*KINDS[kind][1].fields]).add("record_offset", LongType()).add("record_size", LongType())
+
+
+def record(data: bytes, kind: str, names: set[str], wanted: dict[str, set], at: int, size: int) -> list[dict]:
+    """The record with the fields of ``names``, or nothing if a plain field has none of its ``wanted`` values.
+
+    Tokens are decoded only where they are asked for.
+    """
+    if wanted:
+        plain = {n: v for n, v in fields(data) if n in EARLY[kind].values()}
+        for name, values in wanted.items():
+            raw = plain.get(EARLY[kind][name], b"" if name in ("path", "key") else 0)
+            value = _NAMES[kind][raw] if name == "kind" else raw.decode() if isinstance(raw, bytes) else raw
+            if value not in values:
+                return []
+    made = node(data, "tokens" in names) if kind == "nodes" else item(data)
+    made |= {"record_offset": at, "record_size": size}
+    return [{n: made[n] for n in made if n in names}]
+
+
 KINDS = {"nodes": (node, NODE), "items": (item, INDEX_ITEM)}
 
 
@@ -139,8 +165,8 @@ def decode(files: DataFrame, kind: str) -> DataFrame:
     """Records of ``files`` (``content``) with ``record_offset`` and ``record_size``."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    read, schema = KINDS[kind]
-    full = StructType([*schema.fields]).add("record_offset", LongType()).add("record_size", LongType())
+    read, _ = KINDS[kind]
+    full = full_schema(kind)
     arrow = to_arrow_schema(full)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
