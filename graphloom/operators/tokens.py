@@ -107,21 +107,31 @@ def deviations(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("real_offset", F.when(expected.isNull() | (expected != F.col("true_offset")), F.col("true_offset"))).withColumn("real_line", F.when(line.isNull() | (line != F.col("true_line")), F.col("true_line")))
 
 
+#: Bytes of text whose tokens are cut together.
+RUN_BYTES = 1 << 14
+
+
 def reconstruct(tokens: DataFrame, nodes: DataFrame) -> DataFrame:
     """Token texts from offsets: each ends where the next begins, the last at the node's end.
 
-    A node's tokens are gathered before they meet its text, so a text is joined
-    once and not once for each token.
+    Tokens that begin within ``RUN_BYTES`` of a text are one run, so however long
+    a node is, no row holds more than a run of it. A run meets the text once and
+    takes its own stretch, up to where the next run begins.
     """
     rest = [c for c in tokens.columns if c not in ("node_id", "pos", "offset")]
-    per_node = tokens.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("pos", "offset", *rest))).alias("_t"))
-    joined = per_node.join(nodes.select("node_id", F.col("text").cast("binary").alias("_raw")), "node_id")
+    run = F.floor(F.col("offset") / RUN_BYTES).alias("_run")
+    runs = tokens.groupBy("node_id", run).agg(F.array_sort(F.collect_list(F.struct("pos", "offset", *rest))).alias("_t"), F.min("offset").alias("_first"))
+    runs = runs.withColumn("_next", F.lead("_first").over(W.partitionBy("node_id").orderBy("_run")))
+    joined = runs.join(nodes.select("node_id", F.col("text").cast("binary").alias("_raw")), "node_id")
+    until = F.coalesce("_next", F.octet_length("_raw").cast("long"))
+    held = joined.select("node_id", "_t", "_first", F.substring("_raw", (F.col("_first") + 1).cast("int"), (until - F.col("_first")).cast("int")).alias("_raw"))
 
     def cut(t: Column, i: Column) -> Column:
-        end = F.coalesce(F.get("_t", i + 1)["offset"], F.octet_length("_raw").cast("long"))
-        return t.withField("tok", F.substring("_raw", (t["offset"] + 1).cast("int"), (end - t["offset"]).cast("int")).cast("string"))
+        start = t["offset"] - F.col("_first")
+        end = F.coalesce(F.get("_t", i + 1)["offset"] - F.col("_first"), F.octet_length("_raw").cast("long"))
+        return t.withField("tok", F.substring("_raw", (start + 1).cast("int"), (end - start).cast("int")).cast("string"))
 
-    return joined.select("node_id", F.explode(F.transform("_t", cut)).alias("_t")).select("node_id", "_t.*")
+    return held.select("node_id", F.explode(F.transform("_t", cut)).alias("_t")).select("node_id", "_t.*")
 
 
 def truncate(tokens: DataFrame, most: int) -> DataFrame:

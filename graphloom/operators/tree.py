@@ -55,36 +55,50 @@ def containers(definitions: DataFrame, nested_in: DataFrame, file_nodes: DataFra
 def depths(edges: DataFrame) -> DataFrame:
     """``id, depth, root`` of a forest given as ``id, parent``; roots have a null parent.
 
-    Level by level until one is empty, each a table in the shared folder. An id
-    that stands under several parents is taken at each level once; what no root
-    leads to, such as a cycle, has no row.
+    Pairs of a node and its ancestor 2^k levels up double their reach each
+    round, so a chain of n takes log n rounds. An id that stands under several
+    parents has the least depth below each root; what no root leads to, such as
+    a cycle, has no row.
     """
     tables = Tables(edges.sparkSession, "depths")
-    found = level = tables.put("level-0", edges.where("parent is null").select("id", F.lit(0).alias("depth"), F.col("id").alias("root")))
-    below = edges.where("parent is not null").select("id", "parent")
-    d = 0
+    found = tables.put("found-0", edges.where("parent is null").select("id", F.lit(0).alias("depth"), F.col("id").alias("root")).distinct())
+    jumps = tables.put("jumps", edges.where("parent is not null").select("id", F.col("parent").alias("up")).distinct())
+    reach = 1  # depths below this are found, and a jump goes up by as much
     while True:
-        d += 1
-        step = below.join(level.select(F.col("id").alias("parent"), "root"), "parent").select("id", F.lit(d).alias("depth"), "root")
-        level = tables.put(f"level-{d}", step.join(found.select("id", "root"), ["id", "root"], "left_anti"))
-        if level.isEmpty():
+        above = found.select(F.col("id").alias("up"), "depth", "root")
+        step = jumps.join(above, "up").groupBy("id", "root").agg((F.min("depth") + reach).alias("depth"))
+        new = tables.put(f"found-{reach}", step.join(found.select("id", "root"), ["id", "root"], "left_anti").select("id", "depth", "root"))
+        if new.isEmpty():
             return found
-        found = found.unionByName(level)
+        found = found.unionByName(new)
+        jumps = tables.put("jumps", jumps.join(jumps.select(F.col("id").alias("up"), F.col("up").alias("next")), "up").select("id", F.col("next").alias("up")).distinct())
+        reach *= 2
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """``src, dst`` for everything reachable, cycles allowed: semi-naive, only new pairs go on until there are none."""
-    tables = Tables(edges.sparkSession, "closure")
-    e = edges.select("src", "dst").distinct()
-    seen = new = tables.put("pairs-0", e)
-    d = 0
+def distances(edges: DataFrame) -> DataFrame:
+    """``src, dst, distance`` for everything reachable, the least number of edges; cycles allowed, so ``src`` may reach itself.
+
+    Rounds double the reach: a pair at a distance between n and 2n is a pair at
+    n, joined with one at up to n. So each is derived once for every node in
+    the middle of a shortest way, and a way of n edges takes log n rounds.
+    """
+    tables = Tables(edges.sparkSession, "distances")
+    found = tables.put("pairs-1", edges.select("src", "dst").where("src is not null and dst is not null").distinct().withColumn("distance", F.lit(1)))
+    reach = 1
     while True:
-        d += 1
-        step = new.alias("a").join(e.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst").distinct()
-        new = tables.put(f"pairs-{d}", step.join(seen, ["src", "dst"], "left_anti"))
+        first = found.where(F.col("distance") == reach).select("src", F.col("dst").alias("via"))
+        rest = found.select(F.col("src").alias("via"), "dst", "distance")
+        step = first.join(rest, "via").groupBy("src", "dst").agg((F.min("distance") + reach).alias("distance"))
+        new = tables.put(f"pairs-{2 * reach}", step.join(found.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst", "distance"))
         if new.isEmpty():
-            return seen
-        seen = seen.unionByName(new)
+            return found
+        found = found.unionByName(new)
+        reach *= 2
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """``src, dst`` for everything reachable, cycles allowed."""
+    return distances(edges).select("src", "dst")
 
 
 def outermost(cursors: DataFrame, ignored: tuple[str, ...] = ("NotImplemented", "Namespace", "LinkageSpec")) -> DataFrame:
