@@ -48,7 +48,7 @@ RULES = (
     Rule("github", r"gh[oprsu]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}"),
 )
 
 
@@ -211,7 +211,11 @@ _scanner: list[Scanner] = []
 def secrets(docs: DataFrame) -> DataFrame:
     """``doc_id, spans`` of every whole text; spans by start, then kind.
 
-    Null and empty texts have none. Repeated rows are searched each.
+    Null and empty texts have none, an empty table gives no row. Repeated rows
+    are searched each. Whole texts are searched, and no rule looks at a place
+    more than a bounded number of times, so very long ones cost their length.
+    Spans that begin together stand in the order of the rules. Columns other
+    than ``doc_id`` and ``text`` are not read, whatever their names.
     """
 
     def finder(texts: pa.Array) -> list[list[Span]]:
