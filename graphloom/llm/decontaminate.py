@@ -250,7 +250,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, k: int = MIN_MATCH, coverage: f
     everything stays. Otherwise as in ``contamination``.
     """
     prepare(docs.sparkSession)
-    at = docs.columns.index("text")
+    names, at = docs.columns, docs.columns.index("text")
+    # Python workers take plain names only; the given ones return at the end.
+    docs = docs.toDF(*[f"_c{i}" for i in range(len(names))])
     for items in item_blocks(benchmark, k, block_words):
 
         def keep(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
@@ -262,4 +264,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, k: int = MIN_MATCH, coverage: f
                 yield batch.filter(pa.array(ok))
 
         docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+    return docs.toDF(*names)

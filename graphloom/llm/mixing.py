@@ -307,15 +307,24 @@ def rates(docs: DataFrame, mix: Mix) -> DataFrame:
 
 
 def fitted_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], tokens: float | None = None, max_rate: float | None = None, max_train: int = MAX_TRAIN) -> DataFrame:
-    """``fit`` and ``rates`` with one scan of the texts between them: the posteriors are kept as a table."""
+    """``fit`` and ``rates`` with one scan of the texts between them: the posteriors are kept as a table.
+
+    Rows as in ``rates``. Weights need not sum to 1; equal ones are treated
+    alike. Other columns of ``docs`` are not read; an empty table gives no row.
+    """
     model = fit_classifier(docs, labelled, tuple(weights), max_train)
     scored = stash(posteriors(docs.select("doc_id", "text", _draw().alias("_draw")), model).drop("text"), "scored")
     return _rated(scored, fit_rates(scored, model, weights, tokens, max_rate))
 
 
 def mixed(docs: DataFrame, mix: Mix) -> DataFrame:
-    """The rows of ``docs``, each as often as its copies say; no shuffle."""
-    whole = docs.select("doc_id", "text", F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), _draw().alias("_draw"))
+    """The rows of ``docs``, each as often as its copies say; no shuffle.
+
+    Null and empty texts have a posterior like any other, whole texts are read,
+    equal rows get equal copies, and an empty table stays empty. Columns of any
+    name are returned as they are.
+    """
+    whole = docs.select("doc_id", "text", F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("_row"), _draw().alias("_draw"))
     # The row number keeps the filter above the scores: pushed down, it would repeat their expressions many times over.
     scored = posteriors(whole, mix.classifier).withColumn("_place", F.monotonically_increasing_id())
     rated = scored.withColumn("_rate", mix.rate([F.col(x) for x in _names(mix.classifier.domains)]))

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from graphloom.llm import blocks as B
 from graphloom.runtime import prepare, stash
@@ -194,7 +195,8 @@ def quality(docs: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float =
     ``js_word``, ``base_failed`` and ``kept``. Null and empty texts have no
     words and fail the base rule. A null language is compared with the
     whole corpus; a missing ``lang`` column counts as null. Repeated rows are
-    judged alike, each on its own. Columns of ``docs`` may have any names.
+    judged alike, each on its own. Whole texts are read, a very long one by
+    itself; an empty table gives no row. Columns of ``docs`` may have any names.
     """
     prepare(docs.sparkSession)
     source = docs if "lang" in docs.columns else docs.withColumn("lang", F.lit(None).cast("string"))
@@ -203,7 +205,8 @@ def quality(docs: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float =
     else:
         refs, rest = references(source)
     if keep_columns:
-        names, schema = list(docs.columns), docs.schema
+        # Python workers take plain names only; the given ones return at the end.
+        names, schema = list(docs.columns), StructType([StructField(f"_c{i}", f.dataType, f.nullable) for i, f in enumerate(docs.schema)])
     else:
         names = ["doc_id", "text"]
         fields = ", ".join(f"{k} long" for k in MEASURES)
@@ -228,12 +231,12 @@ def quality(docs: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float =
     lang = F.col("lang").cast("string")
     name = lambda c: "`" + c.replace("`", "``") + "`"
     own = "_lang"
-    while own in names:
-        own += "_"
-    given = source.select(*map(name, names), lang.alias(own))
+    plain = [f"_c{i}" for i in range(width)]
+    given = source.select(*[F.col(name(c)).alias(p) for c, p in zip(names, plain, strict=True)], lang.alias(own))
+    back = lambda df: df.toDF(*names) if keep_columns else df
     if rest is None:
-        return given.mapInArrow(judged, schema)
+        return back(given.mapInArrow(judged, schema))
     held = F.coalesce(F.col(own).isin([x for x in refs if x is not None]), F.lit(True))
     more = rest.withColumnsRenamed({"_lang": own, "_ref": f"{own}ref"})
-    rare = given.where(~held).join(more, own).select(*map(name, names), own, f"{own}ref")
-    return given.where(held).mapInArrow(judged, schema).unionByName(rare.mapInArrow(judged, schema))
+    rare = given.where(~held).join(more, own).select(*plain, own, f"{own}ref")
+    return back(given.where(held).mapInArrow(judged, schema).union(rare.mapInArrow(judged, schema)))
