@@ -135,13 +135,20 @@ def reconstruct(tokens: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def truncate(tokens: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` tokens of a node; a longer one ends in a ``<TRUNCATED>`` comment.
+    """The first ``most`` tokens of a node; where there are so many, a ``<TRUNCATED>`` comment follows, also if there are no more.
 
-    The cut is by position, so no node is counted: the token at ``most`` turns
-    into the mark and later ones go.
+    The cut is by position, so no node is counted: the last token kept brings
+    the mark. Places of the mark (``off``, ``end``, ``offset``) are where that token ends.
     """
-    mark = F.col("pos") == most
-    return tokens.where(F.col("pos") <= most).withColumn("tok", F.when(mark, "<TRUNCATED>").otherwise(F.col("tok"))).withColumn("type", F.when(mark, "Comment").otherwise(F.col("type")))
+    own = {"pos": F.lit(most), "tok": F.lit("<TRUNCATED>"), "type": F.lit("Comment")}
+    if "end" in tokens.columns:
+        own["off"] = F.col("end")
+    if "offset" in tokens.columns:
+        own["offset"] = F.col("offset") + F.octet_length("tok")
+    row = F.struct(*[F.col(c) for c in tokens.columns])
+    mark = F.struct(*[(own[c] if c in own else F.col(c)).cast(t).alias(c) for c, t in tokens.dtypes])
+    kept = tokens.where(F.col("pos") < most)
+    return kept.select(F.explode(F.when(F.col("pos") == most - 1, F.array(row, mark)).otherwise(F.array(row))).alias("_t")).select("_t.*")
 
 
 def fill_gaps(tokens: DataFrame, raw: Column) -> DataFrame:

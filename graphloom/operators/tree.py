@@ -49,7 +49,7 @@ def containers(definitions: DataFrame, nested_in: DataFrame, file_nodes: DataFra
     own = inside.select("id", F.coalesce("outer_id", "file_id").alias("container"))
     up = file_nodes.unionByName(dir_nodes.where("path <> ''")).withColumn("dir", parent(F.col("path")))
     above = up.join(dir_nodes.select(F.col("path").alias("dir"), F.col("id").alias("container")), "dir", "left").select("id", "container")
-    return own.unionByName(above).unionByName(dir_nodes.where("path = ''").select("id", F.lit(None).cast("long").alias("container")))
+    return own.unionByName(above).unionByName(dir_nodes.where("path = ''").select("id", F.lit(None).cast(dict(dir_nodes.dtypes)["id"]).alias("container")))
 
 
 def depths(edges: DataFrame) -> DataFrame:

@@ -95,8 +95,8 @@ def token_reconstruct(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(
     "token_truncate",
-    "WITH " + _tokens_sql() + f""" SELECT node_id, pos::BIGINT AS pos, CASE WHEN pos = 100 THEN '<TRUNCATED>' ELSE tok END AS tok,
-       CASE WHEN pos = 100 THEN 'Comment' ELSE {_TYPE_SQL} END AS type FROM t WHERE pos <= 100""",
+    "WITH " + _tokens_sql() + f""" SELECT node_id, pos::BIGINT AS pos, tok, {_TYPE_SQL} AS type FROM t WHERE pos < 100
+       UNION ALL SELECT node_id, 100, '<TRUNCATED>', 'Comment' FROM t WHERE pos = 99""",
 )
 def token_truncate(spark: SparkSession, sf: str) -> DataFrame:
     t = tokens.lex(table(spark, sf, "documents"), "doc_id").withColumn("type", tokens.token_type(F.col("tok")))

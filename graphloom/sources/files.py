@@ -53,13 +53,13 @@ def compile_commands(spark: SparkSession, path: str) -> DataFrame:
 
 
 #: A word of a command line: bare characters, escapes, and quoted stretches.
-_SHELL_WORD = r"""((?:[^\s"'\\]|\\.|"(?:[^"\\]|\\.)*"|'[^']*')+)"""
+_SHELL_WORD = r"""((?:[^\s"'\\]++|\\.|"[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^']*+')++)"""
 
 
 def shell_words(command: Column) -> Column:
     """The words of a command line, quotes and escapes resolved."""
     words = F.regexp_extract_all(command, F.lit(_SHELL_WORD), F.lit(1))
-    bare = lambda w: F.regexp_replace(w, r"""(?s)"((?:[^"\\]|\\.)*)"|'([^']*)'|\\(.)""", "$1$2$3")
+    bare = lambda w: F.regexp_replace(w, r"""(?s)"([^"\\]*+(?:\\.[^"\\]*+)*+)"|'([^']*+)'|\\(.)""", "$1$2$3")
     return F.transform(words, lambda w: F.when(w.contains('"'), F.regexp_replace(bare(w), r"""\\(["\\])""", "$1")).otherwise(bare(w)))
 
 

@@ -98,7 +98,8 @@ def test_truncate_and_gaps(spark):
     t = tokens.lex(nodes, "node_id").withColumn("type", tokens.token_type(F.col("tok")))
     cut = tokens.truncate(t, 3).collect()
     assert [r.tok for r in sorted((r for r in cut if r.node_id == 1), key=lambda r: r.pos)] == ["a", " ", "b", "<TRUNCATED>"]
-    assert sum(r.node_id == 2 for r in cut) == 3
+    assert [r.tok for r in sorted((r for r in cut if r.node_id == 2), key=lambda r: r.pos)] == ["a", " ", "b", "<TRUNCATED>"]  # at the cap the mark follows too
+    assert sum(r.node_id == 2 for r in tokens.truncate(t, 4).collect()) == 3
     raw = "ab  é+c"
     g = spark.createDataFrame([(1, 0, 2, "ab", "Identifier"), (1, 4, 6, "é", "Identifier"), (1, 6, 7, "+", "Punctuation"), (1, 7, 8, "c", "Identifier")], "node_id long, offset long, end long, tok string, type string")
     assert "".join(r.tok for r in sorted(tokens.fill_gaps(g, F.lit(raw)).collect(), key=lambda r: r.offset)) == raw
@@ -294,6 +295,12 @@ def test_compile_commands(spark, tmp_path):
     assert files.compile_commands(spark, str(tmp_path / "good.json")).count() == 1
 
 
+def test_shell_words_of_any_length(spark):
+    rows = [("cc " + "a" * 1_000_000,), ("cc '" + "b" * 1_000_000 + "'",), ('cc "' + "\\\\" * 200_000 + '"',), ("\\x" * 200_000,), (" a " * 100_000,)]
+    got = [r.w for r in spark.createDataFrame(rows, "c string").select(files.shell_words(F.col("c")).alias("w")).collect()]
+    assert [len(w) for w in got] == [2, 2, 2, 1, 100_000] and len(got[0][1]) == len(got[1][1]) == 1_000_000 and got[3] == ["x" * 200_000] and len(got[2][1]) == 200_000
+
+
 def test_tree_deep_and_cycles(spark):
     chain = spark.createDataFrame([(i, i - 1 if i else None, "Namespace" if i < 3 else "Class") for i in range(70)], "id long, parent long, kind string").coalesce(1)
     top = {r.id: r.top for r in tree.outermost(chain).collect()}
