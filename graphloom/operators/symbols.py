@@ -58,11 +58,45 @@ def uses(tokens: DataFrame, symbols: DataFrame) -> DataFrame:
     return first(both, ["node_id", "offset", "href", "use_off"], ["linked_via_sym", "context", "use_path_id"])
 
 
+_PLACE = ["path_id", "node_id", "offset"]
+_REF = ["href", "context", "linked_via_sym", "use_path", "use_off"]
+
+
+def _placed_uses(uses_: DataFrame, paths: DataFrame, spans: DataFrame) -> DataFrame:
+    """Uses with the path id of their definition and the path they stand in; those without a path drop out."""
+    return uses_.join(spans.select("node_id", F.col("path_id")).distinct(), "node_id").join(paths.select(F.col("path_id").alias("use_path_id"), F.col("path").alias("use_path")), "use_path_id")
+
+
 def references(uses_: DataFrame, paths: DataFrame, spans: DataFrame) -> DataFrame:
-    """Per definition place the sorted set of its uses; uses without a path drop out."""
-    held = uses_.join(spans.select("node_id", F.col("path_id")).distinct(), "node_id").join(paths.select(F.col("path_id").alias("use_path_id"), F.col("path").alias("use_path")), "use_path_id")
-    ref = F.struct("href", "context", "linked_via_sym", "use_path", "use_off")
-    return held.groupBy("path_id", "node_id", "offset").agg(F.array_sort(F.collect_set(ref)).alias("refs"))
+    """Per definition place the sorted set of its uses, one row each; uses without a path drop out."""
+    return _placed_uses(uses_, paths, spans).groupBy(*_PLACE).agg(F.array_sort(F.collect_set(F.struct(*_REF))).alias("refs"))
+
+
+def reference_pages(uses_: DataFrame, paths: DataFrame, spans: DataFrame, size: int = 1000) -> DataFrame:
+    """``path_id, node_id, offset, page, refs``: the sets of ``references`` in pages of ``size``, numbered from 0 in order.
+
+    Uses are dealt by range over place and use together, so those of one hot
+    definition lie in as many partitions as they fill. A use's number is its
+    number there plus the definition's uses in the partitions before, and no
+    row or task ever holds more of a definition than a partition or a page.
+    """
+    from pyspark.sql import Window as W
+
+    from graphloom.runtime import stash
+
+    each = _placed_uses(uses_, paths, spans).select(*_PLACE, *_REF).distinct()
+    ranged = stash(each.repartitionByRange(*_PLACE, *_REF).withColumn("_part", F.spark_partition_id()), "uses")
+    inside = F.row_number().over(W.partitionBy(*_PLACE, "_part").orderBy(*_REF)) - 1
+    before = F.sum("count").over(W.partitionBy(*_PLACE).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))  # a row a partition
+    counts = ranged.groupBy(*_PLACE, "_part").count().select(*_PLACE, "_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*_PLACE, "_part"]]
+    numbered = ranged.withColumn("_at", inside).alias("a").join(counts.alias("b"), same).select(*[F.col(f"a.{c}") for c in [*_PLACE, *_REF]], F.floor((F.col("_at") + F.col("_before")) / size).alias("page"))
+    return numbered.groupBy(*_PLACE, "page").agg(F.array_sort(F.collect_list(F.struct(*_REF))).alias("refs"))
+
+
+def page_directory(pages: DataFrame) -> DataFrame:
+    """``path_id, node_id, offset, page, n, first``: each page with its number of uses and the first of them, to find the page of a use."""
+    return pages.select(*_PLACE, "page", F.size("refs").alias("n"), F.col("refs")[0].alias("first"))
 
 
 def flag_references(tokens: DataFrame, uses_: DataFrame) -> DataFrame:
