@@ -49,9 +49,32 @@ def shared_dir(spark: SparkSession) -> str:
     return given.rstrip("/")
 
 
+#: Scratch roots that this driver has made and not cleaned.
+_roots: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/graphloom/{uuid.uuid4().hex}/{name}"
+    root = f"{shared_dir(spark)}/graphloom/{uuid.uuid4().hex}"
+    _roots.append(root)
+    return f"{root}/{name}"
+
+
+@contextmanager
+def job(spark: SparkSession) -> Iterator[None]:
+    """Within, queries may leave tables in the shared folder; at the end those made within are deleted.
+
+    Write or collect results before the end: DataFrames that still read such a
+    table fail afterwards. Jobs may be nested; tables made outside stay. One
+    job at a time for each driver: threads that run side by side share the list.
+    """
+    first = len(_roots)
+    try:
+        yield
+    finally:
+        for root in _roots[first:]:
+            remove(spark, root)
+        del _roots[first:]
 
 
 @contextmanager

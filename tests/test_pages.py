@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import symbols
+from graphloom import runtime
+from graphloom.operators import search, symbols
 
 
 def test_pages_are_the_sets_in_order(spark):
@@ -24,3 +25,25 @@ def test_pages_are_the_sets_in_order(spark):
     rows = symbols.page_directory(pages).collect()
     assert sum(r.n for r in rows) == sum(map(len, want.values())) and all(r.first in want[r.path_id, r.node_id, r.offset] for r in rows)
     assert symbols.reference_pages(uses.limit(0), paths, spans).count() == 0
+
+
+def test_a_job_leaves_no_tables(spark, tmp_path, monkeypatch):
+    import os
+
+    monkeypatch.setattr(runtime, "shared_dir", lambda _: f"file://{tmp_path}")
+    left = lambda: len(os.listdir(tmp_path / "graphloom"))
+    kept = search.dense_ids(spark.range(10).toDF("k"), ["k"], "n")
+    assert left() == 1
+    with runtime.job(spark):
+        search.dense_ids(spark.range(10).toDF("k"), ["k"], "n").count()
+        with runtime.job(spark):
+            runtime.Tables(spark, "t").put("a", spark.range(3))
+            assert left() == 3
+        assert left() == 2
+    assert left() == 1 and kept.count() == 10
+    try:
+        with runtime.job(spark):
+            runtime.stash(spark.range(1), "x")
+            raise KeyError
+    except KeyError:
+        assert left() == 1
