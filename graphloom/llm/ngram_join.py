@@ -15,12 +15,18 @@ that follow from the sets' sizes alone:
    Classes that they connect, directly or by others, are a block of the matrix;
    no link crosses blocks.
 
-A block is cut into tiles of a bounded number of classes and n-grams. A tile
+4. Middles. In a block of more classes than a tile holds, those that differ
+   little from what most of the block has in common link with one another by
+   the triangle inequality of set differences. They are counted together, not
+   by pairs, so a group of near copies costs its members.
+
+What is left of a block is cut into tiles of a bounded number of classes and
+n-grams, against itself and against the classes near the middle. A tile
 accumulates the overlap counts of its rows, discards pairs whose sizes or counts
 bound them below the threshold, and returns for each class how many documents
 it links with and the least class of its links' component. So no table of pairs
 is ever made, and a frequent n-gram costs its documents, not their square.
-The prefix order and the cut into tiles decide the cost, never the result.
+The prefix order, middles and the cut into tiles decide the cost, never the result.
 """
 
 from __future__ import annotations
@@ -49,6 +55,8 @@ FILTER_BYTES = 32 << 20
 #: A tile has about so many n-grams and classes to each side.
 TILE_GRAMS = 1 << 20
 TILE_CLASSES = 512
+#: Parts in which the classes of one block meet the block's own row.
+SALTS = 64
 #: N-grams of at most so many of a tile's classes are counted by pairs, others by a dense product of so many cells.
 SPARSE = 16
 DENSE_CELLS = 1 << 22
@@ -292,14 +300,64 @@ def _tile(ids: np.ndarray, sides: np.ndarray, weight: np.ndarray, n: np.ndarray,
             return more, least
 
 
-def tiled(vectors: DataFrame, blocks: DataFrame, copies: DataFrame, percent: int) -> DataFrame:
-    """``k, more, least`` of every class of a block and each of its tiles."""
-    members = vectors.select("k", F.size("grams").alias("grams")).join(blocks.withColumnRenamed("node", "k"), "k")
-    cuts = F.greatest(F.ceil(F.sum("grams") / TILE_GRAMS), F.ceil(F.count(F.lit(1)) / TILE_CLASSES))
-    sized = members.groupBy("label").agg(cuts.alias("cuts"))
-    dealt = members.drop("grams").join(sized, "label").withColumn("side", F.pmod(F.xxhash64("k"), F.col("cuts")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("other")
-    tiles = dealt.join(vectors, "k").join(copies, "k").select("k", "copies", "n", "label", "side", "grams", other)
+def _by_block(members: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Rows of classes with the row of their block, if any; a block of many classes is split by a salt."""
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("k"), F.lit(SALTS)))
+    copied = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(copied, ["label", "salt"]).drop("salt")
+
+
+def _cuts(of: Column) -> Column:
+    """Parts of bounded n-grams and classes for the rows where ``of`` holds; 0 if there are none."""
+    return F.greatest(F.ceil(F.sum(F.when(of, F.col("grams")).otherwise(0)) / TILE_GRAMS), F.ceil(F.sum(of.cast("long")) / TILE_CLASSES))
+
+
+def centred(vectors: DataFrame, members: DataFrame, tables: Tables, percent: int) -> DataFrame:
+    """``k`` of the classes that lie near the middle of a block of more than one part: any two of a block link.
+
+    A block's middle is the set of n-grams that more than half of its classes
+    hold, so it has at most twice their mean. With ``t`` the threshold, two sets
+    of ``a`` and ``b`` n-grams link when they differ in at most
+    ``(a + b) * (1 - t) / (1 + t)``; they do if each differs from any third set
+    in at most its own share of that.
+    """
+    large = members.groupBy("label").agg(F.count(F.lit(1)).alias("classes"), _cuts(F.lit(True)).alias("cuts")).where("cuts > 1").select("label", "classes")
+    large = tables.put("large", large)
+    own = tables.put("large_members", _by_block(members.select("k", "label"), large).select("k", "label", "classes"))
+    sets = own.join(vectors, "k")
+    held = sets.select("label", "classes", F.explode("grams").alias("gram")).groupBy("label", "classes", "gram").agg(F.count(F.lit(1)).alias("held"))
+    middle = tables.put("middles", held.where("2 * held > classes").groupBy("label").agg(F.collect_list("gram").alias("middle")))
+    apart = F.col("n") + F.size("middle") - 2 * F.size(F.array_intersect("grams", "middle"))
+    near = _by_block(sets.select("k", "label", "n", "grams"), middle).where(apart * (100 + percent) <= F.col("n") * (100 - percent))
+    return near.select("k")
+
+
+def tiled(vectors: DataFrame, blocks: DataFrame, copies: DataFrame, tables: Tables, percent: int) -> DataFrame:
+    """``k, more, least`` of every class of a block and each of its tiles.
+
+    Classes near their block's middle are counted as one: each links with all
+    the others of them. Tiles pair the remaining classes with each other and
+    with those, never two classes near the middle.
+    """
+    members = vectors.select("k", F.size("grams").alias("grams")).join(blocks.withColumnRenamed("node", "k"), "k").join(copies, "k")
+    members = tables.put("members", members)
+    near = tables.put("near", centred(vectors, members, tables, percent).withColumn("near", F.lit(True)))
+    marked = tables.put("marked", members.join(near, "k", "left").withColumn("near", F.coalesce("near", F.lit(False))))
+    tables.drop("large", "large_members", "middles", "near", "members")
+    is_near = F.col("near")
+    sized = tables.put(
+        "sized",
+        marked.groupBy("label").agg(
+            _cuts(is_near).alias("inner"), _cuts(~is_near).alias("outer"), F.sum(F.when(is_near, F.col("copies"))).alias("held"), F.min(F.when(is_near, F.col("k"))).alias("least")
+        ),
+    )
+    dealt = _by_block(marked.drop("grams"), sized)
+    as_one = dealt.where("near").select("k", (F.col("held") - F.col("copies")).alias("more"), "least")
+    place = F.xxhash64("k")
+    side = F.when(is_near, F.pmod(place, F.col("inner"))).otherwise(F.col("inner") + F.pmod(place, F.col("outer")))
+    others = F.sequence(F.when(is_near, F.col("inner")).otherwise(F.lit(0).cast("long")), F.col("inner") + F.col("outer") - 1)
+    met = dealt.where("outer > 0").select("k", "copies", "label", side.alias("side"), others.alias("others"))
+    tiles = met.join(vectors, "k").select("k", "copies", "n", "label", "side", "grams", F.explode("others").alias("other"))
     tiles = tiles.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).drop("other")
 
     def count(tile: pa.Table) -> pa.Table:
@@ -312,7 +370,8 @@ def tiled(vectors: DataFrame, blocks: DataFrame, copies: DataFrame, percent: int
         more, least = _tile(ids, sides, tile["copies"].to_numpy(), tile["n"].to_numpy(), sizes, lists.flatten().to_numpy(), percent)
         return pa.table({"k": ids, "more": more, "least": least})
 
-    return tiles.groupBy("label", "i", "j").applyInArrow(count, "k long, more long, least long")
+    counted = tiles.groupBy("label", "i", "j").applyInArrow(count, "k long, more long, least long")
+    return counted.unionByName(as_one)
 
 
 def _linked(rows: DataFrame, signed: DataFrame, classes: DataFrame, tables: Tables, n: int, percent: int, weight: np.ndarray) -> DataFrame | None:
@@ -325,7 +384,8 @@ def _linked(rows: DataFrame, signed: DataFrame, classes: DataFrame, tables: Tabl
     tables.drop("candidates")
     rest = vectors(sets, tables, percent)
     copies = sets.select("k", "cid").join(classes.select("cid", "copies"), "cid").select("k", "copies")
-    found = tables.put("tiles", tiled(rest, connected(rest, percent), copies, percent))
+    found = tables.put("tiles", tiled(rest, connected(rest, percent), copies, tables, percent))
+    tables.drop("marked", "sized")
     labels = components(found.select("k", "least"), "links", "k", "least").withColumnRenamed("node", "k")
     more = found.groupBy("k").agg(F.sum("more").alias("more"))
     out = tables.put("linked", sets.select("k", "cid").join(labels, "k").join(more, "k").select("cid", "label", "more"))

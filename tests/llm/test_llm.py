@@ -115,6 +115,33 @@ def test_ngram_join_many_near_copies_over_many_partitions(spark):
     assert _rows(ngram_join.near_copies(docs)) == _joined(rows)
 
 
+def test_ngram_join_counts_classes_near_a_middle_as_one(spark, monkeypatch):
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(90):  # two of three change one word and differ little from the base, the others change more
+        words = list(base)
+        for _ in range(1 if i % 3 else rng.randint(2, 6)):
+            words[rng.randrange(120)] = f"x{i}_{rng.randrange(9)}"
+        rows.append((i, " ".join(words[: 120 - rng.randrange(3)])))
+    rows += [(200 + i, rows[i][1]) for i in range(7)]
+    near, marks = [], ngram_join.centred
+
+    def watched(*given):
+        out = marks(*given)
+        near.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "centred", watched)
+    monkeypatch.setattr(ngram_join, "TILE_CLASSES", 8)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert _rows(ngram_join.near_copies(docs)) == _joined(rows)
+    assert 20 < near.pop() < 90
+    same = [(i, " ".join([*base[:i], "y", *base[i + 1 :]])) for i in range(120)]
+    assert _rows(ngram_join.near_copies(spark.createDataFrame(same, "doc_id long, text string"))) == _joined(same)
+    assert near == [120]  # no tile is left
+
+
 def test_ngram_join_long_words_of_one_polynomial_hash(spark):
     thue, other = _thue_morse(4096)
     rows = [(1, f"p q r s {thue}"), (2, f"p q r s {other}"), (3, thue[:1024]), (4, other[:1024]), (5, other[:1024].upper())]
