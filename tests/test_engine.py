@@ -190,6 +190,23 @@ def test_alignment():
     assert align.align([["a", "b", "c"]], [1], [["a", "x", "c"]]) == [1]
 
 
+def test_alignment_of_whole_files():
+    f, g, h, grown = (["", *lines, "  "] for lines in (["begin f()", "foo", "bar", "end"], ["begin g()", "qux", "end"], ["begin h()", "baz", "end"], ["begin g()", "qux", "more", "end"]))
+    cases = [
+        ([f], [g, f], [None, 100]),  # added before, after, between
+        ([f], [f, g], [100, None]),
+        ([f, h], [f, g, h], [100, None, 101]),
+        ([f, g, h], [g, h], [101, 102]),  # dropped first, last, between
+        ([f, g, h], [f, g], [100, 101]),
+        ([f, g, h], [f, h], [100, 102]),
+        ([f, g, h], [f, grown, h], [100, 101, 102]),  # changed
+        ([f], [], []),
+        ([], [f, g], [None, None]),
+    ]
+    for old, new, want in cases:  # at equal cost a pair comes before a drop: here the blank lines make drops dearer
+        assert align.align(old, list(range(100, 100 + len(old))), new) == want
+
+
 def test_elision(spark):
     k = lambda kind, text, **o: {"type": kind, "text": text, **o}
     assert elide.declaration([k("Keyword", "int"), k("WS", " "), k("Identifier", "x"), k("Punctuation", "="), k("Literal", "1")]) == "int x= …\n"
