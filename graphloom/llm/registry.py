@@ -156,7 +156,9 @@ def op8_chat_fsm(spark: SparkSession, sf: str) -> DataFrame:
 
     conversations = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     text = "\\### Assistant: </turn> ok"
-    own = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], conversations.schema)
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    own = spark.range(0, 2, 1, 1).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(text).alias("text"))
+    own = own.select(*[F.col(f.name).cast(f.dataType) for f in conversations.schema])
     return chat.digest(chat.formatted(conversations.unionByName(own)))
 
 
