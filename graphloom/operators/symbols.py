@@ -62,9 +62,21 @@ _PLACE = ["path_id", "node_id", "offset"]
 _REF = ["href", "context", "linked_via_sym", "use_path", "use_off"]
 
 
+#: Uses from which on a definition's are not gathered to find its place.
+HOT_USES = 100_000
+
+
 def _placed_uses(uses_: DataFrame, paths: DataFrame, spans: DataFrame) -> DataFrame:
-    """Uses with the path id of their definition and the path they stand in; those without a path drop out."""
-    return uses_.join(spans.select("node_id", F.col("path_id")).distinct(), "node_id").join(paths.select(F.col("path_id").alias("use_path_id"), F.col("path").alias("use_path")), "use_path_id")
+    """Uses with the path id of their definition and the path they stand in; those without a path drop out.
+
+    The places of definitions with more than ``HOT_USES`` uses, of which there
+    can be few, are broadcast, so that no task meets all uses of one.
+    """
+    where = spans.select("node_id", "path_id").distinct()
+    hot = uses_.groupBy("node_id").count().where(F.col("count") > HOT_USES).select("node_id")
+    often = uses_.join(F.broadcast(where.join(F.broadcast(hot), "node_id")), "node_id")
+    rest = uses_.join(F.broadcast(hot), "node_id", "left_anti").join(where, "node_id")
+    return often.unionByName(rest).join(paths.select(F.col("path_id").alias("use_path_id"), F.col("path").alias("use_path")), "use_path_id")
 
 
 def references(uses_: DataFrame, paths: DataFrame, spans: DataFrame) -> DataFrame:
