@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import symbols
+from graphloom.operators import segments, symbols
 
 
 def test_places_of_hot_definitions_are_broadcast(spark, monkeypatch):
@@ -17,3 +17,23 @@ def test_places_of_hot_definitions_are_broadcast(spark, monkeypatch):
     want = [(r.node_id, r.node_id % 4, r.href) for r in uses.collect() if r.node_id is not None and r.node_id < 40 and r.use_path_id < 4]
     assert sorted((r.node_id, r.path_id, r.href) for r in placed.collect()) == sorted(want)
     assert "BroadcastHashJoin [node_id" in placed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_segments_look_up_cursors_not_tokens(spark):
+    texts = spark.createDataFrame([(1, "int a,\nb  c ,\n\n  é, \nd,"), (2, None), (3, ""), (4, " \n x,\n"), (5, "a,\nb,\nc,\nd")], "path_id long, text string").repartition(2)
+    tokens, cursors = segments.lines_as_declarations(texts)
+    assert sorted(tuple(r)[:3] for r in tokens.collect()) == [(1, 0, 3), (1, 4, 6), (1, 7, 8), (1, 10, 11), (1, 12, 13), (1, 17, 20), (1, 22, 24), (4, 3, 5), (5, 0, 2), (5, 3, 5), (5, 6, 8), (5, 9, 10)]
+    assert sorted((r.path_id, r.start, r.end) for r in cursors.collect()) == [(1, 0, 13), (1, 7, 20), (1, 17, 20), (1, 22, 24), (4, 3, 5), (5, 0, 5), (5, 3, 8), (5, 6, 10), (5, 9, 10)]
+    cut = segments.segments(tokens, cursors)
+    assert sorted((r.path_id, r.start, r.end) for r in cut.collect()) == [(1, 0, 13), (1, 17, 20), (1, 22, 24), (4, 3, 5), (5, 0, 5), (5, 6, 10)]
+    # files that Arrow batches cut in two stay whole, also by shuffled joins, and no file is a group of its own in Python
+    before = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        for c, v in zip(before, ("-1", "3")):
+            spark.conf.set(c, v)
+        cut = segments.segments(tokens, cursors)
+        assert sorted((r.path_id, r.start, r.end) for r in cut.collect()) == [(1, 0, 13), (1, 17, 20), (1, 22, 24), (4, 3, 5), (5, 0, 5), (5, 6, 10)]
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert "FlatMapGroupsInPandas" not in cut._jdf.queryExecution().executedPlan().toString()
