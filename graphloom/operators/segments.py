@@ -9,7 +9,6 @@ five numbers a token go to it.
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -123,14 +122,15 @@ def _edges(table: pa.Table) -> list[int]:
 
 def _cut_files(table: pa.Table, edges: list[int]) -> pa.RecordBatch:
     """The blocks of the files between ``edges``."""
-    is_token, *columns = [table.column(c).slice(0, edges[-1]).to_pylist() for c in ("is_token", *Token._fields)]
+    named = {c: table.column(c).slice(0, edges[-1]).to_numpy() for c in ("is_token", *Token._fields)}
+    off, ends, cursor = (named[c].tolist() for c in Token._fields[:3])
     at, found = [], []
     for a, z in zip(edges, edges[1:]):
-        first = bisect_left(is_token, True, a, z)
-        facts = dict(zip(columns[2][a:first], zip(*[c[a:first] for c in columns[3:]], strict=True), strict=True))
+        first = a + int(np.searchsorted(named["is_token"][a:z], True))
+        facts = dict(zip(cursor[a:first], zip(*[named[c][a:first].tolist() for c in Token._fields[3:]], strict=True), strict=True))
         facts[-1] = (-1, False, -1, -1, -1, False)
         # tokens of cursors without a row drop out
-        rows = [(off, end, c, *facts[c]) for off, end, c in zip(*[x[first:z] for x in columns[:3]], strict=True) if c in facts]
+        rows = [(o, e, c, *facts[c]) for o, e, c in zip(off[first:z], ends[first:z], cursor[first:z], strict=True) if c in facts]
         blocks = segment(rows)
         at += [a] * len(blocks)
         found += blocks

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,6 +39,10 @@ _PATTERN = re.compile(
 _DIRECTIVE = re.compile(rb"(?:[ \t]|\\\r?\n)*+([A-Za-z_]*)")
 
 
+#: Tokens of a text that ``type_runs`` joins at once.
+RUN_TOKENS = 8192
+
+
 def lex(data: bytes) -> Iterator[tuple[str, int, int, str | None, int | None]]:
     """Type, start and end of each token, and name and place of the preprocessor directive that it belongs to (its ``#`` on)."""
     at, fresh, directive, began = 0, True, None, None
@@ -92,19 +97,78 @@ def _batch(rows: list[tuple], key_type: pa.DataType, names: list[str]) -> pa.Rec
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
 
+def type_runs(files: DataFrame, key: str = "path") -> DataFrame:
+    """``<key>, type, first, n, offsets, last_off, text``: the tokens of ``c_tokens`` by type within runs of ``RUN_TOKENS`` of a text.
+
+    ``first`` is the number of the run, ``offsets`` the sum of their offsets and
+    ``text`` the tokens of that type joined, so that what is grouped by text and
+    type afterwards is rows of runs, not of tokens.
+    """
+    prepare(files.sparkSession)
+    names = [key, "type", "first", "n", "offsets", "last_off", "text"]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            types = [batch.schema.field(0).type, pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+            rows: list[tuple] = []
+            for k, text in zip(batch.column(0), batch.column(1), strict=True):
+                name, data = k.as_py(), (text.as_py() or "").encode()
+                tokens, run = lex(data), 0
+                while part := list(islice(tokens, RUN_TOKENS)):
+                    by_type: dict[str, list[tuple[int, int]]] = {}
+                    for kind, a, z, _, _ in part:
+                        by_type.setdefault(kind, []).append((a, z))
+                    for kind, places in by_type.items():
+                        rows.append((name, kind, run, len(places), sum(a for a, _ in places), places[-1][0], "".join([data[a:z].decode(errors="replace") for a, z in places])))
+                    run += 1
+                    if len(rows) >= 512:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                        rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    return files.select(key, "text").mapInArrow(scan, f"`{key}` {dict(files.dtypes)[key]}, type string, first int, n long, offsets long, last_off long, text string")
+
+
 def include_lines(files: DataFrame) -> DataFrame:
     """``path, off, name, quoted``: the include lines of sources (``path, text``), not those in comments or strings.
 
-    Names are as written; lines whose name is a macro have no row.
+    Names are as written; lines whose name is a macro have no row. Each line's
+    words are joined where the text is lexed, so only include lines leave it.
     """
-    t = c_tokens(files).where(F.col("directive").isin("include", "include_next", "import") & (F.col("type") != "Comment") & (F.col("off") > F.col("directive_off")))
-    words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))), lambda x: x["tok"]), "")
-    text = t.groupBy("path", "directive_off").agg(words.alias("line"))  # the words of one line
+    prepare(files.sparkSession)
+    wanted = ("include", "include_next", "import")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for path, text in zip(batch.column(0), batch.column(1), strict=True):
+                name, data, words, place = path.as_py(), (text.as_py() or "").encode(), [], None
+                for kind, a, z, directive, began in lex(data):
+                    if began != place:
+                        if words:
+                            rows.append((name, place, "".join(words)))
+                        words, place = [], began
+                    if directive in wanted and kind != "Comment" and a > began:
+                        words.append(data[a:z].decode(errors="replace"))
+                if words:
+                    rows.append((name, place, "".join(words)))
+                if len(rows) >= 8192:
+                    yield _lines(rows, batch.schema.field(0).type)
+                    rows = []
+            if rows:
+                yield _lines(rows, batch.schema.field(0).type)
+
+    text = files.select("path", "text").mapInArrow(scan, f"path {dict(files.dtypes)['path']}, directive_off long, line string")
     name = F.regexp_extract("line", r'^\s*\w+\s*(?:"([^"]+)"|<([^>]+)>)', 1)
     angled = F.regexp_extract("line", r'^\s*\w+\s*(?:"([^"]+)"|<([^>]+)>)', 2)
     return text.select("path", F.col("directive_off").alias("off"), F.when(name != "", name).otherwise(angled).alias("name"), (name != "").alias("quoted")).where("name <> ''")
 
 
+def _lines(rows: list[tuple], path_type: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [path_type, pa.int64(), pa.string()], strict=True)], ["path", "directive_off", "line"])
+
+
 def search_folders(units: DataFrame) -> DataFrame:
     """``unit, rank, folder`` from compile commands (``path, directory, args``): ``-I`` in order, then ``-isystem``; ``-iquote`` (``quoted_only``) comes first.
 

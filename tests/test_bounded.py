@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from graphloom.operators import segments, symbols
+from graphloom.sources import csource
 
 
 def test_places_of_hot_definitions_are_broadcast(spark, monkeypatch):
@@ -37,3 +38,26 @@ def test_segments_look_up_cursors_not_tokens(spark):
         for c, v in before.items():
             spark.conf.set(c, v)
     assert "FlatMapGroupsInPandas" not in cut._jdf.queryExecution().executedPlan().toString()
+
+
+def test_c_tokens_by_type_in_runs(spark, monkeypatch):
+    monkeypatch.setattr(csource, "RUN_TOKENS", 3)
+    texts = [(1, 'int a = "x"; // é\n#include <b.h>\nf(a, 1.5);'), (2, None), (3, ""), (4, "\\")]
+    files = spark.createDataFrame(texts, "path long, text string")
+    runs = csource.type_runs(files).collect()
+    assert max(r.n for r in runs) <= 3 and len(runs) > 8
+    want, got = {}, {}
+    for t in sorted(csource.c_tokens(files).collect(), key=lambda t: (t.path, t.pos)):
+        n, total, _, text = want.get((t.path, t.type), (0, 0, 0, ""))
+        want[t.path, t.type] = (n + 1, total + t.off, t.off, text + t.tok)
+    for r in sorted(runs, key=lambda r: (r.path, r.first)):
+        n, total, _, text = got.get((r.path, r.type), (0, 0, 0, ""))
+        got[r.path, r.type] = (n + r.n, total + r.offsets, r.last_off, text + r.text)
+    assert got == want
+
+
+def test_include_lines_are_joined_where_they_are_lexed(spark):
+    files = spark.createDataFrame([("a.c", '#include <x/y.h> // no\n  # import "z.h"\n"#include <n.h>"\n/*\n#include <m.h>*/\n#include MACRO\n#include<w.h>'), ("b.c", None)], "path string, text string")
+    lines = csource.include_lines(files)
+    assert sorted((r.path, r.off, r.name, r.quoted) for r in lines.collect()) == [("a.c", 0, "x/y.h", False), ("a.c", 25, "z.h", True), ("a.c", 87, "w.h", False)]
+    assert "Exchange" not in lines._jdf.queryExecution().executedPlan().toString()
