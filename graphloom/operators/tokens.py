@@ -112,15 +112,23 @@ RUN_BYTES = 1 << 14
 
 
 def reconstruct(tokens: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Token texts from offsets: each ends where the next begins, the last at the node's end.
+    """Token texts from offsets: each ends where the next begins, the last at the node's end."""
+    return reconstruct_runs(tokens, nodes).select("node_id", F.explode("tokens").alias("_t")).select("node_id", "_t.*")
+
+
+def reconstruct_runs(tokens: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node_id, _first, tokens``: ``reconstruct`` with a row for each run, whose first offset is ``_first``.
 
     Tokens that begin within ``RUN_BYTES`` of a text are one run, so however long
     a node is, no row holds more than a run of it. A run meets the text once and
     takes its own stretch, up to where the next run begins.
     """
     rest = [c for c in tokens.columns if c not in ("node_id", "pos", "offset")]
-    run = F.floor(F.col("offset") / RUN_BYTES).alias("_run")
-    runs = tokens.groupBy("node_id", run).agg(F.array_sort(F.collect_list(F.struct("pos", "offset", *rest))).alias("_t"), F.min("offset").alias("_first"))
+    packed = _packed(tokens.select("node_id", "pos", "offset", *rest))
+    parts = [F.flatten(F.collect_list(c)).alias(c) for c in ("pos", "offset", *rest)]
+    runs = packed.groupBy("node_id", "_run").agg(*parts, F.min("_first").alias("_first"))
+    sort = F.array_sort(F.arrays_zip("pos", "offset", *rest))
+    runs = runs.select("node_id", "_run", "_first", sort.alias("_t"))
     runs = runs.withColumn("_next", F.lead("_first").over(W.partitionBy("node_id").orderBy("_run")))
     joined = runs.join(nodes.select("node_id", F.col("text").cast("binary").alias("_raw")), "node_id")
     until = F.coalesce("_next", F.octet_length("_raw").cast("long"))
@@ -131,7 +139,28 @@ def reconstruct(tokens: DataFrame, nodes: DataFrame) -> DataFrame:
         end = F.coalesce(F.get("_t", i + 1)["offset"] - F.col("_first"), F.octet_length("_raw").cast("long"))
         return t.withField("tok", F.substring("_raw", (start + 1).cast("int"), (end - start).cast("int")).cast("string"))
 
-    return held.select("node_id", F.explode(F.transform("_t", cut)).alias("_t")).select("node_id", "_t.*")
+    return held.select("node_id", "_first", F.transform("_t", cut).alias("tokens"))
+
+
+def _packed(tokens: DataFrame) -> DataFrame:
+    """Tokens that follow each other within a run of a node as one row of arrays, so that a shuffle moves arrays; ``_run, _first`` are the run and its least offset here."""
+    prepare(tokens.sparkSession)
+    key, *columns = tokens.columns
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            offset = batch.column(2).cast(pa.int64()).to_numpy(zero_copy_only=False)
+            run = offset // RUN_BYTES
+            node = batch.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            begin = np.append(0, np.flatnonzero((node[1:] != node[:-1]) | (run[1:] != run[:-1])) + 1)
+            edges = pa.array(np.append(begin, len(offset)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(edges, batch.column(i)) for i in range(1, batch.num_columns)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(begin)), pa.array(run[begin]), pa.array(np.minimum.reduceat(offset, begin)), *lists], [key, "_run", "_first", *columns])
+
+    arrays = ", ".join(f"`{c}` array<{t}>" for c, t in tokens.dtypes[1:])
+    return tokens.mapInArrow(pack, f"`{key}` {tokens.dtypes[0][1]}, _run long, _first long, {arrays}")
 
 
 def truncate(tokens: DataFrame, most: int) -> DataFrame:
@@ -173,6 +202,12 @@ def first_solid(tokens: DataFrame, k: int = 3) -> DataFrame:
     return top.groupBy("node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "tok"))), lambda x: x["tok"]).alias("head"))
 
 
+def heads(texts: DataFrame, node: str, text: str = "text", k: int = 3) -> DataFrame:
+    """``first_solid`` of whole texts, found where each text is: no token leaves its row. Texts without such a token have no row."""
+    solid = F.filter(F.regexp_extract_all(F.col(text), F.lit(LEX), F.lit(1)), lambda t: token_type(t) != "WS")
+    return texts.select(F.col(node).alias("node_id"), F.slice(solid, 1, k).alias("head")).where(F.size("head") > 0)
+
+
 def skip_reason(kind: Column, root_kind: Column, tokens: Column, inside: Column, forward: Column, index_system: bool = False) -> Column:
     """Why a node is left out, or null. ``tokens`` is an array of ``type, text``; order of rules matters."""
     code = F.exists(tokens, lambda t: t["type"].isin("Literal", "Identifier", "Keyword"))

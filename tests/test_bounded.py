@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import segments, symbols
+from graphloom.operators import segments, symbols, tokens
 from graphloom.sources import csource
 
 
@@ -22,17 +22,17 @@ def test_places_of_hot_definitions_are_broadcast(spark, monkeypatch):
 
 def test_segments_look_up_cursors_not_tokens(spark):
     texts = spark.createDataFrame([(1, "int a,\nb  c ,\n\n  é, \nd,"), (2, None), (3, ""), (4, " \n x,\n"), (5, "a,\nb,\nc,\nd")], "path_id long, text string").repartition(2)
-    tokens, cursors = segments.lines_as_declarations(texts)
-    assert sorted(tuple(r)[:3] for r in tokens.collect()) == [(1, 0, 3), (1, 4, 6), (1, 7, 8), (1, 10, 11), (1, 12, 13), (1, 17, 20), (1, 22, 24), (4, 3, 5), (5, 0, 2), (5, 3, 5), (5, 6, 8), (5, 9, 10)]
+    words, cursors = segments.lines_as_declarations(texts)
+    assert sorted(tuple(r)[:3] for r in words.collect()) == [(1, 0, 3), (1, 4, 6), (1, 7, 8), (1, 10, 11), (1, 12, 13), (1, 17, 20), (1, 22, 24), (4, 3, 5), (5, 0, 2), (5, 3, 5), (5, 6, 8), (5, 9, 10)]
     assert sorted((r.path_id, r.start, r.end) for r in cursors.collect()) == [(1, 0, 13), (1, 7, 20), (1, 17, 20), (1, 22, 24), (4, 3, 5), (5, 0, 5), (5, 3, 8), (5, 6, 10), (5, 9, 10)]
-    cut = segments.segments(tokens, cursors)
+    cut = segments.segments(words, cursors)
     assert sorted((r.path_id, r.start, r.end) for r in cut.collect()) == [(1, 0, 13), (1, 17, 20), (1, 22, 24), (4, 3, 5), (5, 0, 5), (5, 6, 10)]
     # files that Arrow batches cut in two stay whole, also by shuffled joins, and no file is a group of its own in Python
     before = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.execution.arrow.maxRecordsPerBatch")}
     try:
         for c, v in zip(before, ("-1", "3")):
             spark.conf.set(c, v)
-        cut = segments.segments(tokens, cursors)
+        cut = segments.segments(words, cursors)
         assert sorted((r.path_id, r.start, r.end) for r in cut.collect()) == [(1, 0, 13), (1, 17, 20), (1, 22, 24), (4, 3, 5), (5, 0, 5), (5, 6, 10)]
     finally:
         for c, v in before.items():
@@ -59,5 +59,24 @@ def test_c_tokens_by_type_in_runs(spark, monkeypatch):
 def test_include_lines_are_joined_where_they_are_lexed(spark):
     files = spark.createDataFrame([("a.c", '#include <x/y.h> // no\n  # import "z.h"\n"#include <n.h>"\n/*\n#include <m.h>*/\n#include MACRO\n#include<w.h>'), ("b.c", None)], "path string, text string")
     lines = csource.include_lines(files)
-    assert sorted((r.path, r.off, r.name, r.quoted) for r in lines.collect()) == [("a.c", 0, "x/y.h", False), ("a.c", 25, "z.h", True), ("a.c", 87, "w.h", False)]
+    assert sorted((r.path, r.off, r.name, r.quoted) for r in lines.collect()) == [("a.c", 0, "x/y.h", False), ("a.c", 25, "z.h", True), ("a.c", 92, "w.h", False)]
     assert "Exchange" not in lines._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tokens_are_packed_before_the_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "RUN_BYTES", 8)
+    texts = spark.createDataFrame([(1, "é a longer_word x, y"), (2, "b"), (3, "")], "node_id long, text string")
+    lexed = tokens.lexed(texts, "node_id").select("node_id", "pos", "offset", F.when(F.col("pos") > 0, "t").alias("type")).repartition(3)
+    want = sorted((r.node_id, r.pos, r.tok) for r in tokens.lexed(texts, "node_id").collect())
+    got = tokens.reconstruct(lexed, texts).collect()
+    assert sorted((r.node_id, r.pos, r.tok) for r in got) == want and all((r.type is None) == (r.pos == 0) for r in got)
+    rows = spark.createDataFrame([(i // 50, i % 50, 2 * (i % 50)) for i in range(100)], "node_id long, pos int, offset long").coalesce(1)
+    assert tokens._packed(rows).count() == 26
+
+
+def test_heads_are_the_first_solid_tokens(spark):
+    texts = spark.createDataFrame([(1, "  a b, c"), (2, "x"), (3, " \n"), (4, ""), (5, None)], "doc_id long, text string")
+    long = tokens.lex(texts, "doc_id").withColumn("type", tokens.token_type(F.col("tok")))
+    heads = tokens.heads(texts, "doc_id")
+    assert sorted(map(tuple, heads.collect())) == sorted(map(tuple, tokens.first_solid(long).collect())) == [(1, ["a", "b", ","]), (2, ["x"])]
+    assert "Exchange" not in heads._jdf.queryExecution().executedPlan().toString()
