@@ -8,8 +8,8 @@ Layout below ``folder``:
 - ``<repo>/<build>/paths``, ``spans``, ``items``, ``ids``, ``path_ids``: its other tables; the last two keep every key ever seen;
 - ``builds``: the catalog. A build's row comes last, so one that broke off is never listed and can be written again.
 
-A node is unchanged if the JSON of all its columns has the hash it had; then its
-location, the build that wrote it, stays. Readers join a build's map with the
+A node is unchanged if the JSON of all its columns, with its text's hash for the
+text, has the hash it had; then its location, the build that wrote it, stays. Readers join a build's map with the
 partitions that its catalog row names, and no others are listed or read.
 """
 
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from graphloom.operators import store
+from graphloom.plans import interchange
 from graphloom.runtime import Tables
 
 KEYS = {"paths": ["path"], "spans": ["path_id", "start"], "items": ["key"], "ids": ["path", "at"], "path_ids": ["path"]}
@@ -52,7 +53,8 @@ def write(tables: dict[str, DataFrame], folder: str, repo: str, branch: str, bui
     ``tables`` are those of ``interchange.index``, which must have been given
     ``ids(..., before)`` for nodes to keep their ids.
     """
-    spark = tables["nodes"].sparkSession
+    bare = tables["bare"]
+    spark = bare.sparkSession
     if before == build or exists(spark, folder, repo, build):
         raise ValueError(f"build {build!r} of {repo!r} is there already")
     at, own = f"{folder}/{repo}/{build}", Tables(spark, "build")
@@ -61,11 +63,12 @@ def write(tables: dict[str, DataFrame], folder: str, repo: str, branch: str, bui
         store.write_table(df, path, sort=sort, replace=True)
         return spark.read.schema(df.schema).parquet(path)
 
-    nodes = tables["nodes"]
-    hashed = own.put("hashed", nodes.select(F.col("id").alias("node_id"), content_hash(nodes.columns).alias("sha256")))
+    hashed = own.put("hashed", bare.select(F.col("id").alias("node_id"), content_hash(bare.columns).alias("sha256")))
     nodemap = put(located(hashed, read_map(spark, folder, repo, before, "nodemap"), ["node_id"], build), f"{at}/nodemap", ["node_id"])
     fresh = nodemap.where(F.col("written") == build).select(F.col("node_id").alias("id"))
-    put(nodes.join(fresh, "id", "left_semi"), f"{folder}/{repo}/nodes/written={build}", ["id"])
+    # Ids that one build gave rise with path and place, so nodes dealt by these are not dealt by id again.
+    written = interchange.with_text(bare.join(fresh, "id", "left_semi"), tables["texts"])
+    put(written.sortWithinPartitions("id"), f"{folder}/{repo}/nodes/written={build}", [])
 
     refs = own.put("refs", tables["references"].withColumn("sha256", content_hash(["refs"])))
     last = read_map(spark, folder, repo, before, "refmap")
@@ -76,7 +79,7 @@ def write(tables: dict[str, DataFrame], folder: str, repo: str, branch: str, bui
     new_slices = refmap.where(F.col("written") == build).select("sha256").distinct()
     put(refs.groupBy("sha256").agg(F.first("refs").alias("refs")).join(new_slices, "sha256", "left_semi"), f"{folder}/{repo}/slices/written={build}", ["sha256"])
 
-    put(symbol_map(nodes), f"{at}/symmap", ["sym_id"])
+    put(symbol_map(bare), f"{at}/symmap", ["sym_id"])
     for name, key in KEYS.items():
         put(tables[name], f"{at}/{name}", key)
     held = [sorted(r["written"] for r in m.select("written").distinct().collect()) for m in (nodemap, refmap)]  # one row a build

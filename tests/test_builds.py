@@ -81,3 +81,20 @@ def test_empty_builds(spark, tmp_path):
     assert _build(spark, str(tmp_path), "b1", []) == {}
     assert len(_build(spark, str(tmp_path), "b2", [_node("x", "y")], "b1")) == 1
     assert _build(spark, str(tmp_path), "b3", [], "b2") == {}
+
+
+def test_texts_are_written_once(spark, tmp_path, monkeypatch):
+    made, put = [], builds.Tables.put
+    monkeypatch.setattr(builds.Tables, "put", lambda self, name, df: made.append((name, df.columns)) or put(self, name, df))
+    nodes = [_node("a.c", None, kind="SourceFile"), _node("a.c", "int é;\n", 0), _node("a.c", "", 9), _node("b.c", "x" * 99_999, kind="SourceFile"), _node("b.c", "x" * 99_999)]
+    got = _build(spark, str(tmp_path), "b1", nodes)
+    assert made and not [name for name, columns in made if "text" in columns]
+    assert set(got) == {(n["path"][3:], n["text"]) for n in nodes}
+    again = _build(spark, str(tmp_path), "b2", [*nodes[:1], nodes[1] | {"text": "int ö;\n"}, *nodes[2:]], "b1")
+    assert {(k, r.written) for k, r in again.items()} == {(k, "b1") for k in got if k[1] != "int é;\n"} | {(("a.c", "int ö;\n"), "b2")}
+
+
+def test_nodes_of_a_place_given_twice_stay_apart(spark):
+    nodes = [_node("a.c", "one"), _node("a.c", "two")]
+    found = interchange.index(spark.createDataFrame(nodes, schema.NODE), spark.createDataFrame([], schema.INDEX_ITEM), "/r")
+    assert {r.text for r in found["nodes"].collect()} == {"one", "two"} and found["nodes"].count() == 2
