@@ -151,6 +151,14 @@ def nodes(spark: SparkSession, folder: str, repo: str, build: str) -> DataFrame:
     return parts.join(held, ["id", "written"])
 
 
+def lookup(spark: SparkSession, folder: str, repo: str, build: str, wanted: DataFrame) -> DataFrame:
+    """Rows of ``wanted`` (``node_id`` and others) with the columns of their node; ``id`` is null where the build has none."""
+    row = _row(spark, folder, repo, build)
+    held = wanted.join(read_map(spark, folder, repo, build, "nodemap").select("node_id", "written"), "node_id", "left")
+    parts = _parts(spark, folder, repo, "nodes", row["node_parts"] or [build])
+    return held.join(parts.withColumn("node_id", F.col("id")), ["node_id", "written"], "left").drop("written")
+
+
 def references(spark: SparkSession, folder: str, repo: str, build: str) -> DataFrame:
     """``node_id, offset, refs, sha256, written`` of a build."""
     row = _row(spark, folder, repo, build)

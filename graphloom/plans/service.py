@@ -113,14 +113,20 @@ class Service:
         wanted = asked.where(kind.isin("id", "direct")).select("url", F.col("h.node_id").alias("node_id")).unionByName(by_path)
         by_symbol = asked.where(kind == "sym").select("url", F.col("h.sym_id").alias("sym_id")).join(self._table(repo, build, "symmap").select("sym_id", "node_id"), "sym_id", "left").drop("sym_id")
         wanted = wanted.unionByName(by_symbol)
-        nodes = builds.nodes(self.spark, self.folder, repo, build).drop("written", "sha256").withColumnRenamed("id", "node_id")
-        held = wanted.where("node_id is not null").join(nodes, "node_id").withColumn("id", F.col("node_id"))
-        found = nodejson.encode(held, ("url", "node_id")).withColumnRenamed("json", "content")
-        refs = builds.references(self.spark, self.folder, repo, build).drop("written", "sha256")
-        sets = asked.where(kind == "refs").select("url", F.col("h.node_id").alias("node_id"), F.col("h.offset").alias("offset")).join(refs, ["node_id", "offset"])
-        found = found.unionByName(sets.select("url", "node_id", F.to_json(F.struct("node_id", "offset", "refs")).alias("content")))
-        status = F.when(kind == "bad", "bad url").when(kind == "slice", "unsupported").when(F.col("content").isNull(), "not found").otherwise("ok")
-        return asked.join(found, "url", "left").select("url", status.alias("status"), "node_id", "content")
+        # Every URL is in one branch to its end, so that no content is moved again to meet it.
+        named = wanted.where("node_id is not null")
+        held = builds.lookup(self.spark, self.folder, repo, build, named).withColumn("_found", F.col("id").isNotNull())
+        there = F.col("_found")
+        found = nodejson.encode(held, ("url", "node_id", "_found")).select("url", F.when(there, F.lit("ok")).otherwise("not found").alias("status"), F.when(there, F.col("node_id")).alias("node_id"), F.when(there, F.col("json")).alias("content"))
+        refs = builds.references(self.spark, self.folder, repo, build).drop("written", "sha256").withColumn("_found", F.lit(True))
+        sets = asked.where(kind == "refs").select("url", F.col("h.node_id").alias("node_id"), F.col("h.offset").alias("offset")).join(refs, ["node_id", "offset"], "left")
+        of_set = F.to_json(F.struct("node_id", "offset", "refs"))
+        found = found.unionByName(sets.select("url", F.when(there, F.lit("ok")).otherwise("not found").alias("status"), F.when(there, F.col("node_id")).alias("node_id"), F.when(there, of_set).alias("content")))
+        none = {"node_id": F.lit(None).cast("long"), "content": F.lit(None).cast("string")}
+        status = F.when(kind == "bad", "bad url").when(kind == "slice", "unsupported").otherwise("not found")
+        rest = asked.where(~F.coalesce(kind.isin("id", "direct", "path", "token", "sym", "refs"), F.lit(False))).select("url", status.alias("status"))
+        lost = wanted.where("node_id is null").select("url", F.lit("not found").alias("status"))
+        return found.unionByName(rest.unionByName(lost).withColumns(none)).select("url", "status", "node_id", "content")
 
     def search(self, repo: str, build: str, query: str, limit: int = 10) -> DataFrame:
         """The best symbols and paths for a query."""

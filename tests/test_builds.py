@@ -98,3 +98,17 @@ def test_nodes_of_a_place_given_twice_stay_apart(spark):
     nodes = [_node("a.c", "one"), _node("a.c", "two")]
     found = interchange.index(spark.createDataFrame(nodes, schema.NODE), spark.createDataFrame([], schema.INDEX_ITEM), "/r")
     assert {r.text for r in found["nodes"].collect()} == {"one", "two"} and found["nodes"].count() == 2
+
+
+def test_resolve_moves_content_once(spark, tmp_path):
+    service.LANGUAGES["some"] = lambda s, root: (s.createDataFrame([_node("a.c", "void a() { }", tokens=[_token(5, sym=9)]), _node("b.c", "a()", tokens=[_token(0, _uni("a.c", 5), at=0)])], schema.NODE), s.createDataFrame([], schema.INDEX_ITEM))
+    api = service.Service(spark, str(tmp_path))
+    api.index("repo", "m", "b1", "", "some", "/r")
+    a = next(r.id for r in builds.nodes(spark, str(tmp_path), "repo", "b1").collect() if r.path == "a.c")
+    urls = [f"id:{a}", f"id:{a}", "id:999", "path:none", "what", "sym:9", "sym:1", f"refs:{a}/5", f"refs:{a}/6", "slice:f/1[0:2]"]
+    out = api.resolve("repo", "b1", spark.createDataFrame([(u,) for u in urls], "url string"))
+    got = {r.url: (r.status, r.node_id, r.content is not None) for r in out.collect()}
+    ok, lost = ("ok", a, True), ("not found", None, False)
+    assert got == {f"id:{a}": ok, "id:999": lost, "path:none": lost, "what": ("bad url", None, False), "sym:9": ok, "sym:1": lost, f"refs:{a}/5": ok, f"refs:{a}/6": lost, "slice:f/1[0:2]": ("unsupported", None, False)} and out.count() == 9
+    top = out._jdf.queryExecution().optimizedPlan().toString().split("\n", 1)[0]
+    assert top.startswith("Union")  # no join over contents
