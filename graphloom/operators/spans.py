@@ -10,47 +10,76 @@ from pyspark.sql import functions as F
 BUCKET = 1 << 16
 
 
-def stab(points: DataFrame, spans: DataFrame, level: int | None = None, bucket: int | None = BUCKET) -> DataFrame:
-    """Innermost live span that holds each point: ``path_id, off`` with ``node_id`` and ``nest_level`` or nulls.
-
-    An equi-join on the path with the range as residual. Spans are listed once
-    for each run of ``bucket`` bytes that they touch, which spreads a huge file
-    over keys (path, run); without ``bucket`` the key is the path. The answer is
-    the same. Ties in depth go to the later start, then the larger id.
-    """
-    p = points.select("path_id", "off").distinct()
-    s = spans.where("fresh")
+def _live(spans: DataFrame, level: int | None = None) -> DataFrame:
+    """Spans that can hold a point."""
+    s = spans.where(F.col("fresh") & (F.col("end") > F.col("start")) & F.col("path_id").isNotNull() & F.col("node_id").isNotNull())
     if level is not None:
         s = s.where(F.col("nest_level") == level)
-    s = s.select("path_id", "node_id", "start", "end", "nest_level")
+    return s.select("path_id", "node_id", "start", "end", "nest_level")
+
+
+def _held(points: DataFrame, spans: DataFrame, bucket: int | None) -> DataFrame:
+    """Rows of points, each with the columns ``s.*`` of every span that holds it, or nulls: a join on the path and the run of ``bucket`` bytes."""
     keys = ["path_id"]
     if bucket:
-        p = p.withColumn("_b", F.expr(f"off div {bucket}"))
-        s = s.where(F.col("end") > F.col("start")).withColumn("_b", F.explode(F.sequence(F.expr(f"start div {bucket}"), F.expr(f"(end - 1) div {bucket}"))))
+        points = points.withColumn("_b", F.expr(f"off div {bucket}"))
+        spans = spans.withColumn("_b", F.explode(F.sequence(F.expr(f"start div {bucket}"), F.expr(f"(end - 1) div {bucket}"))))
         keys.append("_b")
-    a, b = p.alias("p"), s.alias("s")
-    on = [F.col(f"p.{k}") == F.col(f"s.{k}") for k in keys]
-    on += [F.col("s.start") <= F.col("p.off"), F.col("p.off") < F.col("s.end")]
-    best = F.max(F.when(F.col("s.node_id").isNotNull(), F.struct("s.nest_level", "s.start", "s.node_id")))
-    return a.join(b, on, "left").groupBy("p.path_id", "p.off").agg(best.alias("_best")).select("path_id", "off", F.col("_best.node_id").alias("node_id"), F.col("_best.nest_level").alias("nest_level"))
+    on = [F.col(f"p.{k}") == F.col(f"s.{k}") for k in keys] + [F.col("s.start") <= F.col("p.off"), F.col("p.off") < F.col("s.end")]
+    return points.alias("p").join(spans.alias("s"), on, "left")
+
+
+def _ends(spans: DataFrame) -> DataFrame:
+    """``path_id, off`` where spans start or end: between two of them the innermost span is one."""
+    return spans.select("path_id", F.explode(F.array("start", "end")).alias("off")).distinct()
+
+
+def place(points: DataFrame, spans: DataFrame, level: int | None = None, bucket: int | None = BUCKET) -> DataFrame:
+    """Rows of ``points`` (``path_id, off`` and others) with ``node_id`` and ``nest_level`` of the innermost live span that holds them, or nulls.
+
+    Spans, of which there are fewer, are first cut into stretches with one
+    innermost span each; of these a point meets at most one, so points are
+    neither multiplied nor grouped. Stretches are listed once for each run of
+    ``bucket`` bytes that they touch, which spreads a huge file over keys (path,
+    run); without ``bucket`` the key is the path. The answer is the same. Ties
+    in depth go to the later start, then the larger id.
+    """
+    s = _live(spans, level)
+    best = F.max(F.when(F.col("s.node_id").isNotNull(), F.struct("s.nest_level", "s.start", "s.node_id"))).alias("_best")
+    inner = _held(_ends(s), s, bucket).groupBy(*[f"p.{c}" for c in (["path_id", "_b", "off"] if bucket else ["path_id", "off"])]).agg(best)
+    until = F.lead("off").over(W.partitionBy("path_id").orderBy("off"))
+    stretches = inner.select("path_id", F.col("off").alias("start"), until.alias("end"), F.col("_best.node_id").alias("node_id"), F.col("_best.nest_level").alias("nest_level")).where("node_id is not null")
+    return _held(points, stretches, bucket).select(*[F.col(f"p.{c}") for c in points.columns], "s.node_id", "s.nest_level")
+
+
+def stab(points: DataFrame, spans: DataFrame, level: int | None = None, bucket: int | None = BUCKET) -> DataFrame:
+    """``place`` of each different point once: ``path_id, off, node_id, nest_level``."""
+    return place(points.select("path_id", "off").distinct(), spans, level, bucket)
 
 
 def stab_sorted(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """``stab`` for spans that do not overlap within a level: the predecessor on each level, deepest first.
+    """``stab`` for spans that do not overlap within a level, by sorting instead of range joins.
 
-    One sort by (path, level, offset) instead of a range join.
+    Where spans start or end, the innermost is the predecessor on the deepest
+    level that has one; a point has that of the last such place before it.
     """
-    p = points.select("path_id", "off").distinct()
-    s = spans.where("fresh")
+    s = _live(spans)
     levels = s.select("path_id", "nest_level").distinct()
-    asked = p.join(levels, "path_id", "left").select("path_id", "nest_level", F.col("off").alias("at"), F.lit(1).alias("ask"), F.lit(None).cast("long").alias("node_id"), F.lit(None).cast("long").alias("end"))
+    asked = _ends(s).join(levels, "path_id").select("path_id", "nest_level", F.col("off").alias("at"), F.lit(1).alias("ask"), F.lit(None).cast("long").alias("node_id"), F.lit(None).cast("long").alias("end"))
     given = s.select("path_id", "nest_level", F.col("start").alias("at"), F.lit(0).alias("ask"), "node_id", "end")
     w = W.partitionBy("path_id", "nest_level").orderBy("at", "ask")
     both = asked.unionByName(given)
     for c in ("node_id", "end"):
         both = both.withColumn(f"_{c}", F.last(c, ignorenulls=True).over(w))
     hit = F.when(F.col("_end") > F.col("at"), F.struct("nest_level", F.col("_node_id").alias("node_id")))
-    return both.where("ask = 1").groupBy("path_id", F.col("at").alias("off")).agg(F.max(hit).alias("_b")).select("path_id", "off", F.col("_b.node_id").alias("node_id"), F.col("_b.nest_level").alias("nest_level"))
+    ends = both.where("ask = 1").groupBy("path_id", "at").agg(F.max(hit).alias("_b")).select("path_id", F.col("at").alias("off"), F.lit(0).alias("ask"), F.col("_b.node_id").alias("node_id"), F.col("_b.nest_level").alias("nest_level"))
+    lone = {"ask": F.lit(1), "node_id": F.lit(None).cast(dict(ends.dtypes)["node_id"]), "nest_level": F.lit(None).cast(dict(ends.dtypes)["nest_level"])}
+    w = W.partitionBy("path_id").orderBy("off", "ask")
+    # a point that stands more than once follows itself
+    again = F.lag("off").over(w).eqNullSafe(F.col("off")) & (F.lag("ask").over(w) == 1)
+    last = F.last(F.when(F.col("ask") == 0, F.struct("node_id", "nest_level")), ignorenulls=True).over(w)
+    found = points.select("path_id", "off").withColumns(lone).unionByName(ends).select("path_id", "off", "ask", again.alias("_again"), last.alias("_b"))
+    return found.where((F.col("ask") == 1) & ~F.coalesce("_again", F.lit(False))).select("path_id", "off", "_b.node_id", "_b.nest_level")
 
 
 def resolve_definitions(links: DataFrame, paths: DataFrame, spans: DataFrame, file_nodes: DataFrame, repo_only: bool = True, bucket: int | None = BUCKET) -> DataFrame:
