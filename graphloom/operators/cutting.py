@@ -99,8 +99,7 @@ def block_tokens(tokens: DataFrame, cut: DataFrame, most: int = 100_000) -> Data
     one elision stands for it, whose ``elides`` is the inner node. Longer nodes
     end in a mark after ``most`` tokens.
     """
-    held = spans.stab(tokens, cut.withColumn("fresh", F.lit(True)))
-    own = tokens.join(held.drop("nest_level"), ["path_id", "off"]).where("node_id is not null")
+    own = spans.place(tokens, cut.withColumn("fresh", F.lit(True))).where("node_id is not null")
     shown = own.select("node_id", "off", "end", "tok", "type", "cursor", F.lit(None).cast("long").alias("elides"))
     gone = cut.where("outer_id is not null").select(F.col("outer_id").alias("node_id"), F.col("start").alias("off"), "end", F.lit(ELISION).alias("tok"), F.lit("Identifier").alias("type"), F.lit(None).cast(dict(tokens.dtypes)["cursor"]).alias("cursor"), F.col("node_id").alias("elides"))
     order = W.partitionBy("node_id").orderBy("off", F.col("elides").isNotNull(), "end")

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from graphloom.operators import spans
+from graphloom.operators import cutting, spans
 
 
 def _tables(spark, seed):
@@ -48,6 +48,8 @@ def test_points_are_not_grouped(spark):
     rows, points = _tables(spark, 3)
     s = spark.createDataFrame(rows, "path_id long, node_id long, start long, end long, nest_level int, fresh boolean")
     p = spark.createDataFrame(points, "path_id long, off long")
-    for df in (spans.place(p, s), spans.stab_sorted(p, s)):
+    tokens = p.selectExpr("path_id", "off", "off + 1 AS end", "'x' AS tok", "'Identifier' AS type", "1L AS cursor")
+    cut = s.selectExpr("node_id", "path_id", "nest_level", "start", "end", "1L AS cursor", "'Class' AS kind", "'' AS member_of", "NULL::bigint AS outer_id")
+    for df in (spans.place(p, s), spans.stab_sorted(p, s), cutting.block_tokens(tokens, cut)):
         seen = str(p._jdf.queryExecution().optimizedPlan().output().apply(1))  # the points' own offset
         assert not _grouping(df, seen), df
