@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import segments, symbols, tokens
+from graphloom.operators import resolve, segments, symbols, tokens
 from graphloom.sources import csource
 
 
@@ -80,3 +80,21 @@ def test_heads_are_the_first_solid_tokens(spark):
     heads = tokens.heads(texts, "doc_id")
     assert sorted(map(tuple, heads.collect())) == sorted(map(tuple, tokens.first_solid(long).collect())) == [(1, ["a", "b", ","]), (2, ["x"])]
     assert "Exchange" not in heads._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_a_hot_root_are_dealt_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "CELL_ROWS", 4, raising=False)
+    ks = [None, None, 7, 7, 5, -1] + [3 + 16 * i for i in range(-20, 20)]
+    vs = [(None, "n"), (7 + 16, "a"), (7, "b"), (7, "b"), (15, "c")] + [(3 + 16 * i, f"v{i}") for i in range(30)]
+    keys = spark.createDataFrame([(k, i) for i, k in enumerate(ks)], "k long, i long").coalesce(1)
+    index = spark.createDataFrame(vs, "k long, v string").coalesce(1)
+    met = resolve.radix_lookup(keys, index, "k", root_bits=4)
+    assert met.columns == ["k", "i", "v"]
+    want = [(k, i, v) for i, k in enumerate(ks) for v in [v for e, v in vs if k is not None and e is not None and e & 15 == k & 15] or [None]]
+    order = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted((tuple(r) for r in met.collect()), key=order) == sorted(want, key=order)
+    # the 1,200 pairs of one value come from many tasks, though either side is tiny
+    dealt = met.where("k % 16 = 3 or k % 16 = -13").groupBy(F.spark_partition_id()).count().collect()
+    assert len(dealt) >= 6 and max(r["count"] for r in dealt) < 600
+    assert resolve.radix_lookup(keys, index.limit(0), "k", root_bits=4).where("v is null").count() == len(ks)
+    assert resolve.radix_lookup(keys.limit(0), index, "k", root_bits=4).count() == 0
