@@ -55,7 +55,7 @@ FILTER_BYTES = 32 << 20
 #: A tile has about so many n-grams and classes to each side.
 TILE_GRAMS = 1 << 20
 TILE_CLASSES = 512
-#: Parts in which the classes of one block meet the block's own row.
+#: Most parts in which the classes of one block meet the block's middle; a part has at least ``TILE_CLASSES``.
 SALTS = 64
 #: N-grams of at most so many of a tile's classes are counted by pairs, others by a dense product of so many cells.
 SPARSE = 16
@@ -300,11 +300,17 @@ def _tile(ids: np.ndarray, sides: np.ndarray, weight: np.ndarray, n: np.ndarray,
             return more, least
 
 
-def _by_block(members: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Rows of classes with the row of their block, if any; a block of many classes is split by a salt."""
-    salted = members.withColumn("salt", F.pmod(F.xxhash64("k"), F.lit(SALTS)))
-    copied = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return salted.join(copied, ["label", "salt"]).drop("salt")
+def _by_block(members: DataFrame, middles: DataFrame) -> DataFrame:
+    """Rows of classes with the row of their block, if any; both sides have the block's ``classes``.
+
+    Only a block of many classes is split by a salt, in parts by their number, so
+    copies of the blocks' rows grow as the classes do. Nothing is broadcast: the
+    estimate of a copied row does not count its copies.
+    """
+    parts = F.least(F.lit(SALTS), F.ceil(F.col("classes") / TILE_CLASSES)).cast("long")
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("k"), parts))
+    copied = middles.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    return salted.join(copied.drop("classes").hint("merge"), ["label", "salt"]).drop("salt")
 
 
 def _cuts(of: Column) -> Column:
@@ -312,8 +318,8 @@ def _cuts(of: Column) -> Column:
     return F.greatest(F.ceil(F.sum(F.when(of, F.col("grams")).otherwise(0)) / TILE_GRAMS), F.ceil(F.sum(of.cast("long")) / TILE_CLASSES))
 
 
-def centred(vectors: DataFrame, members: DataFrame, tables: Tables, percent: int) -> DataFrame:
-    """``k`` of the classes that lie near the middle of a block of more than one part: any two of a block link.
+def centred(vectors: DataFrame, own: DataFrame, tables: Tables, percent: int) -> DataFrame:
+    """``k`` of the classes that lie near the middle of their block, one of more than one part (``k, label, classes``): any two of a block link.
 
     A block's middle is the set of n-grams that more than half of its classes
     hold, so it has at most twice their mean. With ``t`` the threshold, two sets
@@ -321,14 +327,11 @@ def centred(vectors: DataFrame, members: DataFrame, tables: Tables, percent: int
     ``(a + b) * (1 - t) / (1 + t)``; they do if each differs from any third set
     in at most its own share of that.
     """
-    large = members.groupBy("label").agg(F.count(F.lit(1)).alias("classes"), _cuts(F.lit(True)).alias("cuts")).where("cuts > 1").select("label", "classes")
-    large = tables.put("large", large)
-    own = tables.put("large_members", _by_block(members.select("k", "label"), large).select("k", "label", "classes"))
-    sets = own.join(vectors, "k")
+    sets = own.select("k", "label", "classes").join(vectors, "k")
     held = sets.select("label", "classes", F.explode("grams").alias("gram")).groupBy("label", "classes", "gram").agg(F.count(F.lit(1)).alias("held"))
-    middle = tables.put("middles", held.where("2 * held > classes").groupBy("label").agg(F.collect_list("gram").alias("middle")))
+    middle = tables.put("middles", held.where("2 * held > classes").groupBy("label", "classes").agg(F.collect_list("gram").alias("middle")))
     apart = F.col("n") + F.size("middle") - 2 * F.size(F.array_intersect("grams", "middle"))
-    near = _by_block(sets.select("k", "label", "n", "grams"), middle).where(apart * (100 + percent) <= F.col("n") * (100 - percent))
+    near = _by_block(sets.select("k", "label", "classes", "n", "grams"), middle).where(apart * (100 + percent) <= F.col("n") * (100 - percent))
     return near.select("k")
 
 
@@ -338,12 +341,19 @@ def tiled(vectors: DataFrame, blocks: DataFrame, copies: DataFrame, tables: Tabl
     Classes near their block's middle are counted as one: each links with all
     the others of them. Tiles pair the remaining classes with each other and
     with those, never two classes near the middle.
+
+    A block of one part is one tile and needs no row of its own. Rows of the
+    others are broadcast: each stands for more than ``TILE_CLASSES`` classes or
+    ``TILE_GRAMS`` n-grams.
     """
     members = vectors.select("k", F.size("grams").alias("grams")).join(blocks.withColumnRenamed("node", "k"), "k").join(copies, "k")
     members = tables.put("members", members)
-    near = tables.put("near", centred(vectors, members, tables, percent).withColumn("near", F.lit(True)))
-    marked = tables.put("marked", members.join(near, "k", "left").withColumn("near", F.coalesce("near", F.lit(False))))
-    tables.drop("large", "large_members", "middles", "near", "members")
+    large = members.groupBy("label").agg(F.count(F.lit(1)).alias("classes"), _cuts(F.lit(True)).alias("cuts")).where("cuts > 1").select("label", "classes")
+    large = tables.put("large", large)
+    own = tables.put("large_members", members.join(F.broadcast(large), "label"))
+    near = tables.put("near", centred(vectors, own, tables, percent).withColumn("near", F.lit(True)))
+    marked = tables.put("marked", own.join(near, "k", "left").withColumn("near", F.coalesce("near", F.lit(False))))
+    tables.drop("large_members", "middles", "near")
     is_near = F.col("near")
     sized = tables.put(
         "sized",
@@ -351,13 +361,14 @@ def tiled(vectors: DataFrame, blocks: DataFrame, copies: DataFrame, tables: Tabl
             _cuts(is_near).alias("inner"), _cuts(~is_near).alias("outer"), F.sum(F.when(is_near, F.col("copies"))).alias("held"), F.min(F.when(is_near, F.col("k"))).alias("least")
         ),
     )
-    dealt = _by_block(marked.drop("grams"), sized)
+    dealt = marked.drop("grams").join(F.broadcast(sized), "label")
     as_one = dealt.where("near").select("k", (F.col("held") - F.col("copies")).alias("more"), "least")
-    place = F.xxhash64("k")
+    place, zero = F.xxhash64("k"), F.lit(0).cast("long")
     side = F.when(is_near, F.pmod(place, F.col("inner"))).otherwise(F.col("inner") + F.pmod(place, F.col("outer")))
-    others = F.sequence(F.when(is_near, F.col("inner")).otherwise(F.lit(0).cast("long")), F.col("inner") + F.col("outer") - 1)
+    others = F.sequence(F.when(is_near, F.col("inner")).otherwise(zero), F.col("inner") + F.col("outer") - 1)
     met = dealt.where("outer > 0").select("k", "copies", "label", side.alias("side"), others.alias("others"))
-    tiles = met.join(vectors, "k").select("k", "copies", "n", "label", "side", "grams", F.explode("others").alias("other"))
+    whole = members.join(F.broadcast(large), "label", "left_anti").select("k", "copies", "label", zero.alias("side"), F.array(zero).alias("others"))
+    tiles = met.unionByName(whole).join(vectors, "k").select("k", "copies", "n", "label", "side", "grams", F.explode("others").alias("other"))
     tiles = tiles.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).drop("other")
 
     def count(tile: pa.Table) -> pa.Table:
@@ -385,7 +396,7 @@ def _linked(rows: DataFrame, signed: DataFrame, classes: DataFrame, tables: Tabl
     rest = vectors(sets, tables, percent)
     copies = sets.select("k", "cid").join(classes.select("cid", "copies"), "cid").select("k", "copies")
     found = tables.put("tiles", tiled(rest, connected(rest, percent), copies, tables, percent))
-    tables.drop("marked", "sized")
+    tables.drop("members", "large", "marked", "sized")
     labels = components(found.select("k", "least"), "links", "k", "least").withColumnRenamed("node", "k")
     more = found.groupBy("k").agg(F.sum("more").alias("more"))
     out = tables.put("linked", sets.select("k", "cid").join(labels, "k").join(more, "k").select("cid", "label", "more"))

@@ -142,6 +142,29 @@ def test_ngram_join_counts_classes_near_a_middle_as_one(spark, monkeypatch):
     assert near == [120]  # no tile is left
 
 
+def test_ngram_join_copies_no_row_of_a_small_block(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = []
+    for b in range(40):  # blocks of two texts that differ in a word
+        words = [f"b{b}_{rng.randrange(500)}" for _ in range(100)]
+        rows += [(2 * b, " ".join(words)), (2 * b + 1, " ".join([*words[:50], "y", *words[51:]]))]
+    given, by_block = [], ngram_join._by_block
+
+    def watched(members, blocks):
+        given.append(blocks.count())
+        return by_block(members, blocks)
+
+    monkeypatch.setattr(ngram_join, "_by_block", watched)
+    assert _rows(ngram_join.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))) == _joined(rows)
+    assert sum(given) == 0
+    # of a large one there is a copy for each full part, and none is broadcast
+    monkeypatch.setattr(ngram_join, "TILE_CLASSES", 8)
+    members = spark.range(20).select(F.col("id").alias("k"), F.lit(1).cast("long").alias("label"), F.lit(20).cast("long").alias("classes"))
+    met = by_block(members, spark.createDataFrame([(1, 20, [7, 9]), (2, 9, [3])], "label long, classes long, middle array<long>"))
+    assert sorted((r.k, r.middle) for r in met.collect()) == [(k, [7, 9]) for k in range(20)]
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+
+
 def test_ngram_join_long_words_of_one_polynomial_hash(spark):
     thue, other = _thue_morse(4096)
     rows = [(1, f"p q r s {thue}"), (2, f"p q r s {other}"), (3, thue[:1024]), (4, other[:1024]), (5, other[:1024].upper())]
