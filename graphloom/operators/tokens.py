@@ -107,7 +107,7 @@ def deviations(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("real_offset", F.when(expected.isNull() | (expected != F.col("true_offset")), F.col("true_offset"))).withColumn("real_line", F.when(line.isNull() | (line != F.col("true_line")), F.col("true_line")))
 
 
-#: Bytes of text whose tokens are cut together.
+#: Bytes of text whose tokens are cut together; places within a run are shorts.
 RUN_BYTES = 1 << 14
 
 
@@ -121,18 +121,28 @@ def reconstruct_runs(tokens: DataFrame, nodes: DataFrame) -> DataFrame:
 
     Tokens that begin within ``RUN_BYTES`` of a text are one run, so however long
     a node is, no row holds more than a run of it. A run meets the text once and
-    takes its own stretch, up to where the next run begins.
+    takes its own stretch, up to where the next run begins. Runs are shuffled
+    once, by node and packed, as texts are; tokens are rows of an array only
+    where they get their text.
     """
     rest = [c for c in tokens.columns if c not in ("node_id", "pos", "offset")]
     packed = _packed(tokens.select("node_id", "pos", "offset", *rest))
-    parts = [F.flatten(F.collect_list(c)).alias(c) for c in ("pos", "offset", *rest)]
-    runs = packed.groupBy("node_id", "_run").agg(*parts, F.min("_first").alias("_first"))
-    sort = F.array_sort(F.arrays_zip("pos", "offset", *rest))
-    runs = runs.select("node_id", "_run", "_first", sort.alias("_t"))
-    runs = runs.withColumn("_next", F.lead("_first").over(W.partitionBy("node_id").orderBy("_run")))
+    after = F.lead(F.struct("_run", "_first")).over(W.partitionBy("node_id").orderBy("_run", "_first"))
+    follows = packed.withColumn("_after", after)
+    parts = F.collect_list(F.struct("_pos", "pos", "offset", *rest)).alias("_parts")
+    following = F.min(F.when(F.col("_after")["_run"] > F.col("_run"), F.col("_after")["_first"])).alias("_next")
+    runs = follows.groupBy("node_id", "_run").agg(parts, F.min("_first").alias("_first"), following)
     joined = runs.join(nodes.select("node_id", F.col("text").cast("binary").alias("_raw")), "node_id")
     until = F.coalesce("_next", F.octet_length("_raw").cast("long"))
-    held = joined.select("node_id", "_t", "_first", F.substring("_raw", (F.col("_first") + 1).cast("int"), (until - F.col("_first")).cast("int")).alias("_raw"))
+    kinds = dict(tokens.dtypes)
+
+    def unpacked(part: Column) -> Column:
+        pos = lambda i: F.when(F.size(part["pos"]) == 0, (part["_pos"] + i).cast(kinds["pos"])).otherwise(F.get(part["pos"], i))
+        place = lambda o: (F.col("_run") * RUN_BYTES + o).cast(kinds["offset"])
+        return F.transform(part["offset"], lambda o, i: F.struct(pos(i).alias("pos"), place(o).alias("offset"), *[F.get(part[c], i).alias(c) for c in rest]))
+
+    own = F.array_sort(F.flatten(F.transform("_parts", unpacked))).alias("_t")
+    held = joined.select("node_id", own, "_first", F.substring("_raw", (F.col("_first") + 1).cast("int"), (until - F.col("_first")).cast("int")).alias("_raw"))
 
     def cut(t: Column, i: Column) -> Column:
         start = t["offset"] - F.col("_first")
@@ -143,9 +153,13 @@ def reconstruct_runs(tokens: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _packed(tokens: DataFrame) -> DataFrame:
-    """Tokens that follow each other within a run of a node as one row of arrays, so that a shuffle moves arrays; ``_run, _first`` are the run and its least offset here."""
+    """Tokens that follow each other within a run of a node as one row of arrays, so that a shuffle moves arrays; ``_run, _first`` are the run and its least offset here.
+
+    Offsets are counted from the run's begin. ``pos`` is empty where it counts on by one from ``_pos``.
+    """
     prepare(tokens.sparkSession)
     key, *columns = tokens.columns
+    counts = tokens.schema["pos"].dataType.typeName() in ("byte", "short", "integer", "long")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,12 +169,21 @@ def _packed(tokens: DataFrame) -> DataFrame:
             run = offset // RUN_BYTES
             node = batch.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
             begin = np.append(0, np.flatnonzero((node[1:] != node[:-1]) | (run[1:] != run[:-1])) + 1)
-            edges = pa.array(np.append(begin, len(offset)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(edges, batch.column(i)) for i in range(1, batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(begin)), pa.array(run[begin]), pa.array(np.minimum.reduceat(offset, begin)), *lists], [key, "_run", "_first", *columns])
-
-    arrays = ", ".join(f"`{c}` array<{t}>" for c, t in tokens.dtypes[1:])
-    return tokens.mapInArrow(pack, f"`{key}` {tokens.dtypes[0][1]}, _run long, _first long, {arrays}")
+            sizes = np.diff(np.append(begin, len(offset)))
+            pos, first, listed = batch.column(1), np.zeros(len(begin), np.int64), np.ones(len(begin), bool)
+            if counts and not pos.null_count:
+                at = pos.cast(pa.int64()).to_numpy()
+                first, steps = at[begin], np.append(1, np.diff(at))
+                steps[begin] = 1
+                listed = np.maximum.reduceat(steps != 1, begin)
+            edges = lambda n: pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(edges(np.where(listed, sizes, 0)), pos.filter(pa.array(np.repeat(listed, sizes))))]
+            lists += [pa.ListArray.from_arrays(edges(sizes), c) for c in (pa.array((offset % RUN_BYTES).astype(np.int16)), *batch.columns[3:])]
+            own = [batch.column(0).take(pa.array(begin)), pa.array(run[begin]), pa.array(np.minimum.reduceat(offset, begin)), pa.array(first)]
+            yield pa.RecordBatch.from_arrays([*own, *lists], [key, "_run", "_first", "_pos", *columns])
+
+    arrays = ", ".join(f"`{c}` array<{'smallint' if c == 'offset' else t}>" for c, t in tokens.dtypes[1:])
+    return tokens.mapInArrow(pack, f"`{key}` {tokens.dtypes[0][1]}, _run long, _first long, _pos long, {arrays}")
 
 
 def truncate(tokens: DataFrame, most: int) -> DataFrame:

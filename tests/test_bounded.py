@@ -98,3 +98,33 @@ def test_pairs_of_a_hot_root_are_dealt_in_cells(spark, monkeypatch):
     assert len(dealt) >= 6 and max(r["count"] for r in dealt) < 600
     assert resolve.radix_lookup(keys, index.limit(0), "k", root_bits=4).where("v is null").count() == len(ks)
     assert resolve.radix_lookup(keys.limit(0), index, "k", root_bits=4).count() == 0
+
+
+def test_reconstruction_shuffles_tokens_once_and_packed(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "RUN_BYTES", 64)
+    text = "".join(f"wörd{i} \n" if i % 3 else f"(x{i})" for i in range(300))
+    texts = spark.createDataFrame([(1, text), (2, "a b"), (3, "é"), (4, "gone, not here")], "node_id long, text string")
+    lexed = tokens.lexed(texts, "node_id")
+    whole = sorted((r.node_id, r.pos, r.offset, r.tok) for r in lexed.collect())
+    before = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.adaptive.enabled")}
+    try:
+        for c, v in zip(before, ("-1", "7", "false")):
+            spark.conf.set(c, v)
+        # in order, dealt anew, and with places that do not count on by one, beyond shorts and null
+        mixed = lexed.where("node_id < 4").repartition(5, "tok")
+        odd = lexed.withColumn("kind", F.struct("pos")).withColumn("pos", F.when(F.col("pos") != 2, F.col("pos").cast("long") * 100_000 - 7))
+        for given in (lexed, mixed):
+            got = tokens.reconstruct(given.select("node_id", "pos", "offset"), texts)
+            assert got.dtypes == [("node_id", "bigint"), ("pos", "int"), ("offset", "bigint"), ("tok", "string")]
+            assert sorted((r.node_id, r.pos, r.offset, r.tok) for r in got.collect()) == [w for w in whole if w[0] < 4 or given is lexed]
+        got = tokens.reconstruct(odd.where("node_id = 1 and pos is not null").select("node_id", "pos", "offset", "kind"), texts).collect()
+        assert sorted((r.pos // 100_000 + 1, r.kind.pos) for r in got) == [(w[1], w[1]) for w in whole if w[0] == 1 and w[1] != 2]
+        assert {(r.pos, r.offset) for r in tokens.reconstruct(odd.select("node_id", "pos", "offset"), texts).collect()} == {(None if w[1] == 2 else w[1] * 100_000 - 7, w[2]) for w in whole}
+        plan = tokens.reconstruct_runs(lexed.select("node_id", "pos", "offset"), texts)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(node_id") == 2  # one of tokens, one of texts
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    packed = tokens._packed(lexed.coalesce(1).select("node_id", "pos", "offset"))
+    assert {r.pos is not None and len(r.pos) for r in packed.collect()} == {0}
+    assert dict(packed.dtypes)["offset"] == "array<smallint>"
