@@ -204,7 +204,8 @@ def full_sets(rows: DataFrame, wanted: DataFrame, n: int, weight: np.ndarray) ->
                 yield pa.RecordBatch.from_arrays([own, pa.array([c for _, c in found], pa.binary()), pa.array([len(s) for s, _ in found], pa.int64()), _lists([s for s, _ in found])], ["key", "cid", "n", "grams"])
 
     sets = rows.select("key", "text", *held.places()).mapInArrow(pick, "key long, cid binary, n long, grams array<long>")
-    return sets.join(wanted.select("cid", "key"), ["cid", "key"], "left_semi").drop("key").dropDuplicates(["cid"])
+    # A class has one key, so rows that repeat are found where the join has put them.
+    return sets.join(wanted.select("cid", "key"), ["cid", "key"], "left_semi").dropDuplicates(["cid", "key"]).drop("key")
 
 
 def candidates(signed: DataFrame, classes: DataFrame, tables: Tables, percent: int) -> DataFrame:

@@ -165,6 +165,24 @@ def test_ngram_join_copies_no_row_of_a_small_block(spark, monkeypatch):
     assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
 
 
+def test_ngram_join_shuffles_whole_sets_once(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (3, "b c d e f g h i"), (4, "no match")], "doc_id long, text string")
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
+    weight = ngram_join.word_weights(rows.select("text"))
+    signed = ngram_join.signatures(rows, 5, 80, weight)
+    wanted = signed.groupBy("cid").agg(F.min("key").alias("key"))
+    before = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for c, v in zip(before, ("-1", "false")):
+            spark.conf.set(c, v)
+        sets = ngram_join.full_sets(rows, wanted.localCheckpoint(), 5, weight)
+        assert sorted((r.n, len(r.grams)) for r in sets.collect()) == [(1, 1), (3, 3), (4, 4)]
+        assert sets._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(cid") == 2  # one a side
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+
+
 def test_ngram_join_long_words_of_one_polynomial_hash(spark):
     thue, other = _thue_morse(4096)
     rows = [(1, f"p q r s {thue}"), (2, f"p q r s {other}"), (3, thue[:1024]), (4, other[:1024]), (5, other[:1024].upper())]
